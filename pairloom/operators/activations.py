@@ -34,12 +34,12 @@ def steering_targets(
         return F.max(F.when(F.col("variant") == variant, F.col(column)))
 
     wide = used.groupBy(*keys).agg(
-        of("base", "mask").alias("mask"), *[of(v, "vec").alias(v) for v in ("base", "pos", "neg")]
+        of("base", "mask").alias("mask"), *[of(v, "vec").alias(f"_{v}") for v in ("base", "pos", "neg")]
     )
-    complete = wide.where(F.col("base").isNotNull() & F.col("pos").isNotNull() & F.col("neg").isNotNull())
-    direction = F.zip_with(_doubles(F.col("pos")), _doubles(F.col("neg")), lambda p, n: p - n)
+    complete = wide.where(F.col("_base").isNotNull() & F.col("_pos").isNotNull() & F.col("_neg").isNotNull())
+    direction = F.zip_with(_doubles(F.col("_pos")), _doubles(F.col("_neg")), lambda p, n: p - n)
     target = F.zip_with(
-        _doubles(F.col("base")), direction, lambda b, d: (b + F.lit(float(alpha)) * d) * F.col("mask")
+        _doubles(F.col("_base")), direction, lambda b, d: (b + F.lit(float(alpha)) * d) * F.col("mask")
     )
     return complete.select(*keys, "mask", target.alias("target"))
 
