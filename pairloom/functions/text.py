@@ -37,9 +37,10 @@ def joined_token_count(
     left: Column,
     left_count: Column,
     right: Column,
+    right_count: Column,
     tokens: Tokenizer | None = None,
 ) -> Column:
-    """Number of tokens in ``left || right`` when ``left`` is already counted.
+    """Number of tokens in ``left || right`` from the counts of the two.
 
     Word tokens add up, less one where the last word of ``left`` runs into the first of
     ``right``; so a prompt is tokenized once although several lengths contain it. A
@@ -54,7 +55,7 @@ def joined_token_count(
         & (F.instr(F.lit(TOKEN_BREAKS), last) == 0)
         & (F.instr(F.lit(TOKEN_BREAKS), first) == 0)
     )
-    return left_count + token_count(right) - touching.cast("int")
+    return left_count + right_count - touching.cast("int")
 
 
 def apply_style(prompt: Column, style: str) -> Column:

@@ -295,18 +295,21 @@ def position_ids(df: DataFrame, mask: str = "attention_mask", out: str = "positi
     Padding only at the ends makes the ones one block, whose running sum is the offset
     in it; a mask with holes is summed position by position.
     """
+    one = F.lit(1).cast("long")
     ones = F.aggregate(mask, F.lit(0).cast("long"), lambda n, x: n + x)
-    first = F.array_position(mask, F.lit(1).cast("long")) - 1
-    last_one = F.size(mask) - F.array_position(F.reverse(F.col(mask)), F.lit(1).cast("long"))
-    one_block = (ones == 0) | (ones == last_one - first + 1)
-    offsets = F.transform(mask, lambda x, i: F.when(x == 0, 1).otherwise(i - first).cast("long"))
+    before = F.array_position(mask, one) - 1
+    after = F.array_position(F.reverse(F.col(mask)), one) - 1
+    one_block = ones == F.size(mask) - before - after
+    offsets = F.concat(filled(1, before), F.sequence(F.lit(0).cast("long"), ones - 1), filled(1, after))
     sums = F.transform(
         mask,
         lambda x, i: F.when(x == 0, 1)
         .otherwise(F.aggregate(F.slice(F.col(mask), 1, i + 1), F.lit(0).cast("long"), lambda n, y: n + y) - 1)
         .cast("long"),
     )
-    return df.withColumn(out, F.when(one_block, offsets).otherwise(sums))
+    return df.withColumn(
+        out, F.when(ones == 0, filled(1, F.size(mask))).when(one_block, offsets).otherwise(sums)
+    )
 
 
 def encode_qa_batch(

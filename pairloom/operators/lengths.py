@@ -19,7 +19,7 @@ def token_lengths(
     """Add token counts.
 
     ``lengths`` maps an output column to a text column, or to a ``(head, tail)`` pair of
-    text columns whose concatenation is measured. A head with its own entry is counted
+    text columns whose concatenation is measured. A part with its own entry is counted
     once and reused.
     """
     singles = {out: source for out, source in lengths.items() if isinstance(source, str)}
@@ -28,8 +28,10 @@ def token_lengths(
     known = {source: out for out, source in singles.items()}
     joined = {}
     for out, (head, tail) in pairs.items():
-        head_count = F.col(known[head]) if head in known else token_count(F.col(head), tokens)
-        joined[out] = joined_token_count(F.col(head), head_count, F.col(tail), tokens).cast("long")
+        head_count, tail_count = (
+            F.col(known[part]) if part in known else token_count(F.col(part), tokens) for part in (head, tail)
+        )
+        joined[out] = joined_token_count(F.col(head), head_count, F.col(tail), tail_count, tokens).cast("long")
     return measured.withColumns(joined) if joined else measured
 
 

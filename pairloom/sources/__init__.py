@@ -1,6 +1,6 @@
 """Reading, writing and staging tables."""
 
-from pairloom.sources.readers import MissingColumns, canonical_names, read_examples, read_split, require_columns
+from pairloom.sources.readers import MissingColumns, canonical_names, read_examples, read_split, require_columns, spread
 from pairloom.sources.staging import staged, staging_dir, staging_path
 from pairloom.sources.writers import schema_json, split_manifest, write_completions, write_splits
 

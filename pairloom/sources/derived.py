@@ -17,6 +17,7 @@ from pairloom.functions.hashing import unit_interval
 from pairloom.functions.text import token_count, word_tokens
 from pairloom.operators.prompts import append_eos, extract_responses
 from pairloom.operators.ranking import exact_rank
+from pairloom.sources.readers import spread
 from pairloom.sources.staging import staged
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
@@ -26,6 +27,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), over at least as many tasks as there are cores."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _staged_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _STAGED:
@@ -213,7 +219,7 @@ def keyed_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _positions(limit: Column | int, most: int) -> Column:
     """0 .. limit-1, at most ``most`` of them."""
-    return F.filter(F.array(*[F.lit(i) for i in range(most)]), lambda i: i < limit)
+    return F.slice(F.array(*[F.lit(i) for i in range(most)]), 1, limit)
 
 
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One named split of a saved dataset. ``split`` is a partition column: only its files are read."""
     df = require_columns(spark.read.parquet(path), ["split"])
     return canonical_names(df.where(df["split"] == split).drop("split"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan by ``key`` when it has fewer tasks than the cluster has cores.
+
+    A few unsplittable files would otherwise keep all but a few cores idle through the
+    tokenizing that follows, and regrouping by ``key`` later reuses the partitioning. A
+    table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only for a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +22,10 @@ def staging_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pairloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="pairloom-")
+    return _LOCAL_DIRS[application]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

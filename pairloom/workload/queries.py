@@ -181,11 +181,9 @@ _DOC_LENGTHS = {
 
 
 def token_lengths(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    doubled = documents.select("doc_id", "lang", "text")
-    return op.token_lengths(doubled, {"tokens": "text", "with_lang": ("lang", "text"), "twice": ("text", "text")}).drop(
-        "text", "lang"
-    )
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    lengths = {"tokens": "text", "with_lang": ("lang", "text"), "twice": ("text", "text")}
+    return op.token_lengths(sources.spread(documents, "doc_id"), lengths).drop("text", "lang")
 
 
 def filter_pair_budget(spark, sf_dir):
@@ -214,8 +212,7 @@ def _pair_text(spark, sf_dir) -> DataFrame:
 
 
 def _document_vocab(spark, sf_dir) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return op.build_vocab(documents, ["text"])
+    return op.build_vocab(inputs.documents(spark, sf_dir), ["text"])
 
 
 def _pair_vocab(spark, sf_dir) -> DataFrame:
@@ -234,9 +231,8 @@ def encode(spark, sf_dir):
 
 
 def encode_documents(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     vocab = sources.staged(_document_vocab(spark, sf_dir), "document_vocab")
-    encoded = op.encode(documents, "doc_id", "text", vocab)
+    encoded = op.encode(inputs.documents(spark, sf_dir), "doc_id", "text", vocab)
     return encoded.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"))
 
 
