@@ -33,15 +33,19 @@ def data_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def executed_plan(df) -> str:
+def final_plan(df) -> str:
     """The plan as finally run, after adaptive changes."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def final_plan(df) -> str:
-    text = executed_plan(df)
-    return text.split("== Initial Plan ==")[0]
+def main_and_subqueries(df) -> tuple[str, str]:
+    """Formatted plan of the query itself, and of its subqueries."""
+    df.collect()
+    jvm = df.sparkSession.sparkContext._jvm
+    text = jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    main, _, rest = text.partition("===== Subqueries =====")
+    return main, rest
 
 
 @pytest.fixture

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import final_plan
+from conftest import final_plan, main_and_subqueries
 from pyspark.sql import functions as F
 
 from pairloom import operators as op
@@ -70,18 +70,17 @@ def test_preparation_is_one_stage(spark, pairs_path):
 
 
 def test_split_shuffles_no_row(spark, pairs_path):
-    plan = final_plan(op.random_split(pairs(spark, pairs_path), "pair_id", 42, 100))
-    main = plan.split("Subquery")[0]
-    assert not exchanges(main)
+    main, cuts = main_and_subqueries(op.random_split(pairs(spark, pairs_path), "pair_id", 42, 100))
+    assert "Exchange" not in main and "chosen_response:string" in main
     # Reading for the cuts touches the key column alone.
-    scans = re.findall(r"ReadSchema: struct<([^>\n]*)", plan)
-    assert any("chosen_response" in s for s in scans)
-    assert all(s == "pair_id:bigint" for s in scans if "chosen_response" not in s)
+    scans = re.findall(r"ReadSchema: struct<([^>\n]*)", cuts)
+    assert scans and set(scans) == {"pair_id:bigint"}
 
 
 def test_head_shuffles_no_row(spark, pairs_path):
-    plan = final_plan(op.head_examples(pairs(spark, pairs_path), 10, "pair_id"))
-    assert not exchanges(plan.split("Subquery")[0])
+    main, cut = main_and_subqueries(op.head_examples(pairs(spark, pairs_path), 10, "pair_id"))
+    assert "Exchange" not in main and "TakeOrderedAndProject" in cut
+    assert set(re.findall(r"ReadSchema: struct<([^>\n]*)", cut)) == {"pair_id:bigint"}
 
 
 def test_rank_puts_no_row_in_one_task(spark, pairs_path):
