@@ -33,7 +33,9 @@ def steering_targets(
     def of(variant: str, column: str) -> Column:
         return F.max(F.when(F.col("variant") == variant, F.col(column)))
 
-    wide = used.groupBy(*keys).agg(
+    # Three rows make a group, so combining before the shuffle would sort the vectors for
+    # nothing: place them first, and both halves of the aggregation run after the shuffle.
+    wide = used.repartition(*keys).groupBy(*keys).agg(
         of("base", "mask").alias("mask"), *[of(v, "vec").alias(f"_{v}") for v in ("base", "pos", "neg")]
     )
     complete = wide.where(F.col("_base").isNotNull() & F.col("_pos").isNotNull() & F.col("_neg").isNotNull())

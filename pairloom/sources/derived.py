@@ -44,6 +44,11 @@ def _keyed(tag: str, *parts: Column | str) -> Column:
     return unit_interval(F.concat_ws(":", F.lit(tag), *[F.col(p) if isinstance(p, str) else p for p in parts]))
 
 
+def pair_id(conversation: Column, turn: Column) -> Column:
+    """One number for a turn, unique up to 2^32 turns in a conversation."""
+    return conversation * F.lit(1 << 32) + turn
+
+
 def pair_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn followed by an assistant turn, ranked in hash order (pair_id, prompt, good, rk, n)."""
 
@@ -55,7 +60,7 @@ def pair_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         # Joined on (conversation, turn): a giant conversation spreads over its turns.
         pairs = user.join(reply, ["conv_id", "turn"]).select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "prompt", "good"
+            pair_id(F.col("conv_id"), F.col("turn")).alias("pair_id"), "prompt", "good"
         )
         return exact_rank(staged(pairs, "turn_pairs"), "pair_id", "pair", out="rk", total="n")
 
@@ -124,12 +129,21 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _staged_once(spark, sf_dir, "doc_pairs", build)
 
 
+# Turns told in one transcript. A longer conversation continues in the next part, so no
+# group grows with the length of a conversation.
+TRANSCRIPT_TURNS = 1000
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, prompt, response): the history up to the last assistant turn, which is the response."""
-    spoken = _table(spark, sf_dir, "conversations").where(F.col("role") != "system")
+    """(conv_id, part, prompt, response): the history up to the last assistant turn, which is the response."""
+    spoken = (
+        _table(spark, sf_dir, "conversations")
+        .where(F.col("role") != "system")
+        .withColumn("part", F.floor(F.col("turn") / TRANSCRIPT_TURNS))
+    )
     marker = F.when(F.col("role") == "user", HUMAN).otherwise(ASSISTANT)
-    turn = F.struct("turn", "role", "text", F.concat(marker, "text").alias("marked"))
-    told = spoken.groupBy("conv_id").agg(
+    turn = F.struct("turn", "text", F.concat(marker, "text").alias("marked"))
+    told = spoken.groupBy("conv_id", "part").agg(
         F.array_sort(F.collect_list(turn)).alias("turns"),
         F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"),
     )
@@ -137,6 +151,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.filter("turns", lambda t: t["turn"] == F.col("last"))
     return told.where(F.col("last").isNotNull()).select(
         "conv_id",
+        "part",
         F.concat(F.array_join(history, ""), F.lit(ASSISTANT)).alias("prompt"),
         F.get(answer, F.lit(0))["text"].alias("response"),
     )

@@ -66,7 +66,7 @@ def _bare(prompt: str) -> str:
 _CTES = {
     "pair_base": """
 SELECT *, row_number() OVER (ORDER BY md5('pair:' || pair_id), pair_id) - 1 AS rk, count(*) OVER () AS n
-FROM (SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS prompt, b.text AS good
+FROM (SELECT a.conv_id * 4294967296 + a.turn AS pair_id, a.text AS prompt, b.text AS good
       FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
       WHERE a.role = 'user' AND b.role = 'assistant')""",
     "pairs": """
@@ -93,12 +93,13 @@ SELECT pair_id, p AS prompt, chosen_response, rejected_response, len({_toks('p')
   len({_toks('p || rejected_response')}) AS rejected_response_length
 FROM (SELECT *, {_dialogue('prompt')} AS p FROM doc_pairs)""",
     "transcripts": f"""
-SELECT c.conv_id, coalesce(string_agg(CASE WHEN role = 'user' THEN {HUMAN} ELSE {ASSISTANT} END || text, ''
+SELECT c.conv_id, c.part, coalesce(string_agg(CASE WHEN role = 'user' THEN {HUMAN} ELSE {ASSISTANT} END || text, ''
     ORDER BY turn) FILTER (turn < last), '') || {ASSISTANT} AS prompt,
   max(text) FILTER (turn = last) AS response
-FROM conversations c
-JOIN (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1) l USING (conv_id)
-WHERE role <> 'system' AND turn <= last GROUP BY 1""",
+FROM (SELECT *, turn // 1000 AS part FROM conversations) c
+JOIN (SELECT conv_id, turn // 1000 AS part, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) l
+  USING (conv_id, part)
+WHERE role <> 'system' AND turn <= last GROUP BY 1, 2""",
     "transcript_pairs": f"""
 SELECT pair_id, {_dialogue('prompt')} AS prompt, chosen, rejected FROM pairs""",
     "summaries": f"""
@@ -312,11 +313,11 @@ ORACLES: dict[str, str] = {
         "SELECT pair_id, chosen || ' </s>' AS chosen, rejected || '</s>' AS rejected FROM transcript_pairs"
     ),
     "mark_turn_boundaries": _query(
-        f"SELECT conv_id, {_marked('prompt')} AS marked, chr(10) || chr(10) || {_marked('prompt')} AS marked_leading "
+        f"SELECT conv_id, part, {_marked('prompt')} AS marked, chr(10) || chr(10) || {_marked('prompt')} AS marked_leading "
         "FROM transcripts"
     ),
     "training_text_sft": _query(
-        f"SELECT conv_id, {_marked('prompt')} || response || ' </s>' AS text FROM transcripts"
+        f"SELECT conv_id, part, {_marked('prompt')} || response || ' </s>' AS text FROM transcripts"
     ),
     "training_text_preference": _query(
         f"SELECT pair_id, {_dialogue('prompt')} || rejected_response AS text FROM responses"
@@ -347,10 +348,10 @@ ORACLES: dict[str, str] = {
         "SELECT pair_id, prompt_length, prompt, base, chosen, round(random, 6) AS random FROM swapped"
     ),
     "split_turns": _query(
-        f"""SELECT conv_id, (pos - 1)::INT AS turn, parts[1] AS human, parts[2] AS assistant
-FROM (SELECT conv_id, pos, string_split(part, {ASSISTANT}) AS parts
-      FROM (SELECT conv_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos
-            FROM (SELECT conv_id, string_split(regexp_replace(prompt || response, '^(' || chr(10) || chr(10) || ')?Human: ', ''),
+        f"""SELECT conv_id, part, (pos - 1)::INT AS turn, parts[1] AS human, parts[2] AS assistant
+FROM (SELECT conv_id, part, pos, string_split(told, {ASSISTANT}) AS parts
+      FROM (SELECT conv_id, part, unnest(p) AS told, generate_subscripts(p, 1) AS pos
+            FROM (SELECT conv_id, part, string_split(regexp_replace(prompt || response, '^(' || chr(10) || chr(10) || ')?Human: ', ''),
                     {HUMAN}) AS p FROM transcripts)))"""
     ),
     "clean_completions": _query("SELECT id, instruction, output, generator FROM cleaned"),
@@ -366,7 +367,7 @@ WHERE prompt_length <= 256 AND chosen_response_length <= 768 AND rejected_respon
 WHERE prompt_length <= 256 AND chosen_response_length <= 768"""
     ),
     "filter_prompt_budget": _query(
-        f"""SELECT conv_id, len({_toks('prompt')}) AS prompt_length FROM transcripts WHERE len({_toks('prompt')}) <= 256"""
+        f"""SELECT conv_id, part, len({_toks('prompt')}) AS prompt_length FROM transcripts WHERE len({_toks('prompt')}) <= 256"""
     ),
     "build_vocab": _query("SELECT token, count, id FROM document_vocab"),
     "encode": _query(
