@@ -87,14 +87,15 @@ def _bucket_starts(counts: DataFrame, groups: list[str], by: bool, total: bool)
     # Two levels: the start of each sort value, then of each bucket in it. The first sees
     # one row per distinct value. Distinct lengths are bounded by the longest text, and
     # distinct frequencies f by f(f+1)/2 <= number of tokens.
-    value = F.col("_bucket")["_by"]
-    level = Window.partitionBy("_value")
+    value = F.struct(*[g.alias(n) for g, n in zip(group, groups)], F.col("_bucket")["_by"].alias("_by"))
     in_value = Window.partitionBy("_value").orderBy(prefix).rowsBetween(*before)
-    with_value = counts.withColumn("_value", F.struct(*[g.alias(n) for g, n in zip(group, groups)], value.alias("_by")))
-    in_value_starts = with_value.withColumn(
-        "_start", F.coalesce(F.sum("_rows").over(in_value), F.lit(0))
-    ).withColumn("_of_value", F.sum("_rows").over(level))
-    values = with_value.groupBy("_value").agg(F.sum("_rows").alias("_value_rows"))
+    in_value_starts = counts.withColumn("_value", value).select(
+        "_bucket",
+        "_value",
+        F.coalesce(F.sum("_rows").over(in_value), F.lit(0)).alias("_start"),
+        F.sum("_rows").over(Window.partitionBy("_value")).alias("_value_rows"),
+    )
+    values = in_value_starts.where(F.col("_start") == 0).select("_value", "_value_rows")
     value_group = [F.col("_value")[g] for g in groups]
     over_values = Window.partitionBy(*value_group).orderBy(F.col("_value")["_by"]).rowsBetween(*before)
     value_starts = values.select(

@@ -64,7 +64,7 @@ def pair_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return exact_rank(staged(pairs, "turn_pairs"), "pair_id", "pair", out="rk", total="n")
 
-    return _staged_once(spark, sf_dir, "pair_base", build)
+    return spread(_staged_once(spark, sf_dir, "pair_base", build), "pair_id")
 
 
 def _neighbour(base: DataFrame, offset: Column | int) -> DataFrame:
@@ -126,7 +126,7 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "rejected_response",
         )
 
-    return _staged_once(spark, sf_dir, "doc_pairs", build)
+    return spread(_staged_once(spark, sf_dir, "doc_pairs", build), "pair_id")
 
 
 # Turns told in one transcript. A longer conversation continues in the next part, so no

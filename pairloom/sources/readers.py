@@ -64,7 +64,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     A few unsplittable files would otherwise keep all but a few cores idle through the
     tokenizing that follows, and regrouping by ``key`` later reuses the partitioning. A
-    table of many files is left as it is.
+    table of many files is left as it is. Meant for plain scans: counting the tasks of a
+    plan with shuffles would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pairloom import operators as op
 from pairloom import plans, sources
 from pairloom.operators.encoding import Limits
-from pairloom.workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -35,12 +34,6 @@ def exchanges(plan: str) -> list[str]:
     return re.findall(r"Exchange (\w+)", plan.replace("BroadcastExchange ", "Broadcast "))
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_no_python_workers(spark, data_dir, name):
-    plan = QUERIES[name](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|ArrowEval|CartesianProduct|BroadcastNestedLoopJoin", plan)
-
-
 def test_hindsight_scans_once(spark, pairs_path):
     plan = final_plan(op.hindsight_examples(pairs(spark, pairs_path)).select("pair_id", "prompt", "text"))
     assert plan.count("FileScan") == 1 and not exchanges(plan)
