@@ -177,13 +177,14 @@ def random_split(
         )
     ).scalar()
     ppo_from, test_from = cuts["ppo"], cuts["test"]
-    # A cut past the last row has no first row and leaves its split empty.
+    # A cut past the last row has no first row and leaves its split empty. The position
+    # is a column of its own so that each row is hashed once for both comparisons.
     label = (
-        F.when(test_from.isNotNull() & (position >= test_from), "test")
-        .when(ppo_from.isNotNull() & (position >= ppo_from), "ppo")
+        F.when(test_from.isNotNull() & (F.col("_position") >= test_from), "test")
+        .when(ppo_from.isNotNull() & (F.col("_position") >= ppo_from), "ppo")
         .otherwise("rm")
     )
-    return df.withColumn(out, label)
+    return df.withColumn("_position", position).select(*df.columns, label.alias(out))
 
 
 def concat_examples(first: DataFrame, second: DataFrame) -> DataFrame:

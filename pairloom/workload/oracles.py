@@ -275,14 +275,14 @@ SELECT *, CASE WHEN rk >= n - 10 THEN 'test' WHEN rk >= (n - 10) // 2 THEN 'ppo'
 FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || pair_id), pair_id) - 1 AS rk, count(*) OVER () AS n FROM {source})"""
 
 
-def _alignment_rows(examples: str) -> str:
+def _alignment_rows(examples: str, key: str = "pair_id", budget: int = 48, vocab: str = "vocab") -> str:
     return _query(
-        f"""SELECT e.pair_id, e.branch, e.variant, {_contrast('p.ids', 'r.ids', 48, 64)}
-FROM variants e JOIN prompt_ids p USING (pair_id, branch, variant) JOIN response_ids r USING (pair_id, branch)""",
+        f"""SELECT e.{key}, e.branch, e.variant, {_contrast('p.ids', 'r.ids', budget, 64)}
+FROM variants e JOIN prompt_ids p USING ({key}, branch, variant) JOIN response_ids r USING ({key}, branch)""",
         examples=examples,
         variants=_VARIANTS.format(source="examples"),
-        prompt_ids=_ids("variants", "pair_id, branch, variant", "variant_prompt", 48),
-        response_ids=_ids("examples", "pair_id, branch", "chosen", 64),
+        prompt_ids=_ids("variants", f"{key}, branch, variant", "variant_prompt", budget, vocab),
+        response_ids=_ids("examples", f"{key}, branch", "chosen", 64, vocab),
     )
 
 
@@ -527,4 +527,28 @@ WHERE len({_toks(_dialogue('prompt'))}) <= 48"""
     "alignment_rows_random": _alignment_rows(
         "SELECT pair_id, 'random' AS branch, prompt, chosen FROM swapped WHERE prompt_length <= 48"
     ),
+    "alignment_rows_transcript": _alignment_rows(
+        f"""SELECT pair_id, b.branch, chr(10) || chr(10) || {_marked('prompt')} AS prompt,
+  CASE b.branch WHEN 'chosen' THEN chosen ELSE rejected END || ' </s>' AS chosen
+FROM transcript_pairs CROSS JOIN (SELECT unnest(['chosen', 'rejected']) AS branch) b
+WHERE len({_toks(_marked('prompt'))}) <= 48"""
+    ),
+    "alignment_rows_summary": _alignment_rows(
+        f"""SELECT doc_id, 'rejected' AS branch, {SUMMARY} || post || {ASSISTANT} AS prompt,
+  CASE WHEN choice = 1 THEN s0 ELSE s1 END || '</s>' AS chosen
+FROM summaries WHERE len({_toks(f"({SUMMARY} || post || {ASSISTANT})")}) <= 256""",
+        "doc_id",
+        256,
+        "document_vocab",
+    ),
+    "supervised_texts_preference": _query(
+        """SELECT pair_id, prompt_length, rejected_response_length AS text_length, prompt || rejected_response AS text
+FROM doc_dialogue_lengths WHERE prompt_length <= 256 AND rejected_response_length <= 768"""
+    ),
+    "supervised_texts_transcript": _query(
+        f"""SELECT conv_id, part, prompt_length, text_length, text
+FROM (SELECT conv_id, part, len({_toks('prompt')}) AS prompt_length, len({_toks('text')}) AS text_length, text
+      FROM (SELECT *, {_marked('prompt')} || response || ' </s>' AS text FROM transcripts))
+WHERE prompt_length <= 256 AND text_length <= 768"""
+    ),
 }

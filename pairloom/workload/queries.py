@@ -71,9 +71,7 @@ def read_split(spark, sf_dir):
 
 def write_completions(spark, sf_dir):
     path = sources.staging_path(spark, "completions") + ".json"
-    requests = op.completion_requests(inputs.instructions(spark, sf_dir))
-    cleaned = op.clean_completions(requests, inputs.completions(spark, sf_dir), "model-a")
-    sources.write_completions(cleaned, path)
+    plans.export_completions(inputs.instructions(spark, sf_dir), inputs.completions(spark, sf_dir), "model-a", path)
     return sources.read_examples(spark, path, COMPLETION_RECORDS)
 
 
@@ -483,6 +481,32 @@ def alignment_rows_random(spark, sf_dir):
     return _arrays_as_text(rows)
 
 
+def alignment_rows_transcript(spark, sf_dir):
+    rows = plans.alignment_rows(
+        inputs.transcript_pairs(spark, sf_dir), "pair_id", _pair_vocab(spark, sf_dir), "all",
+        PAIR_PROMPT_BUDGET, CONTRAST_RESPONSE_LENGTH, kind="transcript",
+    )
+    return _arrays_as_text(rows)
+
+
+def alignment_rows_summary(spark, sf_dir):
+    vocab = sources.staged(_document_vocab(spark, sf_dir), "document_vocab")
+    rows = plans.alignment_rows(
+        inputs.summaries(spark, sf_dir), "doc_id", vocab, "rejected", max_res_len=CONTRAST_RESPONSE_LENGTH, kind="summary"
+    )
+    return _arrays_as_text(rows)
+
+
+def supervised_texts_preference(spark, sf_dir):
+    texts = plans.supervised_texts(inputs.doc_pairs(spark, sf_dir), "preference", "rejected")
+    return texts.select("pair_id", "prompt_length", "text_length", "text")
+
+
+def supervised_texts_transcript(spark, sf_dir):
+    texts = plans.supervised_texts(inputs.transcripts(spark, sf_dir), "sft")
+    return texts.select("conv_id", "part", "prompt_length", "text_length", "text")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -500,5 +524,6 @@ QUERIES: dict[str, Query] = {
         score_questions, mc_accuracy, eval_report, contrastive_preference, contrastive_loss,
         steering_targets, alignment_distance, alignment_distance_by_layer,
         preparation_manifest, document_preparation, hindsight_batches, alignment_rows, alignment_rows_random,
+        alignment_rows_transcript, alignment_rows_summary, supervised_texts_preference, supervised_texts_transcript,
     )
 }
