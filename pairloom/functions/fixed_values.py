@@ -21,6 +21,9 @@ IGNORE_LABEL = -100
 # End-of-sequence marker as it appears in text.
 EOS_TEXT = "</s>"
 
+# Tokens with an id of their own, whatever the vocabulary.
+SPECIAL_TOKENS = {"<unk>": 0, "<s>": 1, "</s>": 2}
+
 # Dialogue markers.
 HUMAN = "\n\nHuman: "
 ASSISTANT = "\n\nAssistant: "

@@ -25,6 +25,7 @@ from pairloom.functions.fixed_values import (
     PROMPT_BUDGET,
     RESERVED_IDS,
     RESPONSE_LENGTH,
+    SPECIAL_TOKENS,
     TOTAL_BUDGET,
 )
 from pairloom.functions.text import Tokenizer, token_count, word_tokens
@@ -44,6 +45,14 @@ POSITION_BITS = 24
 MAX_SLOTS = 4
 
 
+def _special_id(token: Column) -> Column:
+    """Id of a special token, null for any other."""
+    given = F.lit(None).cast("long")
+    for text, number in SPECIAL_TOKENS.items():
+        given = F.when(token == text, F.lit(number).cast("long")).otherwise(given)
+    return given
+
+
 def build_vocab(
     df: DataFrame,
     cols: Sequence[str],
@@ -52,7 +61,7 @@ def build_vocab(
 ) -> DataFrame:
     """Table (token, count, id): ids follow falling frequency, after the reserved ones.
 
-    Ties are ordered by the token's hash. Counting combines on the map side, so a token
+    Special tokens found in the text keep their reserved id. Ties are ordered by the token's hash. Counting combines on the map side, so a token
     that makes up a third of the text costs one row per task. Write the result out (or
     stage it) before encoding with it.
     """
@@ -61,8 +70,13 @@ def build_vocab(
     counts = (
         df.select(F.explode(F.concat(*words)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     )
-    ranked = exact_rank(counts, "token", "vocab", by=-F.col("count"), out="_rank")
-    return ranked.select("token", "count", (F.col("_rank") + reserved).alias("id"))
+    # Specials are ranked behind all others rather than filtered out: a filter would slip
+    # below the count and give each reader of it a count of its own.
+    special = _special_id(F.col("token"))
+    ranked = exact_rank(
+        counts, "token", "vocab", by=F.when(special.isNull(), -F.col("count")).otherwise(1), out="_rank"
+    )
+    return ranked.select("token", "count", F.coalesce(special, F.col("_rank") + reserved).alias("id"))
 
 
 def _look_up(
@@ -117,7 +131,8 @@ def encode_texts(
 
     ``texts`` maps an output column to (text, maximum length or None). ``key`` must
     identify rows, and ``keep`` columns should be small: they travel with every token.
-    Unknown tokens get id 0; a text without tokens gives an empty array.
+    Unknown tokens get id 0 and special ones their own id, in the vocabulary or not; a text
+    without tokens gives an empty array.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if len(texts) > MAX_SLOTS:
@@ -139,9 +154,10 @@ def encode_texts(
         *keys, *keep, "_slot", F.posexplode_outer("_words").alias("_pos", "token")
     )
     found = _look_up(occurrences, vocab, "token", limits.broadcast_rows, limits.broadcast_bytes, limits.head_rows)
+    number = F.coalesce(_special_id(F.col("token")), F.col("id").cast("long"), F.lit(PAD_ID).cast("long"))
     packed = F.shiftleft(F.col("_slot").cast("long"), ID_BITS + POSITION_BITS).bitwiseOR(
         F.shiftleft(F.col("_pos").cast("long"), ID_BITS)
-    ).bitwiseOR(F.coalesce(F.col("id").cast("long"), F.lit(PAD_ID).cast("long")))
+    ).bitwiseOR(number)
     # collect_list skips the nulls of texts without tokens.
     rows = found.groupBy(*keys, *keep).agg(
         F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), packed))).alias("_packed")

@@ -154,10 +154,12 @@ FROM targets t JOIN activations m ON m.variant = 'model' AND m.example_id = t.ex
     "pair_text": f"""
 SELECT pair_id, {_bare('prompt')} AS prompt, {_bare('prompt')} || chosen_response AS text FROM responses""",
     "vocab": f"""
-SELECT token, n AS count, row_number() OVER (ORDER BY n DESC, md5('vocab:' || token), token) + 2 AS id
+SELECT token, n AS count, CASE token WHEN '</s>' THEN 2 WHEN '<s>' THEN 1 WHEN '<unk>' THEN 0 ELSE
+  row_number() OVER (ORDER BY token IN ('</s>', '<s>', '<unk>'), n DESC, md5('vocab:' || token), token) + 2 END AS id
 FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_toks('text')}) AS token FROM pair_text) GROUP BY 1)""",
     "document_vocab": f"""
-SELECT token, n AS count, row_number() OVER (ORDER BY n DESC, md5('vocab:' || token), token) + 2 AS id
+SELECT token, n AS count, CASE token WHEN '</s>' THEN 2 WHEN '<s>' THEN 1 WHEN '<unk>' THEN 0 ELSE
+  row_number() OVER (ORDER BY token IN ('</s>', '<s>', '<unk>'), n DESC, md5('vocab:' || token), token) + 2 END AS id
 FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_toks('text')}) AS token FROM documents) GROUP BY 1)""",
     "instructions": """
 SELECT pair_id AS id, prompt AS instruction FROM pair_base""",
@@ -390,6 +392,15 @@ FROM (SELECT pair_id, {_closed('ids', 40)} AS c, len({_toks('prompt')}) AS k FRO
         f"""SELECT pair_id, type, {_joined(f"list_concat(ids, {_repeat(0, '96 - len(ids)')})")} AS input_ids_neg FROM encoded""",
         encoded=_ids("short_hindsight", "pair_id, type", "neg_prompt || text", 96),
     ),
+    "project_training_columns_encoded": _query(
+        f"""SELECT pair_id, type, {_joined('c')} AS input_ids, {_joined(_repeat(1, 'len(c)'))} AS attention_mask,
+  {_joined("[CASE WHEN i <= k THEN -100 ELSE c[i] END for i in range(1, len(c) + 1)]")} AS labels,
+  {_joined(f"list_concat(g, {_repeat(0, '96 - len(g)')})")} AS input_ids_neg
+FROM (SELECT pair_id, type, {_closed('f.ids', 96)} AS c, g.ids AS g, least(len({_toks('prompt')}), 96) AS k
+      FROM full_ids f JOIN neg_ids g USING (pair_id, type) JOIN short_hindsight USING (pair_id, type))""",
+        full_ids=_ids("short_hindsight", "pair_id, type", "prompt || text", 96),
+        neg_ids=_ids("short_hindsight", "pair_id, type", "neg_prompt || text", 96),
+    ),
     "encode_contrast": _query(
         f"""SELECT pair_id, variant, {_contrast('p.ids', 'r.ids', 32, 64)}
 FROM prompt_ids p JOIN response_ids r USING (pair_id)""",
@@ -427,7 +438,7 @@ FROM (SELECT pair_id, pair_id % 10 AS batch_id, p.ids AS p, r.ids AS r,
         response_ids=_ids("asked", "pair_id", "chosen_response", None),
     ),
     "decode": _query(
-        f"""SELECT pair_id, coalesce(string_agg(v.token, ' ' ORDER BY pos) FILTER (v.token IS NOT NULL), '') AS decoded
+        f"""SELECT pair_id, coalesce(string_agg(v.token, ' ' ORDER BY pos) FILTER (v.id > 2), '') AS decoded
 FROM (SELECT pair_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
       FROM (SELECT pair_id, {_toks('rejected_response')}[1:96] AS t FROM responses)) LEFT JOIN vocab v USING (token)
 GROUP BY 1"""

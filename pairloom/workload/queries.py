@@ -246,6 +246,12 @@ def encode_counter_condition(spark, sf_dir):
     return _arrays_as_text(encoded)
 
 
+def project_training_columns_encoded(spark, sf_dir):
+    examples = op.hindsight_examples(inputs.pair_responses(spark, sf_dir), "good", "bad")
+    encoded = op.encode_hindsight(examples, ["pair_id", "type"], _pair_vocab(spark, sf_dir), ENCODE_LENGTH)
+    return _arrays_as_text(op.project_training_columns(encoded, "encoded", ["pair_id", "type"]))
+
+
 def _contrast_input(spark, sf_dir) -> DataFrame:
     return op.format_prompts(inputs.pair_responses(spark, sf_dir), "dialogue")
 
@@ -517,6 +523,7 @@ QUERIES: dict[str, Query] = {
         split_turns, clean_completions, project_training_columns,
         token_lengths, filter_pair_budget, filter_text_budget, filter_prompt_budget,
         build_vocab, encode, encode_documents, mask_prompt_labels, encode_counter_condition,
+        project_training_columns_encoded,
         encode_contrast, encode_contrast_single, position_ids, encode_qa_batch, decode,
         exact_rank, exact_rank_within, random_split, concat_examples, preference_branches, seeded_shuffle,
         head_examples, assign_batches_by_length, assign_batches_by_order,

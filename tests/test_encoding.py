@@ -40,6 +40,18 @@ def test_encode_closes_when_there_is_room(spark):
     assert row["attention_mask"] == [1, 1, 1] and row["labels"] == row["input_ids"]
 
 
+def test_special_tokens_keep_their_ids(spark):
+    df = texts(spark, "b </s>", "b <unk> a </s> </s>", "b <s>")
+    table = op.build_vocab(df, ["text"])
+    rows = {r["token"]: (r["count"], r["id"]) for r in table.collect()}
+    assert rows == {"b": (3, 3), "a": (1, 4), "</s>": (3, 2), "<s>": (1, 1), "<unk>": (1, 0)}
+    encoded = op.encode(df, "k", "text", table, 9)
+    assert ids(encoded) == {0: [3, 2], 1: [3, 0, 4, 2, 2], 2: [3, 1, 2]}
+    assert ids(op.decode(encoded, "k", "input_ids", table), "decoded") == {0: "b", 1: "b a", 2: "b"}
+    # Known without an entry in the vocabulary, too.
+    assert ids(op.encode(df, "k", "text", vocab(spark, "q b"), 9)) == {0: [4, 2], 1: [4, 0, 0, 2, 2], 2: [4, 1, 2]}
+
+
 def test_encode_does_not_close_twice(spark):
     end = spark.createDataFrame([("</s>", 2), ("a", 3)], "token string, id long")
     assert ids(op.encode(texts(spark, "a </s>"), "k", "text", end, 9)) == {0: [3, 2]}
