@@ -4,18 +4,22 @@ No preference data ships with the tables, so each input shape is built from
 ``conversations``, ``documents``, ``labels`` and ``embeddings``, whole, by keyed hashes:
 the same rows on every run, at every size, and in any engine that has md5.
 
-The two inputs that need a global order are staged once per session and directory.
+The inputs that need a global order, and the vocabularies, are staged once per session and
+directory, as tables that several jobs read would be.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.fixed_values import ASSISTANT, HUMAN
 from pairloom.functions.hashing import unit_interval
 from pairloom.functions.text import token_count, word_tokens
-from pairloom.operators.prompts import append_eos, extract_responses
+from pairloom.operators.encoding import build_vocab
+from pairloom.operators.prompts import append_eos, extract_responses, format_prompts
 from pairloom.operators.ranking import exact_rank
 from pairloom.sources.readers import spread
 from pairloom.sources.staging import staged
@@ -32,7 +36,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-def _staged_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def staged_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build`` makes, written out the first time a session asks for it."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _STAGED:
         _STAGED[at] = staged(build(), name)
@@ -64,7 +69,7 @@ def pair_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return exact_rank(staged(pairs, "turn_pairs"), "pair_id", "pair", out="rk", total="n")
 
-    return spread(_staged_once(spark, sf_dir, "pair_base", build), "pair_id")
+    return spread(staged_once(spark, sf_dir, "pair_base", build), "pair_id")
 
 
 def _neighbour(base: DataFrame, offset: Column | int) -> DataFrame:
@@ -94,6 +99,22 @@ def pair_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.select("pair_id", "prompt", "chosen_response", "rejected_response")
 
 
+def pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair_responses`` with the prompt in bare style and ``text``, prompt and chosen response."""
+    wrapped = format_prompts(pair_responses(spark, sf_dir), "bare")
+    return wrapped.withColumn("text", F.concat("prompt", "chosen_response"))
+
+
+def pair_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary of the chosen side only, so that rejected texts hold unknown tokens."""
+    return staged_once(spark, sf_dir, "pair_vocab", lambda: build_vocab(pair_text(spark, sf_dir), ["text"]))
+
+
+def document_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary of all documents."""
+    return staged_once(spark, sf_dir, "document_vocab", lambda: build_vocab(documents(spark, sf_dir), ["text"]))
+
+
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents, each with a bad one of its language: (pair_id, prompt, chosen_response, rejected_response)."""
 
@@ -126,7 +147,7 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "rejected_response",
         )
 
-    return spread(_staged_once(spark, sf_dir, "doc_pairs", build), "pair_id")
+    return spread(staged_once(spark, sf_dir, "doc_pairs", build), "pair_id")
 
 
 # Turns told in one transcript. A longer conversation continues in the next part, so no

@@ -204,51 +204,37 @@ def filter_prompt_budget(spark, sf_dir):
 # --- vocabulary and encoding -------------------------------------------------------
 
 
-def _pair_text(spark, sf_dir) -> DataFrame:
-    wrapped = op.format_prompts(inputs.pair_responses(spark, sf_dir), "bare")
-    return wrapped.withColumn("text", F.concat("prompt", "chosen_response"))
-
-
-def _document_vocab(spark, sf_dir) -> DataFrame:
-    return op.build_vocab(inputs.documents(spark, sf_dir), ["text"])
-
-
-def _pair_vocab(spark, sf_dir) -> DataFrame:
-    """Vocabulary of the chosen side only, so that rejected texts hold unknown tokens."""
-    return sources.staged(op.build_vocab(_pair_text(spark, sf_dir), ["text"]), "pair_vocab")
-
-
 def build_vocab(spark, sf_dir):
-    return _document_vocab(spark, sf_dir)
+    return op.build_vocab(inputs.documents(spark, sf_dir), ["text"])
 
 
 def encode(spark, sf_dir):
     return _arrays_as_text(
-        op.encode(_pair_text(spark, sf_dir), "pair_id", "text", _pair_vocab(spark, sf_dir), ENCODE_LENGTH)
+        op.encode(inputs.pair_text(spark, sf_dir), "pair_id", "text", inputs.pair_vocab(spark, sf_dir), ENCODE_LENGTH)
     )
 
 
 def encode_documents(spark, sf_dir):
-    vocab = sources.staged(_document_vocab(spark, sf_dir), "document_vocab")
+    vocab = inputs.document_vocab(spark, sf_dir)
     encoded = op.encode(inputs.documents(spark, sf_dir), "doc_id", "text", vocab)
     return encoded.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"))
 
 
 def mask_prompt_labels(spark, sf_dir):
-    text = op.token_lengths(_pair_text(spark, sf_dir), {"prompt_length": "prompt"})
-    encoded = op.encode(text, "pair_id", "text", _pair_vocab(spark, sf_dir), 40, keep=["prompt_length"])
+    text = op.token_lengths(inputs.pair_text(spark, sf_dir), {"prompt_length": "prompt"})
+    encoded = op.encode(text, "pair_id", "text", inputs.pair_vocab(spark, sf_dir), 40, keep=["prompt_length"])
     return op.mask_prompt_labels(encoded).select("pair_id", as_text(F.col("labels")).alias("labels"))
 
 
 def encode_counter_condition(spark, sf_dir):
     examples = op.hindsight_examples(inputs.pair_responses(spark, sf_dir), "good", "bad")
-    encoded = op.encode_counter_condition(examples, ["pair_id", "type"], _pair_vocab(spark, sf_dir), ENCODE_LENGTH)
+    encoded = op.encode_counter_condition(examples, ["pair_id", "type"], inputs.pair_vocab(spark, sf_dir), ENCODE_LENGTH)
     return _arrays_as_text(encoded)
 
 
 def project_training_columns_encoded(spark, sf_dir):
     examples = op.hindsight_examples(inputs.pair_responses(spark, sf_dir), "good", "bad")
-    encoded = op.encode_hindsight(examples, ["pair_id", "type"], _pair_vocab(spark, sf_dir), ENCODE_LENGTH)
+    encoded = op.encode_hindsight(examples, ["pair_id", "type"], inputs.pair_vocab(spark, sf_dir), ENCODE_LENGTH)
     return _arrays_as_text(op.project_training_columns(encoded, "encoded", ["pair_id", "type"]))
 
 
@@ -261,7 +247,7 @@ def encode_contrast(spark, sf_dir):
         op.encode_contrast(
             _contrast_input(spark, sf_dir),
             "pair_id",
-            _pair_vocab(spark, sf_dir),
+            inputs.pair_vocab(spark, sf_dir),
             response="rejected_response",
             prompt_len=CONTRAST_PROMPT_LENGTH,
             max_res_len=CONTRAST_RESPONSE_LENGTH,
@@ -273,7 +259,7 @@ def _single_contrast(spark, sf_dir) -> DataFrame:
     return op.encode_contrast(
         _contrast_input(spark, sf_dir),
         "pair_id",
-        _pair_vocab(spark, sf_dir),
+        inputs.pair_vocab(spark, sf_dir),
         response="chosen_response",
         variants=False,
         prompt_len=CONTRAST_PROMPT_LENGTH,
@@ -296,13 +282,13 @@ def encode_qa_batch(spark, sf_dir):
         "batch_id", F.col("pair_id") % 10
     )
     encoded = op.encode_qa_batch(
-        asked, "pair_id", "batch_id", _pair_vocab(spark, sf_dir), prompt="prompt", target="chosen_response"
+        asked, "pair_id", "batch_id", inputs.pair_vocab(spark, sf_dir), prompt="prompt", target="chosen_response"
     )
     return _arrays_as_text(encoded)
 
 
 def decode(spark, sf_dir):
-    vocab = _pair_vocab(spark, sf_dir)
+    vocab = inputs.pair_vocab(spark, sf_dir)
     rejected = inputs.pair_responses(spark, sf_dir)
     encoded = op.encode(rejected, "pair_id", "rejected_response", vocab, ENCODE_LENGTH)
     return op.decode(encoded, "pair_id", "input_ids", vocab)
@@ -466,14 +452,14 @@ def document_preparation(spark, sf_dir):
 
 def hindsight_batches(spark, sf_dir):
     batches = plans.hindsight_batches(
-        inputs.pair_responses(spark, sf_dir), "pair_id", _pair_vocab(spark, sf_dir), BATCH_SIZE, max_len=192
+        inputs.pair_responses(spark, sf_dir), "pair_id", inputs.pair_vocab(spark, sf_dir), BATCH_SIZE, max_len=192
     )
     return _arrays_as_text(batches)
 
 
 def alignment_rows(spark, sf_dir):
     rows = plans.alignment_rows(
-        inputs.pair_responses(spark, sf_dir), "pair_id", _pair_vocab(spark, sf_dir), "all",
+        inputs.pair_responses(spark, sf_dir), "pair_id", inputs.pair_vocab(spark, sf_dir), "all",
         PAIR_PROMPT_BUDGET, CONTRAST_RESPONSE_LENGTH,
     )
     return _arrays_as_text(rows)
@@ -481,7 +467,7 @@ def alignment_rows(spark, sf_dir):
 
 def alignment_rows_random(spark, sf_dir):
     rows = plans.alignment_rows(
-        inputs.pair_responses(spark, sf_dir), "pair_id", _pair_vocab(spark, sf_dir), "random",
+        inputs.pair_responses(spark, sf_dir), "pair_id", inputs.pair_vocab(spark, sf_dir), "random",
         PAIR_PROMPT_BUDGET, CONTRAST_RESPONSE_LENGTH,
     )
     return _arrays_as_text(rows)
@@ -489,14 +475,14 @@ def alignment_rows_random(spark, sf_dir):
 
 def alignment_rows_transcript(spark, sf_dir):
     rows = plans.alignment_rows(
-        inputs.transcript_pairs(spark, sf_dir), "pair_id", _pair_vocab(spark, sf_dir), "all",
+        inputs.transcript_pairs(spark, sf_dir), "pair_id", inputs.pair_vocab(spark, sf_dir), "all",
         PAIR_PROMPT_BUDGET, CONTRAST_RESPONSE_LENGTH, kind="transcript",
     )
     return _arrays_as_text(rows)
 
 
 def alignment_rows_summary(spark, sf_dir):
-    vocab = sources.staged(_document_vocab(spark, sf_dir), "document_vocab")
+    vocab = inputs.document_vocab(spark, sf_dir)
     rows = plans.alignment_rows(
         inputs.summaries(spark, sf_dir), "doc_id", vocab, "rejected", max_res_len=CONTRAST_RESPONSE_LENGTH, kind="summary"
     )
