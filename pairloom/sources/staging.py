@@ -6,26 +6,17 @@ executor costs nothing but a re-read.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only for a local master."""
+    """The shared folder the session names; where it names none, one beside the session's warehouse tables."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_DIRS:
-        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="pairloom-")
-    return _LOCAL_DIRS[application]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -38,3 +29,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, path: str) -> None:
+    """Delete a staged table once the job that wrote it is through with it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
