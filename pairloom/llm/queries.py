@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, neighbours, token_counts, token_files
+from pairloom.llm import bpe, decontaminate, neighbours, pii, token_counts, token_files
 from pairloom.llm.common import table
 from pairloom.sources.staging import staging_path
 
@@ -29,6 +29,18 @@ def op6_decontamination(spark, sf_dir):
     return found.selectExpr("id as doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_personal_data(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
+    base = F.when(F.col("base") != "", F.array("base")).otherwise(F.array().cast("array<string>"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        F.array_join(F.concat(base, terms), ",").alias("spans"),
+    )
+
+
 def op8_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = staging_path(spark, "token-files")
@@ -49,6 +61,7 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_token_files": op8_token_files,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
