@@ -8,11 +8,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, neighbours, pii, token_counts, token_files
+from pairloom.llm import bpe, decontaminate, neighbours, pii, token_counts, token_files, toxicity
 from pairloom.llm.common import table
 from pairloom.sources.staging import staging_path
 
 
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def held_out(id_col):
+        return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+    model = toxicity.fit_on(docs, labels, allowed=~held_out("id"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op4_byte_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern, packed=True)
@@ -59,6 +70,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
