@@ -8,11 +8,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, neighbours, pii, token_counts, token_files, toxicity
+from pairloom.llm import bpe, chat, decontaminate, neighbours, pii, quality, token_counts, token_files, toxicity
 from pairloom.llm.common import table
 from pairloom.sources.staging import staging_path
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op2_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
 
@@ -35,6 +41,12 @@ def op4_byte_bpe(spark, sf_dir):
     )
 
 
+def op5_chat(spark, sf_dir):
+    parts = chat.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return parts.withColumn("mask", F.array_join(spans, ","))
+
+
 def op6_decontamination(spark, sf_dir):
     found = decontaminate.find_benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.selectExpr("id as doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -70,8 +82,10 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_chat": op5_chat,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_token_files": op8_token_files,
@@ -82,6 +96,26 @@ QUERIES = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op5_chat": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(turn // 128, -4611686018427387904) AS block,
+                replace(CASE WHEN trim(role) <> '' THEN role ELSE 'unknown' END, '<|im_', '<| im_') AS role,
+                replace(coalesce(text, ''), '<|im_', '<| im_') AS text
+            FROM conversations),
+        seen AS (
+            SELECT t.*, p.role AS participant, t.role = p.role AS own,
+                '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = p.role THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
+                t.text || '<|im_end|>' || chr(10) AS body
+            FROM turns AS t JOIN (SELECT DISTINCT conv_id, role FROM turns WHERE role <> 'system') AS p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+        placed AS (
+            SELECT *, sum(length(head) + length(body)) OVER (
+                PARTITION BY conv_id, participant ORDER BY block, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop
+            FROM seen)
+        SELECT conv_id, participant, CAST(row_number() OVER (PARTITION BY conv_id, participant ORDER BY block) - 1 AS INTEGER) AS part,
+            CAST(min(stop - length(body) - length(head)) AS BIGINT) AS "offset", count(*) AS n_turns,
+            string_agg(head || body, '' ORDER BY stop) AS text,
+            coalesce(string_agg(CAST(stop - length(body) AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY stop) FILTER (own), '') AS mask
+        FROM placed GROUP BY conv_id, participant, block""",
     "op6_decontamination": f"""
         WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
         item AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
