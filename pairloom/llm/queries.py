@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, decontaminate, neighbours, pii, quality, token_counts, token_files, toxicity
+from pairloom.llm import bpe, chat, decontaminate, jaccard_join, neighbours, pii, quality, token_counts, token_files, toxicity
 from pairloom.llm.common import table
 from pairloom.sources.staging import staging_path
 
@@ -30,6 +30,10 @@ def op2_toxicity(spark, sf_dir):
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_byte_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern, packed=True)
@@ -84,6 +88,7 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat": op5_chat,
     "op6_decontamination": op6_decontamination,
@@ -96,6 +101,20 @@ QUERIES = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM grams AS x JOIN grams AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM pairs JOIN sizes AS p ON p.doc_id = a JOIN sizes AS q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+        reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+        SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, least(doc.doc_id, coalesce(other, doc.doc_id)) AS component_id
+        FROM doc LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id) AS r USING (doc_id)""",
     "op5_chat": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(turn // 128, -4611686018427387904) AS block,
