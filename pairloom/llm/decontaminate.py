@@ -158,6 +158,21 @@ def _scan(name: str, broadcast, last: bool):
     return run
 
 
+def _chunks(items: DataFrame, item_id_col: str, item_text_col: str, window: int, chunk_bytes: int) -> Iterator[tuple[str, list, bool]]:
+    """Name and patterns of each automaton, and whether it is the last; at most about ``chunk_bytes`` reach the driver at once."""
+    patterns = (
+        two_columns(items, item_id_col, item_text_col)
+        .withColumn("id", F.col("id").cast("string"))
+        .mapInArrow(_windows(window), "pattern binary, n int, item string")
+        .distinct()
+    )
+    total = patterns.agg(F.sum(F.length("pattern") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
+    chunks = max(1, math.ceil(total / chunk_bytes))
+    for chunk in range(chunks):
+        rows = patterns.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(chunks)) == chunk).collect()
+        yield uuid.uuid4().hex, [(bytes(r["pattern"]), r["n"], r["item"]) for r in rows], chunk == chunks - 1
+
+
 def find_benchmark_passages(
     docs: DataFrame,
     items: DataFrame,
@@ -170,22 +185,40 @@ def find_benchmark_passages(
 ) -> DataFrame:
     """Words, hit words, items met, their digest and hit spans of each document, under ``id``."""
     spark = prepare(docs.sparkSession)
-    patterns = (
-        two_columns(items, item_id_col, item_text_col)
-        .withColumn("id", F.col("id").cast("string"))
-        .mapInArrow(_windows(window), "pattern binary, n int, item string")
-        .distinct()
-    )
-    total = patterns.agg(F.sum(F.length("pattern") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
     scanned = two_columns(docs, id_col, text_col)
     kind = scanned.schema["id"].dataType.simpleString()
     scanned = scanned.withColumns({"hits": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")})
-    for chunk in range(chunks):
-        # At most about chunk_bytes reach the driver at once.
-        rows = patterns.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(chunks)) == chunk).collect()
-        broadcast = spark.sparkContext.broadcast([(bytes(r["pattern"]), r["n"], r["item"]) for r in rows])
-        last = chunk == chunks - 1
+    for name, rows, last in _chunks(items, item_id_col, item_text_col, window, chunk_bytes):
         schema = RESULT.format(id=kind) if last else f"id {kind}, text string, hits array<int>, items array<string>"
-        scanned = scanned.mapInArrow(_scan(uuid.uuid4().hex, broadcast, last), schema)
+        scanned = scanned.mapInArrow(_scan(name, spark.sparkContext.broadcast(rows), last), schema)
     return scanned
+
+
+def _clean(name: str, broadcast, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, broadcast.value)
+        for batch in batches:
+            keep = []
+            for text in bytes_of(batch, text_col):
+                hit: list[int] = []
+                _scan_text(automaton, text, hit, set())
+                keep.append(not hit)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def without_benchmark_passages(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW_WORDS,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """The rows, with all their columns, whose texts hold no window of the benchmark."""
+    spark = prepare(docs.sparkSession)
+    for name, rows, _ in _chunks(items, item_id_col, item_text_col, window, chunk_bytes):
+        docs = docs.mapInArrow(_clean(name, spark.sparkContext.broadcast(rows), text_col), docs.schema)
+    return docs

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import bytes_of, prepare, two_columns
+from pairloom.llm.common import bytes_of, fresh, prepare, two_columns
 from pairloom.sources.staging import staged
 
 SHINGLE_WORDS = 4
@@ -408,10 +408,8 @@ def frequent_shingles(texts: DataFrame, n: int, least: int = FREQUENT, most: int
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def similar_components(
-    docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(id, n_shingles, component_id)`` of every row; component_id: the least id reachable by links."""
+def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, n, class, root)`` of every row; root: the component, as its least class."""
     spark: SparkSession = prepare(docs.sparkSession)
     texts = two_columns(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
@@ -447,9 +445,47 @@ def similar_components(
     alone = again.selectExpr("node", "root").join(roots, "node", "left_anti")
     final = staged(final.unionByName(alone), "roots")
 
-    placed = members.join(final, members["class"] == final["node"], "left").select("id", "n", F.coalesce("root", "class").alias("root"))
-    placed = staged(placed, "placed")
+    placed = members.join(final, members["class"] == final["node"], "left").select("id", "n", "class", F.coalesce("root", "class").alias("root"))
+    return staged(placed, "placed")
+
+
+def similar_components(
+    docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id, n_shingles, component_id)`` of every row; component_id: the least id reachable by links."""
+    placed = _placed(docs, n, percent, id_col, text_col)
     least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(least, "root", "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def _with_class(n: int, text_col: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text, n) for text in bytes_of(batch, text_col)]
+            prints = pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, name])
+
+    return run
+
+
+def keep_one_of_each(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the least id of each component, with all its columns; rows without words all stay.
+
+    A null id counts as larger than any other. Of rows with the same id and the same set, one stays.
+    """
+    placed = _placed(docs, n, percent, id_col, text_col)
+    key = fresh(docs.columns, "class")
+    row = fresh([*docs.columns, key], "row")
+
+    def name_of(id_value, class_value):
+        return F.xxhash64(id_value.isNull(), F.coalesce(id_value.cast("string"), F.lit("")), class_value)
+
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "class")).alias("first")
+    kept = placed.where("root is not null").groupBy("root").agg(first).select(name_of(F.col("first.id"), F.col("first.class")).alias(row))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    rows = docs.mapInArrow(_with_class(n, text_col, key), f"{', '.join(fields)}, `{key}` bigint")
+    worded = rows.where(F.col(f"`{key}`").isNotNull()).withColumn(row, name_of(F.col(f"`{id_col}`"), F.col(f"`{key}`")))
+    worded = worded.dropDuplicates([row]).join(kept, row, "left_semi").drop(row)
+    return worded.unionByName(rows.where(F.col(f"`{key}`").isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
