@@ -92,16 +92,15 @@ def nan_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def assert_no_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Refuse NaN scores: the returned table raises when a row that has one is computed.
+    """Refuse NaN scores: any use of the returned table, a count too, raises where a row has one.
 
-    The check rides along in the same stage, with no extra pass; ``nan_report`` counts
-    instead of raising.
+    The check is a condition on the rows, which no pruning of columns removes. It rides along
+    in the same stage, with no extra pass; ``nan_report`` counts instead of raising.
     """
-
-    def checked(name: str) -> Column:
-        return F.when(F.isnan(name), F.raise_error(F.lit(f"NaN in {name}"))).otherwise(F.col(name))
-
-    return df.withColumns({c: checked(c) for c in cols})
+    sound = F.lit(True)
+    for c in cols:
+        sound = F.when(F.isnan(c), F.raise_error(F.lit(f"NaN in {c}")).cast("boolean")).otherwise(sound)
+    return df.where(sound)
 
 
 def score_questions(choices: DataFrame, scores: DataFrame, key: str = "q") -> DataFrame:

@@ -142,19 +142,19 @@ def encode_texts(
     slots = []
     for text, max_len in texts.values():
         words = F.coalesce(tokenize(text), F.array().cast("array<string>"))
-        if max_len is None:
-            words = F.when(F.size(words) <= longest, words).otherwise(
-                F.raise_error(F.lit(f"a text has more than {longest} tokens"))
-            )
-        else:
-            words = F.slice(words, 1, min(max_len, longest))
-        slots.append(words)
+        if max_len is not None:
+            words = F.slice(words, 1, max_len)
+        # Positions are packed into a fixed number of bits: more tokens than that fail, whatever max_len asks for.
+        slots.append(F.when(F.size(words) <= longest, words).otherwise(F.raise_error(F.lit(f"a text has more than {longest} tokens"))))
 
     occurrences = df.select(*keys, *keep, F.posexplode(F.array(*slots)).alias("_slot", "_words")).select(
         *keys, *keep, "_slot", F.posexplode_outer("_words").alias("_pos", "token")
     )
     found = _look_up(occurrences, vocab, "token", limits.broadcast_rows, limits.broadcast_bytes, limits.head_rows)
     number = F.coalesce(_special_id(F.col("token")), F.col("id").cast("long"), F.lit(PAD_ID).cast("long"))
+    number = F.when((number >= 0) & (number < (1 << ID_BITS)), number).otherwise(
+        F.raise_error(F.concat(F.lit("vocabulary id out of range: "), number.cast("string")))
+    )
     packed = F.shiftleft(F.col("_slot").cast("long"), ID_BITS + POSITION_BITS).bitwiseOR(
         F.shiftleft(F.col("_pos").cast("long"), ID_BITS)
     ).bitwiseOR(number)

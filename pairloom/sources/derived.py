@@ -137,44 +137,46 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(bad.select("lang", "rk", F.col("doc_id").alias("bad_id")), ["lang", "rk"])
             .select("pair_id", "bad_id")
         )
+        # The prompt is the whole text of the next good document of the language.
+        after = good.select("lang", ((F.col("rk") + F.col("n") - 1) % F.col("n")).alias("rk"), F.col("doc_id").alias("prompt_id"))
+        matched = matched.join(good.join(after, ["lang", "rk"]).select(F.col("doc_id").alias("pair_id"), "prompt_id"), "pair_id")
         texts = docs.select("doc_id", "text")
+        prompts = texts.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
         chosen = texts.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("chosen_response"))
         rejected = texts.select(F.col("doc_id").alias("bad_id"), F.col("text").alias("rejected_response"))
-        return matched.join(chosen, "pair_id").join(rejected, "bad_id").select(
-            "pair_id",
-            F.array_join(F.slice(word_tokens(F.col("chosen_response")), 1, 12), " ").alias("prompt"),
-            "chosen_response",
-            "rejected_response",
-        )
+        joined = matched.join(chosen, "pair_id").join(rejected, "bad_id").join(prompts, "prompt_id")
+        return joined.select("pair_id", "prompt", "chosen_response", "rejected_response")
 
     return spread(staged_once(spark, sf_dir, "doc_pairs", build), "pair_id")
 
 
-# Turns told in one transcript. A longer conversation continues in the next part, so no
-# group grows with the length of a conversation.
-TRANSCRIPT_TURNS = 1000
+# Turns put together at a time. A giant conversation is told in many such blocks, and only
+# the blocks' strings meet per conversation.
+BLOCK_TURNS = 256
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, part, prompt, response): the history up to the last assistant turn, which is the response."""
-    spoken = (
-        _table(spark, sf_dir, "conversations")
-        .where(F.col("role") != "system")
-        .withColumn("part", F.floor(F.col("turn") / TRANSCRIPT_TURNS))
-    )
+    """(conv_id, prompt, response): the history up to the last assistant turn, which is the response."""
+    spoken = _table(spark, sf_dir, "conversations").where(F.col("role") != "system")
+    last = spoken.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max("turn").alias("last"))
     marker = F.when(F.col("role") == "user", HUMAN).otherwise(ASSISTANT)
-    turn = F.struct("turn", "text", F.concat(marker, "text").alias("marked"))
-    told = spoken.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(turn)).alias("turns"),
-        F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"),
+    before = F.when(F.col("turn") < F.col("last"), F.struct("turn", F.concat(marker, "text").alias("marked")))
+    told = (
+        spoken.join(last, "conv_id")
+        .where(F.col("turn") <= F.col("last"))
+        .groupBy("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"))
+        .agg(
+            F.array_sort(F.collect_list(before)).alias("turns"),
+            F.max(F.when(F.col("turn") == F.col("last"), F.col("text"))).alias("response"),
+        )
+        .select("conv_id", "block", F.array_join(F.col("turns")["marked"], "").alias("history"), "response")
     )
-    history = F.transform(F.filter("turns", lambda t: t["turn"] < F.col("last")), lambda t: t["marked"])
-    answer = F.filter("turns", lambda t: t["turn"] == F.col("last"))
-    return told.where(F.col("last").isNotNull()).select(
-        "conv_id",
-        "part",
-        F.concat(F.array_join(history, ""), F.lit(ASSISTANT)).alias("prompt"),
-        F.get(answer, F.lit(0))["text"].alias("response"),
+    return told.groupBy("conv_id").agg(
+        F.concat(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "history"))), lambda b: b["history"]), ""),
+            F.lit(ASSISTANT),
+        ).alias("prompt"),
+        F.max("response").alias("response"),
     )
 
 
@@ -253,16 +255,17 @@ def keyed_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _positions(limit: Column | int, most: int) -> Column:
-    """0 .. limit-1, at most ``most`` of them."""
-    return F.slice(F.array(*[F.lit(i) for i in range(most)]), 1, limit)
+def _positions(text: str) -> Column:
+    """0 .. n-1 for the n tokens of a text; null without tokens, which explodes to no row."""
+    n = token_count(F.col(text))
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1))
 
 
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, choice, pos, mask, logprob): position 0 stands for the prompt."""
     return (
         mc_long(spark, sf_dir)
-        .select("q", "choice", F.explode(_positions(token_count(F.col("answer")), 16)).alias("pos"))
+        .select("q", "choice", F.explode(_positions("answer")).alias("pos"))
         .select(
             "q", "choice", "pos", (F.col("pos") > 0).cast("int").alias("mask"),
             (-8 * _keyed("ts", "q", "choice", "pos")).alias("logprob"),
@@ -274,7 +277,7 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, cond, pos, label, loss): the first four positions are ignored ones."""
     return (
         pair_base(spark, sf_dir)
-        .select(F.col("pair_id").alias("id"), F.explode(_positions(token_count(F.col("good")), 32)).alias("pos"))
+        .select(F.col("pair_id").alias("id"), F.explode(_positions("good")).alias("pos"))
         .select("id", "pos", F.explode(F.array(F.lit("pos"), F.lit("neg"))).alias("cond"))
         .select(
             "id", "cond", "pos",
@@ -284,27 +287,24 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, pos, token, logit, target): four positions of sixteen classes."""
+def logits(spark: SparkSession, sf_dir: str, classes: int = 16) -> DataFrame:
+    """(id, pos, token, logit, target): each token of the response is a position, its hash the target class."""
+    word = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
     return (
         pair_base(spark, sf_dir)
-        .select(F.col("pair_id").alias("id"), F.explode(_positions(4, 4)).alias("pos"))
-        .select("id", "pos", F.explode(_positions(16, 16)).alias("token"))
-        .select(
-            "id", "pos", "token",
-            (10 * _keyed("lg", "id", "pos", "token")).alias("logit"),
-            ((F.col("id") + F.col("pos")) % 16).cast("int").alias("target"),
-        )
+        .select(F.col("pair_id").alias("id"), F.posexplode(word_tokens(F.col("good"))).alias("pos", "word"))
+        .select("id", "pos", (word % classes).cast("int").alias("target"))
+        .select("id", "pos", "target", F.explode(F.array(*[F.lit(i) for i in range(classes)])).alias("token"))
+        .select("id", "pos", "token", (10 * _keyed("lg", "id", "pos", "token")).alias("logit"), "target")
     )
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long activation table: four consecutive vectors are base, pos, neg and model; six layers an example."""
     vectors = _table(spark, sf_dir, "embeddings")
-    whole = F.floor(vectors.select("vec_id").agg(F.count(F.lit(1)).alias("n")).scalar() / 4)
     group = F.floor(F.col("vec_id") / 4)
     names = F.array(*[F.lit(v) for v in ("base", "pos", "neg", "model")])
-    return vectors.where(group < whole).select(
+    return vectors.select(
         F.floor(F.col("vec_id") / 24).alias("example_id"),
         (10 + 2 * (group % 6)).cast("int").alias("layer"),
         F.lit(0).alias("pos"),

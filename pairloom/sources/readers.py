@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from pairloom.functions.fixed_values import MISSPELLED_REJECTED
@@ -22,35 +24,66 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def canonical_names(df: DataFrame) -> DataFrame:
-    """Dashes to underscores, and the misspelled rejected-response column to its proper name."""
-    names = {c: "rejected_response" if c == MISSPELLED_REJECTED else c.replace("-", "_") for c in df.columns}
+    """Dashes to underscores, and names of published prepared tables to this package's."""
+    names = {c: _canonical(c) for c in df.columns}
     return df.withColumnsRenamed({old: new for old, new in names.items() if old != new})
 
 
+# Published prepared tables name some columns differently; fixed values.
+RENAMED = {MISSPELLED_REJECTED: "rejected_response", "chosen_length": "chosen_response_length", "rejected_length": "rejected_response_length"}
+
+
+def _canonical(name: str) -> str:
+    return RENAMED.get(name, name.replace("-", "_"))
+
+
 def read_examples(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Read a table, choosing the format by suffix.
 
     ``.jsonl`` is one record a line; ``.json`` may also be one array of records;
-    ``.parquet`` and anything else (a saved dataset directory) is Parquet. With a
-    ``schema`` nothing is inferred, and a Parquet table lacking one of its columns is
-    refused.
+    ``.parquet`` and anything else (a saved dataset directory) is Parquet. Malformed JSON
+    fails. Names are made canonical first; a table that then lacks a column of ``schema``
+    is refused, and only the schema's columns are returned.
     """
-    if path.endswith((".json", ".jsonl")):
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return canonical_names(reader.json(path, multiLine=_is_array(spark, path)))
-    df = spark.read.parquet(path)
-    if schema is not None:
-        # Selecting, rather than imposing, the schema lets a missing column be noticed.
-        df = require_columns(df, schema.fieldNames()).select(*[f"`{n}`" for n in schema.fieldNames()])
-    return canonical_names(df)
+    if not path.endswith((".json", ".jsonl")):
+        return _of_schema(canonical_names(spark.read.parquet(path)), schema)
+    options = {"multiLine": _is_array(spark, path), "mode": "FAILFAST"}
+    if schema is None:
+        return canonical_names(spark.read.json(path, **options))
+    # Every name the schema's columns may have: which of them occur is known from the data.
+    names = {f.name: f for f in schema.fields}
+    old = {new: name for name, new in RENAMED.items()}
+    asked = [*schema.fields]
+    for f in schema.fields:
+        for name in (_canonical(f.name), old.get(_canonical(f.name))):
+            if name and name not in names:
+                names[name] = T.StructField(name, f.dataType)
+                asked.append(names[name])
+    df = spark.read.schema(T.StructType(asked)).json(path, **options)
+    # A file without records has no columns to miss.
+    present = df.agg(F.count(F.lit(1)), *[F.max(F.col(f"`{f.name}`").isNotNull()) for f in asked]).first()
+    used = [f.name for f, there in zip(asked, present[1:]) if there or (not present[0] and f in schema.fields)]
+    return _of_schema(canonical_names(df.select(*[f"`{n}`" for n in used])), schema)
+
+
+def _of_schema(df: DataFrame, schema: StructType | None) -> DataFrame:
+    if schema is None:
+        return df
+    names = [_canonical(n) for n in schema.fieldNames()]
+    return require_columns(df, names).select(*[f"`{n}`" for n in names])
 
 
 def _is_array(spark: SparkSession, path: str) -> bool:
-    """Whether a ``.json`` file opens with ``[``. JSON Lines stay splittable across tasks."""
+    """Whether a ``.json`` file opens with ``[``. JSON Lines stay splittable across tasks.
+
+    Only the first character that is not blank comes to the driver.
+    """
     if not path.endswith(".json"):
         return False
-    first = spark.read.text(path).limit(1).first()
-    return first is not None and first["value"].lstrip("\ufeff \t").startswith("[")
+    blank = " \t\r\ufeff"
+    opening = spark.read.text(path).select(F.substring(F.ltrim(F.col("value"), F.lit(blank)), 1, 1).alias("c"))
+    first = opening.where(F.col("c") != "").limit(1).first()
+    return first is not None and first["c"] == "["
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:

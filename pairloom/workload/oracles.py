@@ -80,9 +80,9 @@ SELECT doc_id, lang, text, quality,
   count(*) OVER (PARTITION BY lang, quality) AS n
 FROM documents JOIN labels USING (doc_id)""",
     "doc_pairs": f"""
-SELECT g.doc_id AS pair_id, array_to_string({_toks('g.text')}[1:12], ' ') AS prompt,
-  g.text AS chosen_response, b.text AS rejected_response
-FROM doc_ranks g JOIN doc_ranks b ON b.lang = g.lang AND b.quality = 0 AND b.rk = g.rk % b.n WHERE g.quality = 1""",
+SELECT g.doc_id AS pair_id, p.text AS prompt, g.text AS chosen_response, b.text AS rejected_response
+FROM doc_ranks g JOIN doc_ranks b ON b.lang = g.lang AND b.quality = 0 AND b.rk = g.rk % b.n
+JOIN doc_ranks p ON p.lang = g.lang AND p.quality = 1 AND p.rk = (g.rk + 1) % g.n WHERE g.quality = 1""",
     "doc_lengths": f"""
 SELECT *, len({_toks('prompt')}) AS prompt_length,
   len({_toks('prompt || chosen_response')}) AS chosen_response_length,
@@ -93,13 +93,12 @@ SELECT pair_id, p AS prompt, chosen_response, rejected_response, len({_toks('p')
   len({_toks('p || rejected_response')}) AS rejected_response_length
 FROM (SELECT *, {_dialogue('prompt')} AS p FROM doc_pairs)""",
     "transcripts": f"""
-SELECT c.conv_id, c.part, coalesce(string_agg(CASE WHEN role = 'user' THEN {HUMAN} ELSE {ASSISTANT} END || text, ''
+SELECT c.conv_id, coalesce(string_agg(CASE WHEN role = 'user' THEN {HUMAN} ELSE {ASSISTANT} END || text, ''
     ORDER BY turn) FILTER (turn < last), '') || {ASSISTANT} AS prompt,
   max(text) FILTER (turn = last) AS response
-FROM (SELECT *, turn // 1000 AS part FROM conversations) c
-JOIN (SELECT conv_id, turn // 1000 AS part, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) l
-  USING (conv_id, part)
-WHERE role <> 'system' AND turn <= last GROUP BY 1, 2""",
+FROM conversations c
+JOIN (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1) l USING (conv_id)
+WHERE role <> 'system' AND turn <= last GROUP BY 1""",
     "transcript_pairs": f"""
 SELECT pair_id, {_dialogue('prompt')} AS prompt, chosen, rejected FROM pairs""",
     "summaries": f"""
@@ -111,7 +110,7 @@ SELECT a.pair_id AS q, a.prompt AS question, ((k.k + a.rk) % 4)::INT AS choice,
 FROM pair_base a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) k JOIN pair_base b ON b.rk = (a.rk + k.k) % a.n""",
     "token_scores": f"""
 SELECT q, choice, p.p AS pos, (p.p > 0)::INT AS mask, -8 * {_u("'ts:' || q || ':' || choice || ':' || p.p")} AS logprob
-FROM mc_long JOIN (SELECT unnest(range(16))::INT AS p) p ON p.p < len({_toks('answer')})""",
+FROM (SELECT q, choice, unnest(range(len({_toks('answer')})))::INT AS p FROM mc_long) p""",
     "sequence_scores": """
 SELECT q, choice, sum(mask * logprob) AS logprob FROM token_scores GROUP BY 1, 2""",
     "scored": """
@@ -126,8 +125,8 @@ JOIN (SELECT q, choice FROM scored QUALIFY row_number() OVER (PARTITION BY q ORD
     "token_loss": f"""
 SELECT pair_id AS id, c.c AS cond, p.p AS pos, CASE WHEN p.p < 4 THEN -100 ELSE p.p END AS label,
   8 * {_u("'tl:' || pair_id || ':' || c.c || ':' || p.p")} AS loss
-FROM pair_base CROSS JOIN (SELECT unnest(['pos', 'neg']) AS c) c
-JOIN (SELECT unnest(range(32))::INT AS p) p ON p.p < len({_toks('good')})""",
+FROM (SELECT pair_id, unnest(range(len({_toks('good')})))::INT AS p FROM pair_base) p
+CROSS JOIN (SELECT unnest(['pos', 'neg']) AS c) c""",
     "preference_scores": """
 SELECT id, -ln(pp / (pp + pn) + 1e-8) AS pos_lp, -ln(pn / (pp + pn) + 1e-8) AS neg_lp
 FROM (SELECT id, exp(-avg(CASE WHEN label = -100 THEN 0 ELSE loss END) FILTER (cond = 'pos')) AS pp,
@@ -135,13 +134,14 @@ FROM (SELECT id, exp(-avg(CASE WHEN label = -100 THEN 0 ELSE loss END) FILTER (c
       FROM token_loss GROUP BY 1)""",
     "logits": f"""
 SELECT pair_id AS id, p.p AS pos, t.t AS token, 10 * {_u("'lg:' || pair_id || ':' || p.p || ':' || t.t")} AS logit,
-  ((pair_id + p.p) % 16)::INT AS target
-FROM pair_base CROSS JOIN (SELECT unnest(range(4))::INT AS p) p CROSS JOIN (SELECT unnest(range(16))::INT AS t) t""",
+  (('0x' || substr(md5(p.w), 1, 8))::BIGINT % 16)::INT AS target
+FROM (SELECT pair_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM (SELECT pair_id, {_toks('good')} AS w FROM pair_base)) p
+CROSS JOIN (SELECT unnest(range(16))::INT AS t) t""",
     "activations": """
 SELECT (vec_id // 24) AS example_id, (10 + 2 * ((vec_id // 4) % 6))::INT AS layer, 0 AS pos,
   ['base', 'pos', 'neg', 'model'][(vec_id % 4)::INT + 1] AS variant, ((vec_id // 4) % 5 <> 0)::INT AS mask,
   embedding::DOUBLE[] AS vec
-FROM embeddings WHERE vec_id // 4 < (SELECT count(*) // 4 FROM embeddings)""",
+FROM embeddings""",
     "targets": """
 SELECT b.example_id, b.layer, b.pos, b.mask,
   [(b.vec[i] + 5 * (p.vec[i] - n.vec[i])) * b.mask for i in range(1, len(b.vec) + 1)] AS target
@@ -315,11 +315,11 @@ ORACLES: dict[str, str] = {
         "SELECT pair_id, chosen || ' </s>' AS chosen, rejected || '</s>' AS rejected FROM transcript_pairs"
     ),
     "mark_turn_boundaries": _query(
-        f"SELECT conv_id, part, {_marked('prompt')} AS marked, chr(10) || chr(10) || {_marked('prompt')} AS marked_leading "
+        f"SELECT conv_id, {_marked('prompt')} AS marked, chr(10) || chr(10) || {_marked('prompt')} AS marked_leading "
         "FROM transcripts"
     ),
     "training_text_sft": _query(
-        f"SELECT conv_id, part, {_marked('prompt')} || response || ' </s>' AS text FROM transcripts"
+        f"SELECT conv_id, {_marked('prompt')} || response || ' </s>' AS text FROM transcripts"
     ),
     "training_text_preference": _query(
         f"SELECT pair_id, {_dialogue('prompt')} || rejected_response AS text FROM responses"
@@ -350,10 +350,10 @@ ORACLES: dict[str, str] = {
         "SELECT pair_id, prompt_length, prompt, base, chosen, round(random, 6) AS random FROM swapped"
     ),
     "split_turns": _query(
-        f"""SELECT conv_id, part, (pos - 1)::INT AS turn, parts[1] AS human, parts[2] AS assistant
-FROM (SELECT conv_id, part, pos, string_split(told, {ASSISTANT}) AS parts
-      FROM (SELECT conv_id, part, unnest(p) AS told, generate_subscripts(p, 1) AS pos
-            FROM (SELECT conv_id, part, string_split(regexp_replace(prompt || response, '^(' || chr(10) || chr(10) || ')?Human: ', ''),
+        f"""SELECT conv_id, (pos - 1)::INT AS turn, parts[1] AS human, parts[2] AS assistant
+FROM (SELECT conv_id, pos, string_split(told, {ASSISTANT}) AS parts
+      FROM (SELECT conv_id, unnest(p) AS told, generate_subscripts(p, 1) AS pos
+            FROM (SELECT conv_id, string_split(regexp_replace(prompt || response, '^(' || chr(10) || chr(10) || ')?Human: ', ''),
                     {HUMAN}) AS p FROM transcripts)))"""
     ),
     "clean_completions": _query("SELECT id, instruction, output, generator FROM cleaned"),
@@ -369,7 +369,7 @@ WHERE prompt_length <= 256 AND chosen_response_length <= 768 AND rejected_respon
 WHERE prompt_length <= 256 AND chosen_response_length <= 768"""
     ),
     "filter_prompt_budget": _query(
-        f"""SELECT conv_id, part, len({_toks('prompt')}) AS prompt_length FROM transcripts WHERE len({_toks('prompt')}) <= 256"""
+        f"""SELECT conv_id, len({_toks('prompt')}) AS prompt_length FROM transcripts WHERE len({_toks('prompt')}) <= 256"""
     ),
     "build_vocab": _query("SELECT token, count, id FROM document_vocab"),
     "encode": _query(
@@ -557,8 +557,8 @@ FROM summaries WHERE len({_toks(f"({SUMMARY} || post || {ASSISTANT})")}) <= 256"
 FROM doc_dialogue_lengths WHERE prompt_length <= 256 AND rejected_response_length <= 768"""
     ),
     "supervised_texts_transcript": _query(
-        f"""SELECT conv_id, part, prompt_length, text_length, text
-FROM (SELECT conv_id, part, len({_toks('prompt')}) AS prompt_length, len({_toks('text')}) AS text_length, text
+        f"""SELECT conv_id, prompt_length, text_length, text
+FROM (SELECT conv_id, len({_toks('prompt')}) AS prompt_length, len({_toks('text')}) AS text_length, text
       FROM (SELECT *, {_marked('prompt')} || response || ' </s>' AS text FROM transcripts))
 WHERE prompt_length <= 256 AND text_length <= 768"""
     ),

@@ -102,12 +102,12 @@ def mark_turn_boundaries(spark, sf_dir):
     base = inputs.transcripts(spark, sf_dir)
     marked = op.mark_turn_boundaries(base, out="marked")
     return op.mark_turn_boundaries(marked, out="marked_leading", leading=True).select(
-        "conv_id", "part", "marked", "marked_leading"
+        "conv_id", "marked", "marked_leading"
     )
 
 
 def training_text_sft(spark, sf_dir):
-    return op.build_training_text(inputs.transcripts(spark, sf_dir), "sft").select("conv_id", "part", "text")
+    return op.build_training_text(inputs.transcripts(spark, sf_dir), "sft").select("conv_id", "text")
 
 
 def training_text_preference(spark, sf_dir):
@@ -156,7 +156,7 @@ def random_preference_swap(spark, sf_dir):
 
 def split_turns(spark, sf_dir):
     whole = inputs.transcripts(spark, sf_dir).withColumn("text", F.concat("prompt", "response"))
-    return op.split_turns(whole, "text", ["conv_id", "part"])
+    return op.split_turns(whole, "text", ["conv_id"])
 
 
 def clean_completions(spark, sf_dir):
@@ -198,7 +198,7 @@ def filter_text_budget(spark, sf_dir):
 
 def filter_prompt_budget(spark, sf_dir):
     measured = op.token_lengths(inputs.transcripts(spark, sf_dir), {"prompt_length": "prompt"})
-    return op.filter_prompt_budget(measured).select("conv_id", "part", "prompt_length")
+    return op.filter_prompt_budget(measured).select("conv_id", "prompt_length")
 
 
 # --- vocabulary and encoding -------------------------------------------------------
@@ -496,7 +496,7 @@ def supervised_texts_preference(spark, sf_dir):
 
 def supervised_texts_transcript(spark, sf_dir):
     texts = plans.supervised_texts(inputs.transcripts(spark, sf_dir), "sft")
-    return texts.select("conv_id", "part", "prompt_length", "text_length", "text")
+    return texts.select("conv_id", "prompt_length", "text_length", "text")
 
 
 QUERIES: dict[str, Query] = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,12 +46,23 @@ def test_pairs_of_a_giant_conversation(spark, skewed_dir):
     assert derived.pairs(spark, skewed_dir).count() == len(rows)
 
 
-def test_transcripts_come_in_bounded_parts(spark, skewed_dir):
-    rows = {(r["conv_id"], r["part"]): r for r in derived.transcripts(spark, skewed_dir).collect()}
-    assert {part for conv, part in rows if conv == 0} == {0, 1, 2}
-    assert rows[0, 2]["response"] == "t2499" and rows[0, 2]["prompt"].startswith("\n\nHuman: t2000")
-    told = sum((r["prompt"] + r["response"]).count(" t") for k, r in rows.items() if k[0] == 0)
-    assert told == 2500
+def test_transcripts_hold_every_turn(spark, skewed_dir):
+    rows = {r["conv_id"]: r for r in derived.transcripts(spark, skewed_dir).collect()}
+    told = rows[0]["prompt"] + rows[0]["response"]
+    assert rows[0]["response"] == "t2499" and re.findall(r"t(\d+)", told) == [str(t) for t in range(2500)]
+
+
+def test_transcript_with_a_system_opener(spark, tmp_path):
+    """User turns are odd; the last one, without an answer, is all that is left out."""
+    spark.range(3002).select(
+        F.lit(7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"),
+    ).write.parquet(f"{tmp_path}/conversations.parquet")
+    row = derived.transcripts(spark, str(tmp_path)).collect()
+    assert len(row) == 1
+    assert re.findall(r"t(\d+)", row[0]["prompt"] + row[0]["response"]) == [str(t) for t in range(1, 3001)]
 
 
 def test_good_documents_share_a_rare_bad_one(spark, skewed_dir):
@@ -57,3 +70,5 @@ def test_good_documents_share_a_rare_bad_one(spark, skewed_dir):
     assert len(rows) == 597
     assert {r["rejected_response"] for r in rows if r["pair_id"] % 10} == {"word 1"}
     assert {r["rejected_response"] for r in rows if r["pair_id"] % 10 == 0} == {"word 10", "word 20"}
+    # Every good text is the prompt of one pair of its language, and of no pair of its own.
+    assert len({r["prompt"] for r in rows}) == 597 and all(r["prompt"] != r["chosen_response"] for r in rows)

@@ -50,6 +50,34 @@ def test_missing_columns_are_refused(spark, tmp_path):
         sources.read_examples(spark, path, schemas.PAIRS)
 
 
+@pytest.mark.parametrize("name", ["rejected_respomse", "rejected_response"])
+@pytest.mark.parametrize("suffix", ["", ".jsonl"])
+def test_prepared_tables_under_either_name(spark, tmp_path, name, suffix):
+    path = str(tmp_path / f"prepared{suffix}")
+    rows = [(*r, 3, "good </s>", "bad </s>", 5) for r in RAW]
+    df = spark.createDataFrame(rows, schemas.PAIRS_PREPARED).withColumnRenamed("rejected_respomse", name)
+    df.write.json(path) if suffix else df.write.parquet(path)
+    got = sources.read_examples(spark, path, schemas.PAIRS_PREPARED)
+    assert got.first()["rejected_response"] == "bad </s>" and got.first()["chosen_response_length"] == 5
+
+
+def test_json_is_refused_when_broken_or_partial(spark, tmp_path):
+    broken, partial = tmp_path / "broken.jsonl", tmp_path / "partial.jsonl"
+    broken.write_text('{"id": 1, "instruction": "a"}\n{"id": 2, "instru\n')
+    partial.write_text('{"id": 1}\n{"id": 2}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sources.read_examples(spark, str(broken), schemas.INSTRUCTIONS).collect()
+    with pytest.raises(sources.MissingColumns, match="instruction"):
+        sources.read_examples(spark, str(partial), schemas.INSTRUCTIONS)
+
+
+def test_json_array_after_blank_lines(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    path.write_text("\n \n" + json.dumps([{"id": 1, "instruction": "a"}, {"id": 2, "instruction": "b"}]))
+    got = sources.read_examples(spark, str(path), schemas.INSTRUCTIONS)
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, "a"), (2, "b")]
+
+
 def test_splits_round_trip_and_prune(spark, tmp_path):
     path = str(tmp_path / "splits")
     df = spark.createDataFrame([(1, "a", "rm"), (2, "b", "test"), (3, "c", "test")], "id long, prompt string, split string")
@@ -85,16 +113,14 @@ class Session:
         self.sparkContext = self
         self.applicationId = "app-1"
 
-    def get(self, name, default):
+    def get(self, name, default=None):
         return self.settings.get(name, default)
 
 
 def test_staging_folder(spark, tmp_path):
     assert sources.staging_dir(Session(spark__checkpoint__dir="s3a://shared/x/", spark__master="yarn")) == "s3a://shared/x"
-    own = Session(spark__master="local[4]")
-    assert sources.staging_dir(own) == sources.staging_dir(own)
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        sources.staging_dir(Session(spark__master="yarn"))
+    # Without a folder of its own, the warehouse, which is shared too; never a temporary folder.
+    assert sources.staging_dir(Session(spark__sql__warehouse__dir="hdfs://w/")) == "hdfs://w/_staging"
     got = sources.staged(spark.range(3).toDF("id"), "numbers")
     assert got.count() == 3 and all("/numbers-" in f for f in got.inputFiles())
 
