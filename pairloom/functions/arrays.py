@@ -13,7 +13,8 @@ def filled(value: int, length: Column | int) -> Column:
 
 
 def pad_right(ids: Column, length: Column | int, value: int = 0) -> Column:
-    return F.concat(ids, filled(value, F.lit(length) - F.size(ids)))
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.concat(ids, filled(value, length - F.size(ids)))
 
 
 def pad_left(ids: Column, length: Column | int, value: int = 0) -> Column:

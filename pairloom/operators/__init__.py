@@ -21,6 +21,8 @@ from pairloom.operators.encoding import (
     encode_contrast,
     encode_counter_condition,
     encode_hindsight,
+    encode_hindsight_pairs,
+    pad_batches,
     encode_qa_batch,
     encode_texts,
     mask_prompt_labels,

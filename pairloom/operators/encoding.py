@@ -29,8 +29,9 @@ from pairloom.functions.fixed_values import (
     TOTAL_BUDGET,
 )
 from pairloom.functions.text import Tokenizer, token_count, word_tokens
-from pairloom.operators.prompts import VARIANTS, contrast_variants
+from pairloom.operators.prompts import VARIANTS, apply_style, contrast_variants
 from pairloom.operators.ranking import exact_rank
+from pairloom.sources.staging import staged
 
 # A vocabulary within both limits is broadcast whole; beyond either, see ``_look_up``.
 BROADCAST_ROWS = 1_000_000
@@ -255,6 +256,66 @@ def encode_hindsight(
     return mask_prompt_labels(labelled, prompt_length="_prompt_length").drop("_prompt_length")
 
 
+def encode_hindsight_pairs(
+    df: DataFrame,
+    key: str | Sequence[str],
+    vocab: DataFrame,
+    good_instruction: str,
+    bad_instruction: str,
+    max_len: int = TOTAL_BUDGET,
+    keep: Sequence[str] = (),
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """``encode_hindsight`` of both examples of each pair, with no token looked up twice.
+
+    Word tokens do not merge across the white space between instruction, prompt and response.
+    So the prompt and both responses are encoded once a pair, the two instructions once in all,
+    and the two rows (``type`` chosen and rejected) are put together from the arrays.
+    """
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    told = spark.createDataFrame([(0, good_instruction + "\n\n", bad_instruction + "\n\n")], "_row int, _good string, _bad string")
+    led = encode_texts(told, "_row", {"_good": (F.col("_good"), max_len), "_bad": (F.col("_bad"), max_len)}, vocab, limits=limits)
+    lead = staged(led, "instructions").select(F.struct("_good", "_bad")).scalar()
+    texts = {
+        "_prompt": (apply_style(F.col("prompt"), "bare_stripped"), max_len),
+        "_chosen": (F.col("chosen_response"), max_len),
+        "_rejected": (F.col("rejected_response"), max_len),
+    }
+    encoded = encode_texts(df, keys, texts, vocab, keep, limits=limits).withColumn("_lead", lead)
+
+    def example(side: str, own: str, opposite: str) -> Column:
+        def whole(instruction: str) -> Column:
+            return F.slice(F.concat(F.col("_lead")[instruction], F.col("_prompt"), F.col(f"_{side}")), 1, max_len)
+
+        return F.struct(
+            F.lit(side).alias("type"),
+            _close(whole(own), max_len).alias("input_ids"),
+            pad_right(whole(opposite), max_len, PAD_ID).alias("input_ids_neg"),
+            F.least(F.size(F.col("_lead")[own]) + F.size("_prompt"), F.lit(max_len)).alias("_prompt_length"),
+        )
+
+    both = F.explode(F.array(example("chosen", "_good", "_bad"), example("rejected", "_bad", "_good"))).alias("_example")
+    rows = encoded.select(*keys, *keep, both).select(*keys, *keep, "_example.*")
+    labelled = rows.withColumns({"attention_mask": ones_like(F.col("input_ids")), "labels": F.col("input_ids")})
+    return mask_prompt_labels(labelled, prompt_length="_prompt_length").drop("_prompt_length")
+
+
+def pad_batches(df: DataFrame, width: str = "padded_length", ignore: int = IGNORE_LABEL) -> DataFrame:
+    """Bring the arrays of each row to its batch's width: ids and mask with 0, labels with ``ignore``.
+
+    ``input_ids_neg``, already padded to the longest length allowed, is cut to the width.
+    """
+    w = F.col(width)
+    padded = {
+        "input_ids": pad_right(F.col("input_ids"), w, PAD_ID),
+        "attention_mask": pad_right(F.col("attention_mask"), w, 0),
+        "labels": pad_right(F.col("labels"), w, ignore),
+        "input_ids_neg": F.slice("input_ids_neg", 1, w.cast("int")),
+    }
+    return df.withColumns({c: v for c, v in padded.items() if c in df.columns})
+
+
 def _prompt_and_response(prompt: Column, response: Column, prompt_len: Column | int, res_len: Column | int) -> dict[str, Column]:
     """Left-padded prompt followed by right-padded response, with their mask."""
     return {

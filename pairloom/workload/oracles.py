@@ -529,6 +529,19 @@ FROM (SELECT pair_id, type, {_closed('f.ids', 192)} AS c, g.ids AS g, len({_toks
         full_ids=_ids("hindsight", "pair_id, type", "prompt || text", 192),
         neg_ids=_ids("hindsight", "pair_id, type", "neg_prompt || text", 192),
     ),
+    "pad_batches": _query(
+        f"""SELECT pair_id, type, batch_id, w AS padded_length,
+  {_joined(f"list_concat(c, {_repeat(0, 'w - len(c)')})")} AS input_ids,
+  {_joined(f"list_concat(g, {_repeat(0, '192 - len(g)')})[1:w]")} AS input_ids_neg,
+  {_joined(f"list_concat({_repeat(1, 'len(c)')}, {_repeat(0, 'w - len(c)')})")} AS attention_mask,
+  {_joined(f"list_concat([CASE WHEN i <= k THEN -100 ELSE c[i] END for i in range(1, len(c) + 1)], {_repeat(-100, 'w - len(c)')})")} AS labels
+FROM (SELECT *, rk // 8 AS batch_id, ((max(len(c)) OVER (PARTITION BY rk // 8) + 7) // 8) * 8 AS w
+FROM (SELECT pair_id, type, {_closed('f.ids', 192)} AS c, g.ids AS g, len({_toks('prompt')}) AS k,
+        row_number() OVER (ORDER BY md5('42:' || pair_id || ':' || type), pair_id, type) - 1 AS rk
+      FROM full_ids f JOIN neg_ids g USING (pair_id, type) JOIN hindsight USING (pair_id, type)))""",
+        full_ids=_ids("hindsight", "pair_id, type", "prompt || text", 192),
+        neg_ids=_ids("hindsight", "pair_id, type", "neg_prompt || text", 192),
+    ),
     "alignment_rows": _alignment_rows(
         f"""SELECT pair_id, b.branch, {_dialogue('prompt')} AS prompt,
   CASE b.branch WHEN 'chosen' THEN chosen_response ELSE rejected_response END AS chosen

@@ -457,6 +457,13 @@ def hindsight_batches(spark, sf_dir):
     return _arrays_as_text(batches)
 
 
+def pad_batches(spark, sf_dir):
+    batches = plans.hindsight_batches(
+        inputs.pair_responses(spark, sf_dir), "pair_id", inputs.pair_vocab(spark, sf_dir), BATCH_SIZE, max_len=192
+    )
+    return _arrays_as_text(op.pad_batches(batches).drop("length", "batch_rank", "pad_waste"))
+
+
 def alignment_rows(spark, sf_dir):
     rows = plans.alignment_rows(
         inputs.pair_responses(spark, sf_dir), "pair_id", inputs.pair_vocab(spark, sf_dir), "all",
@@ -516,7 +523,7 @@ QUERIES: dict[str, Query] = {
         explode_mc1, explode_keyed_choices, sequence_logprob, logprob_from_logits, nan_report, assert_no_nan,
         score_questions, mc_accuracy, eval_report, contrastive_preference, contrastive_loss,
         steering_targets, alignment_distance, alignment_distance_by_layer,
-        preparation_manifest, document_preparation, hindsight_batches, alignment_rows, alignment_rows_random,
+        preparation_manifest, document_preparation, hindsight_batches, pad_batches, alignment_rows, alignment_rows_random,
         alignment_rows_transcript, alignment_rows_summary, supervised_texts_preference, supervised_texts_transcript,
     )
 }
