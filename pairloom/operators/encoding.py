@@ -80,6 +80,15 @@ def build_vocab(
     return ranked.select("token", "count", F.coalesce(special, F.col("_rank") + reserved).alias("id"))
 
 
+def _measured(vocab: DataFrame, most_rows: int, most_bytes: int) -> tuple[DataFrame, bool]:
+    """The entries, and whether they are few and short enough to be sent to every task."""
+    entries = vocab.select("token", "id")
+    size = entries.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")
+    ).first()
+    return entries, size["rows"] <= most_rows and size["bytes"] <= most_bytes
+
+
 def _look_up(
     rows: DataFrame,
     vocab: DataFrame,
@@ -95,11 +104,8 @@ def _look_up(
     most occurrences in place and every hot key with them; only the occurrences left
     over are shuffled, against entries each rarer than ``1 / head_rows`` of all tokens.
     """
-    entries = vocab.select("token", "id")
-    size = entries.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")
-    ).first()
-    if size["rows"] <= broadcast_rows and size["bytes"] <= broadcast_bytes:
+    entries, small = _measured(vocab, broadcast_rows, broadcast_bytes)
+    if small:
         return rows.join(F.broadcast(entries), on, "left")
 
     in_head = (F.col("id") < head_rows + RESERVED_IDS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
@@ -119,6 +125,47 @@ class Limits:
     head_rows: int = HEAD_ROWS
 
 
+def _looked_up_rows(occurrences: DataFrame, kept: list[str], keys: list[str], vocab: DataFrame, limits: Limits) -> DataFrame:
+    """One row per ``kept`` with ``_packed``: slot, position and id of each token in one long, in order.
+
+    With a large vocabulary the texts are still read and tokenized once: the head of the
+    vocabulary is looked up in place, the occurrences it lacks are kept with their places in the
+    row, and only these are exploded, shuffled against the rest of the vocabulary, and added.
+    """
+    place = F.shiftleft(F.col("_slot").cast("long"), ID_BITS + POSITION_BITS).bitwiseOR(F.shiftleft(F.col("_pos").cast("long"), ID_BITS))
+
+    def packed(place: Column, number: Column) -> Column:
+        inside = F.when((number >= 0) & (number < (1 << ID_BITS)), number).otherwise(
+            F.raise_error(F.concat(F.lit("vocabulary id out of range: "), number.cast("string")))
+        )
+        return place.bitwiseOR(inside)
+
+    # collect_list skips nulls: the places of texts without tokens, and here those of other occurrences.
+    special, unknown = _special_id(F.col("token")), F.lit(PAD_ID).cast("long")
+    entries, small = _measured(vocab, limits.broadcast_rows, limits.broadcast_bytes)
+    if small:
+        found = occurrences.join(F.broadcast(entries), "token", "left")
+        number = F.coalesce(special, F.col("id").cast("long"), unknown)
+        one = F.when(F.col("_pos").isNotNull(), packed(place, number))
+        return found.groupBy(*kept).agg(F.sort_array(F.collect_list(one)).alias("_packed"))
+
+    in_head = (F.col("id") < limits.head_rows + RESERVED_IDS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    hit = occurrences.join(F.broadcast(entries.where(in_head)), "token", "left")
+    number = F.coalesce(special, F.col("id").cast("long"))
+    settled = F.col("_pos").isNotNull() & number.isNotNull()
+    missing = F.col("_pos").isNotNull() & number.isNull()
+    rows = hit.groupBy(*kept).agg(
+        F.collect_list(F.when(settled, packed(place, number))).alias("_settled"),
+        F.collect_list(F.when(missing, F.struct(place.alias("place"), "token"))).alias("_missing"),
+    )
+    rows = staged(rows, "head_ids")
+    rest = rows.select(*keys, F.explode("_missing").alias("_m")).select(*keys, "_m.place", "_m.token")
+    rest = rest.join(entries.where(~in_head), "token", "left")
+    late = rest.groupBy(*keys).agg(F.collect_list(packed(F.col("place"), F.coalesce(F.col("id").cast("long"), unknown))).alias("_late"))
+    both = F.concat("_settled", F.coalesce("_late", F.array().cast("array<bigint>")))
+    return rows.join(late, keys, "left").select(*kept, F.sort_array(both).alias("_packed"))
+
+
 def encode_texts(
     df: DataFrame,
     key: str | Sequence[str],
@@ -151,18 +198,7 @@ def encode_texts(
     occurrences = df.select(*keys, *keep, F.posexplode(F.array(*slots)).alias("_slot", "_words")).select(
         *keys, *keep, "_slot", F.posexplode_outer("_words").alias("_pos", "token")
     )
-    found = _look_up(occurrences, vocab, "token", limits.broadcast_rows, limits.broadcast_bytes, limits.head_rows)
-    number = F.coalesce(_special_id(F.col("token")), F.col("id").cast("long"), F.lit(PAD_ID).cast("long"))
-    number = F.when((number >= 0) & (number < (1 << ID_BITS)), number).otherwise(
-        F.raise_error(F.concat(F.lit("vocabulary id out of range: "), number.cast("string")))
-    )
-    packed = F.shiftleft(F.col("_slot").cast("long"), ID_BITS + POSITION_BITS).bitwiseOR(
-        F.shiftleft(F.col("_pos").cast("long"), ID_BITS)
-    ).bitwiseOR(number)
-    # collect_list skips the nulls of texts without tokens.
-    rows = found.groupBy(*keys, *keep).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), packed))).alias("_packed")
-    )
+    rows = _looked_up_rows(occurrences, [*keys, *keep], keys, vocab, limits)
     id_mask = F.lit((1 << ID_BITS) - 1)
 
     def ids_of(slot: int) -> Column:

@@ -380,6 +380,11 @@ FROM (SELECT pair_id, {_closed('ids', 96)} AS c FROM encoded)""",
     ),
     "encode_documents": _query(
         f"""SELECT doc_id, {_joined(_closed("coalesce(ids, []::BIGINT[])", 768))} AS input_ids
+FROM documents LEFT JOIN encoded USING (doc_id)""",
+        encoded=_ids("documents", "doc_id", "text", 768, "document_vocab"),
+    ),
+    "encode_large_vocab": _query(
+        f"""SELECT doc_id, {_joined(_closed("coalesce(ids, []::BIGINT[])", 768))} AS input_ids
 FROM documents LEFT JOIN encoded USING (doc_id)""",
         encoded=_ids("documents", "doc_id", "text", 768, "document_vocab"),
     ),

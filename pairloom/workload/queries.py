@@ -220,6 +220,13 @@ def encode_documents(spark, sf_dir):
     return encoded.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"))
 
 
+def encode_large_vocab(spark, sf_dir):
+    """``encode_documents`` the way a vocabulary too large to be sent whole is looked up."""
+    limits = op.Limits(broadcast_rows=1_000, head_rows=500)
+    docs, vocab = inputs.documents(spark, sf_dir), inputs.document_vocab(spark, sf_dir)
+    return op.encode(docs, "doc_id", "text", vocab, 768, limits=limits).select("doc_id", as_text(F.col("input_ids")).alias("input_ids"))
+
+
 def mask_prompt_labels(spark, sf_dir):
     text = op.token_lengths(inputs.pair_text(spark, sf_dir), {"prompt_length": "prompt"})
     encoded = op.encode(text, "pair_id", "text", inputs.pair_vocab(spark, sf_dir), 40, keep=["prompt_length"])
@@ -515,7 +522,7 @@ QUERIES: dict[str, Query] = {
         select_by_preference, hindsight_examples, summary_preferences, contrast_prompts, random_preference_swap,
         split_turns, clean_completions, project_training_columns,
         token_lengths, filter_pair_budget, filter_text_budget, filter_prompt_budget,
-        build_vocab, encode, encode_documents, mask_prompt_labels, encode_counter_condition,
+        build_vocab, encode, encode_documents, encode_large_vocab, mask_prompt_labels, encode_counter_condition,
         project_training_columns_encoded,
         encode_contrast, encode_contrast_single, position_ids, encode_qa_batch, decode,
         exact_rank, exact_rank_within, random_split, concat_examples, preference_branches, seeded_shuffle,
