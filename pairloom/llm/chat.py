@@ -73,10 +73,16 @@ def rotate_perspectives(
             F.when(size["own"], F.concat(state["mask"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(state["mask"]).alias("mask"),
         )
 
-    walked = rendered.withColumn("walked", F.aggregate("sizes", step, grow))
+    walked = rendered.withColumn("walked", F.aggregate("sizes", step, grow)).select(
+        "conv_id", "block", "participant", "n_turns", "text", F.col("walked.at").alias("length"), F.col("walked.mask").alias("own")
+    )
+    # Only lengths meet per conversation and perspective; each part's place then goes back to its text.
     order = Window.partitionBy("conv_id", "participant").orderBy("block")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Only lengths meet per conversation; the texts stay where they are until joined by part.
-    placed = walked.withColumn("length", F.col("walked.at")).withColumns({"offset": before, "part": (F.row_number().over(order) - 1).cast("int")})
-    mask = F.transform("walked.mask", lambda m: F.struct((m["start"] + F.col("offset")).alias("start"), (m["end"] + F.col("offset")).alias("end")))
-    return placed.select("conv_id", "participant", "part", "offset", F.col("n_turns").cast("long"), "text", mask.alias("mask"))
+    places = walked.select("conv_id", "block", "participant", "length").select(
+        "conv_id", "block", "participant", before.alias("offset"), (F.row_number().over(order) - 1).cast("int").alias("part")
+    )
+    w, p = walked.alias("w"), places.alias("p")
+    on = F.col("w.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("w.block") == F.col("p.block")) & (F.col("w.participant") == F.col("p.participant"))
+    mask = F.transform("w.own", lambda m: F.struct((m["start"] + F.col("p.offset")).alias("start"), (m["end"] + F.col("p.offset")).alias("end")))
+    return w.join(p, on).select("w.conv_id", "w.participant", "p.part", "p.offset", F.col("w.n_turns").cast("long").alias("n_turns"), "w.text", mask.alias("mask"))
