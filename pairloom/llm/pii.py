@@ -166,14 +166,14 @@ def disclosing_terms(
     docs: DataFrame, met: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE
 ) -> DataFrame:
     """``(entity, term, share)``: terms that give away more than ``threshold`` of an entity's information."""
-    n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))
+    n = F.lit(docs.count())
     pairs = met.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("id", "h")).alias("d"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("d").alias("both"))
     pairs = pairs.where(F.col("contexts") >= support)
     entities = met.select("entity", "id", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     terms = docs.select("id", "h", "text").mapInArrow(_document_terms, "term string, n bigint")
     terms = terms.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("with_term"))
-    joined = pairs.join(entities, "entity").join(terms, "term").crossJoin(n)
+    joined = pairs.join(entities, "entity").join(terms, "term").withColumn("docs", n)
     # A document may hold a term in several contexts of one entity; the joint count is then capped by both.
     both = F.least("both", "with_entity", "with_term")
     information = F.log2(F.col("docs") / F.col("with_entity"))
