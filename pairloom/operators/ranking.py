@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.fixed_values import PAD_MULTIPLE, TEST_ROWS
 from pairloom.functions.hashing import order_hash
+from pairloom.sources.staging import staged
 
 HASH_DIGITS = 4  # 65,536 buckets: about 1.5 million rows each at 10^11 rows
 GROUPED_DIGITS = 3  # 4,096 buckets for every group or sort value
 
+HEAD_KEYS = 10_000  # keys a task may hold for a top-n
+
 # Counts of a hash order have at most 16 ** 4 rows of two numbers, so they may be broadcast.
 MAX_BROADCAST_BUCKETS = 16**4
 
@@ -214,14 +217,31 @@ def seeded_shuffle(
 def head_examples(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
     """The first ``n`` rows in key order. ``key`` must identify rows.
 
-    The last key to keep comes from a top-``n`` over the key column alone (each task
-    holds ``n`` keys, never ``n`` rows); the rows themselves only pass a filter.
+    The last key to keep comes from the key columns alone; the rows themselves only pass a
+    filter. A small ``n`` is a top-``n``; for a large one the keys are dealt into ranges first,
+    and only the range that the cut falls into is sorted.
     """
     position = F.struct(*[F.col(k) for k in _names(key)])
-    last = df.select(position.alias("_position")).orderBy("_position").limit(n).agg(F.max("_position")).scalar()
+    keys, left = df.select(position.alias("_position")), n
+    if n > HEAD_KEYS:
+        keys, left = _range_of_cut(keys, n)
+    last = keys.orderBy("_position").limit(left).agg(F.max("_position")).scalar()
     return df.where(position <= last)
 
 
+def _range_of_cut(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The range of keys that holds the ``n``-th, and its place there; all keys, should there be fewer."""
+    ranges = staged(keys.repartitionByRange("_position").withColumn("_range", F.spark_partition_id()), "head_keys")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(F.col("_start") < n)
+    cut = starts.orderBy(F.desc("_start")).first()
+    if cut is None:
+        return ranges.select("_position"), n
+    return ranges.where(F.col("_range") == cut["_range"]).select("_position"), n - cut["_start"]
+
+
 def plan_batches(
     df: DataFrame,
     key: str | Sequence[str],

@@ -110,3 +110,14 @@ def test_batches_by_given_order_leave_no_empty_batch(spark):
     assert all(r["batch_id"] == r["k"] // 8 and r["padded_length"] == 8 for r in rows)
     with pytest.raises(ValueError):
         op.plan_batches(df, "k", "len", 8, by="colour")
+
+
+@pytest.mark.parametrize("n", [1, 499, 500, 2000, 5000])
+def test_head_by_ranges(spark, monkeypatch, n):
+    """Beyond a few keys, only the range with the cut is sorted."""
+    from pairloom.operators import ranking
+
+    monkeypatch.setattr(ranking, "HEAD_KEYS", 100)
+    df = spark.range(2000).select(((F.col("id") * 7919) % 2000).alias("k"), F.lit("x").alias("v"))
+    assert sorted(r["k"] for r in op.head_examples(df, n, "k").collect()) == list(range(min(n, 2000)))
+    assert op.head_examples(df.limit(0), n, "k").count() == 0

@@ -100,6 +100,11 @@ def test_nan_scores(spark):
     assert op.assert_no_nan(df, ["b"]).collect()
     with pytest.raises(PySparkException, match="NaN in a"):
         op.assert_no_nan(df, ["a"]).collect()
+    # Neither a count nor a selection without the column gets past the check.
+    with pytest.raises(PySparkException, match="NaN in a"):
+        op.assert_no_nan(df, ["a"]).count()
+    with pytest.raises(PySparkException, match="NaN in a"):
+        op.assert_no_nan(df, ["a"]).select("b").collect()
 
 
 def test_evaluation_refuses_nan(spark):
