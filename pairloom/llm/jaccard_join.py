@@ -14,9 +14,9 @@ it proves m - 1 differences. The prefix is extended until its signatures would p
 sub-classes follows the size of the set; sets near a change of it are indexed under both numbers.
 Which shingles count as frequent changes how many candidates there are, never the result.
 
-*Links.* A signature's classes are not paired with each other. Each is compared with the class of
-the fewest rare shingles among them, the most typical one, and verified links are joined into
-components. Only signatures whose classes are still in different components are looked at again.
+*Links.* A signature's classes are not paired with each other. Each has a representative there, the
+class of the fewest rare shingles; a class is compared with the representative it meets most often,
+and verified links are joined into components. Only signatures whose classes are still in different components are looked at again.
 There, pairs of classes of different components are held against a bound on what they share,
 made from counts of their shingles in a few cells, within blocks of bounded size; pairs that the
 bound does not rule out are verified like the others. No pair is written that it rules out.
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import bytes_of, fresh, prepare, two_columns
+from pairloom.llm.common import batch_of, bytes_of, fresh, prepare, two_columns
 from pairloom.sources.staging import staged
 
 SHINGLE_WORDS = 4
@@ -152,40 +152,61 @@ def _once(seen: set[int], key: int) -> bool:
     return True
 
 
-def _classes(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, prints = [], []
-            for text in bytes_of(batch):
-                found = shingles(text, n)
-                sizes.append(len(found))
-                prints.append(fingerprint(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names=["id", "n", "class"])
+MEMBER, COUNT = 0, 1
 
-    return run
 
+def _described(n: int):
+    """One pass over the texts: each row's class with an outline of its set, and counts of shingles.
 
-def _frequent(n: int):
-    """Shingles that occur in several classes of one stretch of a task, with how many."""
+    Counts are of the shingles that occur in several classes of one stretch of the task.
+    """
 
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(parts: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         keep = counts >= CHUNK_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "count"])
+        k = int(keep.sum())
+        return batch_of(
+            {
+                "kind": (pa.array(np.full(k, COUNT, np.int32)), None),
+                "id": (pa.nulls(k, id_type), None),
+                "n": (pa.array(counts[keep].astype(np.int64)), None),
+                "class": (pa.array(values[keep].view(np.int64)), None),
+                "hash": (pa.nulls(k, pa.int64()), None),
+                "cells": (pa.nulls(k, pa.binary()), None),
+            }
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        parts, held = [], 0
+        parts, held, id_type = [], 0, None
         for batch in batches:
+            id_type = batch.column(0).type
+            sizes, prints, hashes, cells = [], [], [], []
             for text in bytes_of(batch):
                 found = shingles(text, n)
-                if len(found) and _once(seen, fingerprint(found)):
+                key = fingerprint(found) if len(found) else None
+                sizes.append(len(found))
+                prints.append(key)
+                hashes.append(text_hash(text))
+                cells.append(outline(found).tobytes() if len(found) else None)
+                if key is not None and _once(seen, key):
                     parts.append(found)
                     held += len(found)
-                    if held >= CHUNK_SHINGLES:
-                        yield counted(parts)
-                        parts, held = [], 0
-        yield counted(parts)
+            yield batch_of(
+                {
+                    "kind": (pa.array(np.full(len(sizes), MEMBER, np.int32)), None),
+                    "id": (batch.column(0), None),
+                    "n": (sizes, pa.int64()),
+                    "class": (prints, pa.int64()),
+                    "hash": (hashes, pa.int64()),
+                    "cells": (cells, pa.binary()),
+                }
+            )
+            if held >= CHUNK_SHINGLES:
+                yield counted(parts, id_type)
+                parts, held = [], 0
+        if id_type is not None:
+            yield counted(parts, id_type)
 
     return run
 
@@ -213,32 +234,58 @@ def _signatures(n: int, percent: int, frequent):
     return run
 
 
+def text_hash(text: bytes | None) -> int:
+    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+
+
 def outline(found: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of a fixed number of cells."""
-    return np.bincount((found >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype("<u4")
+    """How many shingles fall into each of a fixed number of cells; in one byte each, if they fit."""
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4")
+
+
+def outlines(column: list[bytes]) -> np.ndarray:
+    return np.array([np.frombuffer(c, np.uint8 if len(c) == CELLS else "<u4") for c in column], np.uint32).reshape(len(column), CELLS)
 
 
-def _of_wanted(n: int, wanted, make):
-    """``make(set)`` of wanted classes; of all, where none are named."""
+def _sets(n: int, wanted):
+    """``(class, shingles)`` of wanted texts; of all, where none are named.
+
+    A text's own hash tells whether it is wanted, before anything is made of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         names = wanted.value if wanted else None
         for batch in batches:
+            texts = bytes_of(batch)
+            chosen = range(len(texts))
+            if names is not None and len(names):
+                hashes = np.array([text_hash(t) for t in texts], np.int64)
+                at = np.searchsorted(names, hashes)
+                at[at == len(names)] = 0
+                chosen = np.flatnonzero(names[at] == hashes).tolist()
+            elif names is not None:
+                chosen = []
             keys, made = [], []
-            for text in bytes_of(batch):
-                found = shingles(text, n)
-                if not len(found):
-                    continue
-                key = fingerprint(found)
-                if names is not None:
-                    at = int(np.searchsorted(names, key))
-                    if at == len(names) or names[at] != key:
-                        continue
-                if _once(seen, key):
+            for i in chosen:
+                found = shingles(texts[i], n)
+                if len(found) and _once(seen, key := fingerprint(found)):
                     keys.append(key)
-                    made.append(make(found).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], names=["class", "made"])
+                    made.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], names=["class", "shingles"])
+
+    return run
+
+
+def _possible(percent: int):
+    """Pairs ``(a, b, n, m, x, y)`` whose outlines do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            common = np.minimum(outlines(batch.column(4).to_pylist()), outlines(batch.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(100 * common >= percent * (n + m - common)))
 
     return run
 
@@ -302,7 +349,7 @@ def _near(percent: int):
         if not stop:
             return rows, None
         done, rest = table.slice(0, stop), table.slice(stop)
-        cells = np.frombuffer(b"".join(done["cells"].to_pylist()), "<u4").reshape(stop, CELLS)
+        cells = outlines(done["cells"].to_pylist())
         classes, n, root, own = (done[c].to_numpy() for c in ("class", "n", "root", "own"))
         found = list(pairs(keys[:stop], own, n, root, cells))
         x = classes[np.concatenate([x for x, _ in found])] if found else np.zeros(0, np.int64)
@@ -364,36 +411,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def _made(names: DataFrame, texts: DataFrame, n: int, make) -> DataFrame:
-    """``(class, made)`` of the named classes, computed from the texts again."""
-    spark = names.sparkSession
-    names = names.distinct()
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets link, by the sets of one text of each class."""
+    spark = pairs.sparkSession
+    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "hash"), "class").select("hash")
     wanted = None
     if (count := names.count()) <= BROADCAST_CLASSES:
         # At most 8 MB.
         held = np.fromiter((r[0] for r in names.toLocalIterator()), np.int64, count)
         wanted = spark.sparkContext.broadcast(np.sort(held))
-    found = texts.mapInArrow(_of_wanted(n, wanted, make), "class bigint, made binary")
-    if wanted is None:
-        found = found.join(names.toDF("class"), "class", "left_semi")
-    return staged(found.dropDuplicates(["class"]), "made")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets link."""
-    sets = _made(pairs.select(F.explode(F.array("a", "b"))), texts, n, np.asarray)
-    left = pairs.join(sets.selectExpr("class as a", "made as x"), "a")
-    both = left.join(sets.selectExpr("class as b", "made as y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_linked(percent), "a bigint, b bigint")
+    # The same text may come from several tasks; that repeats a pair, which distinct() mends.
+    sets = texts.mapInArrow(_sets(n, wanted), "class bigint, shingles binary")
+    left = pairs.join(sets.selectExpr("class as a", "shingles as x"), "a")
+    both = left.join(sets.selectExpr("class as b", "shingles as y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_linked(percent), "a bigint, b bigint").distinct()
 
 
-def _undecided(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _undecided(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of classes of different components under one signature that may still link.
 
     A signature of more than BLOCK classes is dealt into blocks; each pair of blocks is a group of
     its own, so no task holds all classes of a signature.
     """
-    apart = apart.join(_made(apart.select("class"), texts, n, outline).withColumnRenamed("made", "cells"), "class")
+    apart = apart.join(classes.select("class", "cells"), "class")
     apart = apart.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     apart = apart.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -401,10 +441,10 @@ def _undecided(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     return groups.mapInArrow(_near(percent), "a bigint, b bigint").distinct()
 
 
-def frequent_shingles(texts: DataFrame, n: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+def frequent_shingles(counts: DataFrame, least: int | None = None, most: int = MOST_FREQUENT) -> np.ndarray:
     """Shingles of many classes, ascending; the most frequent ones, should there be more than ``most``."""
-    counts = texts.mapInArrow(_frequent(n), "shingle bigint, count bigint").groupBy("shingle").agg(F.sum("count").alias("count"))
-    rows = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most).select("shingle").toPandas()
+    totals = counts.groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= (least or FREQUENT))
+    rows = totals.orderBy(F.desc("count"), "shingle").limit(most).select("shingle").toPandas()
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -413,8 +453,14 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     spark: SparkSession = prepare(docs.sparkSession)
     texts = two_columns(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
-    members = staged(texts.mapInArrow(_classes(n), f"id {kind}, n bigint, class bigint"), "members")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, n))
+    fields = f"kind int, id {kind}, n bigint, class bigint, hash bigint, cells binary"
+    described = staged(texts.mapInArrow(_described(n), fields), "described")
+    members = described.where(F.col("kind") == MEMBER).select("id", "n", "class")
+    counts = described.where(F.col("kind") == COUNT).selectExpr("class as shingle", "n as count")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(counts))
+    # One text and outline of each class.
+    classes = described.where((F.col("kind") == MEMBER) & F.col("class").isNotNull()).select("class", "hash", "cells").groupBy("class")
+    classes = classes.agg(F.min(F.struct("hash", "cells")).alias("one")).select("class", "one.hash", "one.cells")
 
     signed = texts.mapInArrow(_signatures(n, percent, frequent), "sig bigint, class bigint, n bigint, rare bigint")
     same = Window.partitionBy("sig")
@@ -425,9 +471,15 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     )
     shared = staged(shared, "shared")
     fits = f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)"
-    first = shared.where("class <> rep").where(fits).select(F.greatest("class", "rep").alias("a"), F.least("class", "rep").alias("b")).distinct()
-    first = staged(first, "pairs")
-    links = staged(_verified(first, texts, n, percent), "links")
+    # Each class with the one it meets under most signatures, if their outlines allow a link.
+    met = shared.where("class <> rep").where(fits).groupBy("class", "n", "rep", "rep_n").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("class", "n").agg(F.max(F.struct("times", "rep", "rep_n")).alias("best")).select("class", "n", "best.rep", "best.rep_n")
+    classes = staged(classes.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
+    drawn = best.join(classes.select("class", "cells"), "class")
+    drawn = drawn.join(classes.select(F.col("class").alias("rep"), F.col("cells").alias("rep_cells")), "rep")
+    first = drawn.select(F.col("class").alias("a"), F.col("rep").alias("b"), "n", F.col("rep_n").alias("m"), F.col("cells").alias("x"), F.col("rep_cells").alias("y"))
+    first = staged(first.mapInArrow(_possible(percent), "a bigint, b bigint"), "pairs")
+    links = staged(_verified(first, texts, classes, n, percent), "links")
     roots = staged(components(links), "roots")
 
     # Signatures that still join different components.
@@ -435,9 +487,9 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     placed = placed.select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
     apart = placed.distinct().withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same), "rows": F.count(F.lit(1)).over(same)})
     apart = apart.where("low <> high").select("sig", "class", "n", "root", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
-    rest = _undecided(staged(apart, "apart"), texts, n, percent)
-    rest = staged(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    more = staged(_verified(rest, texts, n, percent), "links")
+    rest = staged(_undecided(staged(apart, "apart"), classes, percent), "rest")
+    tried = first.union(first.selectExpr("b as a", "a as b"))
+    more = staged(_verified(staged(rest.join(tried, ["a", "b"], "left_anti"), "rest"), texts, classes, n, percent), "links")
     joins = more.join(roots.selectExpr("node as a", "root as ra"), "a", "left").join(roots.selectExpr("node as b", "root as rb"), "b", "left")
     joins = joins.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     again = components(joins)

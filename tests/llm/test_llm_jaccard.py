@@ -63,8 +63,6 @@ def corpus(seed, groups=12, copies=12):
 def test_components_equal_all_pairs(spark, seed, n, percent, frequent, monkeypatch):
     monkeypatch.setattr(jj, "FREQUENT", frequent)
     monkeypatch.setattr(jj, "CHUNK_COUNT", 2)
-    # Defaults are bound when a function is made, so the threshold goes in by hand.
-    monkeypatch.setattr(jj.frequent_shingles, "__defaults__", (frequent, jj.MOST_FREQUENT))
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, class string")
     found = [tuple(r) for r in jj.similar_components(df, n=n, percent=percent).collect()]
