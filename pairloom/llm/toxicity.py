@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +42,41 @@ SEED = 7
 LEAST_TEXTS = 3
 RATE = 0.5
 CACHED_WORDS = 400_000
+MOST_LETTERS = 64
+_FACTOR = np.uint64(0x100000001B3)
 _EDGES = ".,;:!?\"'()[]{}<>…»«¡¿"
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+    return text.lower().replace(".", " ").replace(",", " ").split() if text else []
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's n-grams, with its ends marked, and of the word itself."""
-    bare = word.strip(_EDGES) or word
-    marked = f"<{bare[:64]}>"
-    pieces = {marked, *(marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1))}
-    return [xxhash.xxh32_intdigest(p) & (BUCKETS - 1) for p in sorted(pieces)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' n-grams, with the ends marked, and of the words themselves; and whose each is.
+
+    Polynomials over code points, computed for all words at once.
+    """
+    marked = [f"<{(w.strip(_EDGES) or w)[:MOST_LETTERS]}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))
+    units, owners = [], []
+    for n in SIZES:
+        at = np.flatnonzero(left >= n)
+        total = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            total = total * _FACTOR + codes[at + k]
+        units.append(total)
+        owners.append(owner[at])
+    if len(marked):
+        powers = _FACTOR ** np.arange(MOST_LETTERS + 2, dtype=np.uint64)
+        units.append(np.add.reduceat(codes * powers[left - 1], ends - sizes))
+        owners.append(np.arange(len(marked)))
+    x = np.concatenate(units)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), np.concatenate(owners)
 
 
 @dataclass
@@ -72,34 +93,45 @@ class Model:
 
 
 class Scorer:
+    """Scores texts; what words come to is kept, up to a bound."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, tuple[float, int]] = {}
-
-    def _word(self, word: str) -> tuple[float, int]:
-        units = subwords(word)
-        value = (float(self.model.unit[units].sum()), len(units))
-        if len(word) < 64:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = value
-        return value
-
-    def most(self, text: str | None) -> float | None:
-        """Log-odds of the most toxic segment; None for a text without words."""
-        words = words_of(text)
-        if not words:
-            return None
-        known = self.known
-        found = [known.get(w) or self._word(w) for w in words]
-        values = np.array(found)
-        starts = np.arange(0, len(words), SEGMENT)
-        sums = np.add.reduceat(values, starts, axis=0)
-        return float((sums[:, 0] / sums[:, 1]).max()) + self.model.bias
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums, self.counts = np.zeros(0), np.zeros(0)
+
+    def most(self, texts: list[str | None]) -> list[float | None]:
+        """Log-odds of each text's most toxic segment; None for a text without words."""
+        if len(self.known) > CACHED_WORDS:
+            self._forget()
+        split = [words_of(t) for t in texts]
+        new = list({w for words in split for w in words} - self.known.keys())
+        for lo in range(0, len(new), 50_000):
+            part = new[lo : lo + 50_000]
+            units, owners = subwords(part)
+            self.known.update(zip(part, range(len(self.sums), len(self.sums) + len(part))))
+            self.sums = np.concatenate((self.sums, np.bincount(owners, weights=self.model.unit[units], minlength=len(part))))
+            self.counts = np.concatenate((self.counts, np.bincount(owners, minlength=len(part))))
+        found: list[float | None] = []
+        for words in split:
+            if not words:
+                found.append(None)
+                continue
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            starts = np.arange(0, len(words), SEGMENT)
+            means = np.add.reduceat(self.sums[at], starts) / np.add.reduceat(self.counts[at], starts)
+            found.append(float(means.max()) + self.model.bias)
+        return found
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        model = self.model
+        return [0.0 if m is None else float(_sigmoid(model.slope * m + model.offset)) for m in self.most(texts)]
 
     def score(self, text: str | None) -> float:
-        most = self.most(text)
-        return 0.0 if most is None else float(_sigmoid(self.model.slope * most + self.model.offset))
+        return self.scores([text])[0]
 
 
 def _sigmoid(x):
@@ -122,10 +154,11 @@ class _Segments:
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         self.owner = np.array(owner, np.int64)
-        units = [np.array(subwords(w), np.int32) for w in index]
-        self.counts = np.array([len(u) for u in units], np.int64)
+        units, owners = subwords(list(index)) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(owners, kind="stable")
+        self.counts = np.bincount(owners, minlength=len(index))
         self.first = np.concatenate(([0], np.cumsum(self.counts)))[:-1]
-        self.units = np.concatenate(units) if units else np.zeros(0, np.int32)
+        self.units = units[order].astype(np.int32)
 
     def texts_per_bucket(self) -> np.ndarray:
         """In how many texts each bucket occurs, as far as LEAST_TEXTS matters."""
@@ -244,7 +277,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model | None:
     model = Model(trainer.odds().astype(np.float32), float(trainer.bias[1] - trainer.bias[0]), 1.0, 0.0)
     fitted = np.flatnonzero(held) if held.any() else own
     scorer = model.scorer()
-    most = [scorer.most(texts[i]) for i in fitted]
+    most = scorer.most([texts[i] for i in fitted])
     usable = [i for i, m in enumerate(most) if m is not None]
     model.slope, model.offset = _logistic(np.array([most[i] for i in usable]), labels[fitted][usable])
     return model
@@ -299,7 +332,8 @@ def _score(model):
         fitted = model.value
         scorer = fitted.scorer() if fitted else None
         for batch in batches:
-            scores = [scorer.score(t) if scorer else 0.0 for t in texts_of(batch)]
+            texts = texts_of(batch)
+            scores = scorer.scores(texts) if scorer else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return run
