@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +26,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairloom.llm.common import prepare, texts_of, two_columns
+from pairloom.llm.common import hold, prepare, texts_of, two_columns
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5_000
 CACHED_PIECES = 400_000
+SPACE_LETTER = "\u0120"  # fixed value: the letter of the space byte
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may start a contraction
+LATIN_END = "\u0250"  # beyond it, letters may be newer to one engine than to another
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the vocabulary: printable ones themselves, others from 256 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class PieceEncoder:
     """Ids by the library, which gets each recurring piece once.
 
     A space between two characters that are not white space starts a pre-token, so texts whose
-    spaces all are of that kind are taken apart there. Texts with other spaces, or with a special
-    string in them, are given to the library whole.
+    spaces all are of that kind are taken apart there. A piece is taken apart further at line
+    feeds between two such characters and before the marks that follow a word. A word of Latin
+    letters is one pre-token and goes to the library's model; what is none of this goes to the
+    whole tokenizer. Texts with other spaces, or with a special string in them, do so whole.
     """
 
     def __init__(self, path: str):
@@ -48,52 +61,71 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        self.letters = byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.after_space: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
+        self.feed = self._library("\n")
+
+    def _library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str, space: str) -> bytes:
+        """One pre-token, through the model alone."""
+        written = (SPACE_LETTER if space else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        ids = [t.id for t in self.tokenize(written)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str, space: str) -> bytes:
+        """A piece without white space at its ends; remembered."""
+        known = self.after_space if space else self.at_start
+        if piece.isalpha() and (piece.isascii() or max(piece) < LATIN_END):
+            ids = self._word(piece, space)
+        else:
+            head = piece.rstrip(MARKS)
+            lines = piece.split("\n")
+            if head and len(head) < len(piece) and head.isalpha() and (head.isascii() or max(head) < LATIN_END):
+                marks = piece[len(head) :]
+                ids = (known.get(head) or self._piece(head, space)) + (self.at_start.get(marks) or self._piece(marks, ""))
+            elif len(lines) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):
+                ids = known.get(lines[0]) or self._piece(lines[0], space)
+                for line in lines[1:]:
+                    ids += self.feed + (self.at_start.get(line) or self._piece(line, ""))
+                return ids
+            else:
+                ids = self._library(space + piece)
+        if len(piece) < 64:
+            if len(known) >= CACHED_PIECES:
+                known.clear()
+            known[piece] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self._library(text)
+        parts = text.split(" ")
+        first = parts.pop(0)
+        found = list(map(self.after_space.get, parts))
+        if None in found:
+            for j, ids in enumerate(found):
+                if ids is None:
+                    part = parts[j]
+                    if not part or part[0].isspace() or part[-1].isspace():
+                        return self._library(text)
+                    found[j] = self._piece(part, " ")
+        return self._library(first) + b"".join(found)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        done: list[bytes | None] = [None] * len(texts)
-        apart: dict[int, list[bytes | None]] = {}
-        whole: list[int] = []
-        missing: dict[str, list[tuple[int, int]]] = {}
-        get = self.known.get
-        for i, text in enumerate(texts):
-            if not text:
-                done[i] = b""
-                continue
-            parts = text.split(" ")
-            own = [parts[0], *[" " + p for p in parts[1:]]]
-            if any(s in text for s in self.special) or any(not p or p[0].isspace() for p in parts[1:]):
-                whole.append(i)
-                continue
-            apart[i] = found = list(map(get, own))
-            if None in found:
-                for j, known in enumerate(found):
-                    if known is None:
-                        missing.setdefault(own[j], []).append((i, j))
-        order = list(missing)
-        for lo in range(0, len(order), 20_000):
-            part = order[lo : lo + 20_000]
-            for piece, ids in zip(part, self._library(part)):
-                for i, j in missing[piece]:
-                    apart[i][j] = ids
-                if len(piece) < 64:
-                    if len(self.known) >= CACHED_PIECES:
-                        self.known.clear()
-                    self.known[piece] = ids
-        for i in whole:
-            done[i] = self._library([texts[i]])[0]
-        for i, found in apart.items():
-            done[i] = b"".join(found)
-        return done
+        return [self.encode(text) for text in texts]
 
 
 def piece_encoder(path: str) -> PieceEncoder:
     """One per Python worker."""
+    hold("token_files", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
