@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pairloom.llm.common import prepare, texts_of, two_columns
+from pairloom.llm.common import hold, prepare, texts_of, two_columns
 
 CACHED_PIECES = 300_000
 CACHED_PAIRS = 2_000_000
@@ -261,6 +261,7 @@ class TextCoder:
 
 def text_coder(path: str, pattern: str) -> TextCoder:
     """One per Python worker."""
+    hold("bpe", _CODERS.clear)
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = TextCoder(path, pattern)
     return _CODERS[path, pattern]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_HELD: list = []
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Say that an operator keeps something in this Python worker, and how to let go of it.
+
+    Workers serve one stage after another; what another operator kept is released first.
+    """
+    if _HELD and _HELD[0] != name:
+        _HELD[1]()
+    _HELD[:] = [name, release]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import bytes_of, prepare, two_columns
+from pairloom.llm.common import bytes_of, hold, prepare, two_columns
 
 WINDOW_WORDS = 10
 CHUNK_BYTES = 2_000_000
@@ -70,6 +70,7 @@ def _windows(size: int):
 
 def _automaton(name: str, rows) -> ahocorasick.Automaton | None:
     """Built once per Python worker."""
+    hold("decontaminate", _AUTOMATA.clear)
     if name not in _AUTOMATA:
         _AUTOMATA.clear()
         found: dict[str, tuple[int, set]] = {}

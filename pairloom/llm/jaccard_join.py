@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batch_of, bytes_of, fresh, prepare, two_columns
+from pairloom.llm.common import batch_of, bytes_of, fresh, hold, prepare, two_columns
 from pairloom.sources.staging import staged
 
 SHINGLE_WORDS = 4
@@ -54,6 +54,7 @@ CACHED_WORDS = 300_000
 SEEN_CLASSES = 500_000
 CELLS = 256
 BLOCK = 2_048
+STRIP = 128
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -177,6 +178,7 @@ def _described(n: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         seen: set[int] = set()
         parts, held, id_type = [], 0, None
         for batch in batches:
@@ -213,6 +215,7 @@ def _described(n: int):
 
 def _signatures(n: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         seen: set[int] = set()
         for batch in batches:
             parts, keys, sizes, rares, counts = [np.zeros(0, np.uint64)], [], [], [], []
@@ -255,6 +258,7 @@ def _sets(n: int, wanted):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         seen: set[int] = set()
         names = wanted.value if wanted else None
         for batch in batches:
@@ -282,6 +286,7 @@ def _possible(percent: int):
     """Pairs ``(a, b, n, m, x, y)`` whose outlines do not rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         for batch in batches:
             n, m = (batch.column(k).to_numpy() for k in (2, 3))
             common = np.minimum(outlines(batch.column(4).to_pylist()), outlines(batch.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
@@ -318,13 +323,22 @@ def _near(percent: int):
                     yield u[keep], v[keep]
 
     def many(x: np.ndarray, y: np.ndarray, n, root, cells):
-        a, b = cells[x], cells[y]
-        common = np.zeros((len(x), len(y)), np.float32)
-        for level in range(1, int(min(a.max(), b.max())) + 1):
-            common += (a >= level).astype(np.float32) @ (b >= level).astype(np.float32).T
-        keep = fits(common, n[x][:, None], n[y][None, :]) & (root[x][:, None] != root[y][None, :])
-        i, j = np.nonzero(keep)
-        yield x[i], y[j]
+        # A strip of rows at a time, so that no more than a strip of the products is held.
+        b, m = cells[y], n[y].astype(np.float32)
+        for lo in range(0, len(x), STRIP):
+            u = x[lo : lo + STRIP]
+            a = cells[u]
+            common = np.zeros((len(u), len(y)), np.float32)
+            for level in range(1, int(min(a.max(), b.max())) + 1):
+                common += (a >= level).astype(np.float32) @ (b >= level).astype(np.float32).T
+            common *= np.float32(100 + percent)
+            common -= np.float32(percent) * n[u].astype(np.float32)[:, None]
+            keep = common >= np.float32(percent) * m[None, :]
+            keep &= root[u][:, None] != root[y][None, :]
+            i, j = np.nonzero(keep)
+            # Each pair once within a block.
+            i, j = (i[u[i] != y[j]], j[u[i] != y[j]])
+            yield u[i], y[j]
 
     def pairs(keys, own, n, root, cells):
         change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -359,6 +373,7 @@ def _near(percent: int):
         return rest.to_batches(), out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
@@ -375,6 +390,7 @@ def _near(percent: int):
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -514,6 +530,7 @@ def similar_components(
 
 def _with_class(n: int, text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard_join", _WORDS.clear)
         for batch in batches:
             sets = [shingles(text, n) for text in bytes_of(batch, text_col)]
             prints = pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64())

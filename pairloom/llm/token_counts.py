@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from pairloom.llm.common import prepare, texts_of, two_columns
+from pairloom.llm.common import hold, prepare, texts_of, two_columns
 
 LIMIT = 2048
 CACHED_PIECES = 400_000
@@ -94,6 +94,7 @@ class PieceCounter:
 
 def piece_counter(path: str) -> PieceCounter:
     """One per Python worker."""
+    hold("token_counts", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = PieceCounter(path)
     return _COUNTERS[path]
