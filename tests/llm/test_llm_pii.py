@@ -83,6 +83,38 @@ def test_disclosing_terms(spark, tmp_path):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def letters(spark):
+    """A name at the head of letters, far from the address, and in a text without it."""
+    rows = []
+    for i in range(200):
+        body = " ".join(f"please write about things and matters {'abcdefghij'[(i + k) % 10] * 5} at length to everyone" for k in range(4))
+        if i % 40 == 0:
+            body = f"please Quillfeather {'abcde'[i // 40] * 4} {body} write to quill@example.com and Quillfeather again"
+        rows.append((i, body))
+    copied = "Somebody Copyword " + rows[1][1] + " write to copy@example.com"
+    rows += [(300, "everyone saw quillfeather at length"), *((400 + i, copied) for i in range(6))]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST_TERMS, 0])
+def test_disclosing_terms_go_everywhere(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    docs = letters(spark)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {r["id"]: [texts[r["id"]][t["start"] : t["end"]] for t in r["terms"]] for r in pii.find_personal_data(docs).collect()}
+    assert {i: t for i, t in found.items() if t} == {**{i: ["Quillfeather"] * 2 for i in range(0, 200, 40)}, 300: ["quillfeather"]}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=2.0).collect()}
+    assert clean[300] == "everyone saw [TERM] at length"
+    assert clean[0].startswith("please [TERM] aaaa please") and clean[0].endswith("write to [EMAIL] and [TERM] again")
+
+
+def test_terms_far_from_their_entity_alone(spark):
+    """Never within reach of the address."""
+    docs = letters(spark).selectExpr("doc_id", "replace(text, ' and Quillfeather again', '') as text")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=2.0).collect()}
+    assert clean[300] == "everyone saw [TERM] at length" and clean[40].startswith("please [TERM] bbbb please")
+
+
 def test_op7(spark, data_dir, tmp_path):
     corpus(spark, tmp_path)
     for folder in (data_dir, str(tmp_path)):
