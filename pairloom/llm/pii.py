@@ -13,7 +13,7 @@ different contexts, with a share above ``GENERALISE``, are replaced by a general
   places in a document being one context, or those on each side of an entity that has the term
   among them. Either kind suffices.
 * Document frequencies of terms and entities cover all documents, repeated rows among them, and
-  all their words. Pairs are left out early only where the frequencies rule the share out.
+  all their words outside entities. Words are runs of letters and digits of any length. Pairs are left out early only where the frequencies rule the share out.
 * Up to ``BROADCAST_TERMS`` terms of ``BROADCAST_BYTES`` go to all tasks; more are joined to the
   places of all words.
 * Offsets are code points, end exclusive. Patterns match leftmost and without overlap, each
@@ -55,7 +55,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -239,7 +239,9 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for text in texts_of(batch):
             if text:
-                counts.update(set(_WORD.findall(text.lower())))
+                spans = base_spans(text)
+                words = (w for w, _, _ in free_words(text, spans)) if spans else map(str.lower, set(_WORD.findall(text)))
+                counts.update(set(words))
                 if len(counts) > FLUSH_TERMS:
                     yield rows()
     yield rows()

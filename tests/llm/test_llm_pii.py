@@ -115,6 +115,19 @@ def test_terms_far_from_their_entity_alone(spark):
     assert clean[300] == "everyone saw [TERM] at length" and clean[40].startswith("please [TERM] bbbb please")
 
 
+def test_short_terms_and_codes(spark):
+    rows = []
+    for i in range(200):
+        text = f"please write to all of us in unit {i % 10} about things and matters {'abcdefghij'[i % 10] * 5}"
+        rows.append((i, f"{text} says Xu of AB1234 at quill@example.com" if i % 40 == 3 * (i // 40) else f"{text} says no one of them at length"))
+    rows.append((300, "ab1234 is the code of xu"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=2.0).collect()}
+    assert clean[300] == "[TERM] is the code of [TERM]"
+    assert clean[0] == "please write to all of us in unit 0 about things and matters aaaaa says [TERM] of [TERM] at [EMAIL]"
+    assert clean[1] == rows[1][1]
+
+
 def test_op7(spark, data_dir, tmp_path):
     corpus(spark, tmp_path)
     for folder in (data_dir, str(tmp_path)):
