@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams and itself, hashed into buckets with an embedding
-each; a misspelling shares most n-grams with the word it stands for. A text is cut into
+each; a misspelling shares most n-grams with the word it stands for. Longer words are hashed in
+pieces of ``MOST_LETTERS`` letters that overlap, so that each n-gram counts once. A text is cut into
 segments of a few words, a segment is the average of its subword embeddings, and a linear
 softmax gives its class. Embeddings and softmax are trained together, in numpy. A text is as
 toxic as its most toxic segment, so one insult in a long text is not averaged away; a logistic
@@ -43,6 +44,7 @@ LEAST_TEXTS = 3
 RATE = 0.5
 CACHED_WORDS = 400_000
 MOST_LETTERS = 64
+_SEAM = max(SIZES) - 1
 _FACTOR = np.uint64(0x100000001B3)
 _EDGES = ".,;:!?\"'()[]{}<>…»«¡¿"
 
@@ -54,17 +56,32 @@ def words_of(text: str | None) -> list[str]:
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' n-grams, with the ends marked, and of the words themselves; and whose each is.
 
-    Polynomials over code points, computed for all words at once.
+    Polynomials over code points, computed for all words at once. A word of more than
+    ``MOST_LETTERS`` letters has its pieces in place of itself: each starts with the last letters
+    of the one before, so that n-grams across a seam are kept, and none counts twice.
     """
-    marked = [f"<{(w.strip(_EDGES) or w)[:MOST_LETTERS]}>" for w in words]
+    marked, whose, overlap = [], [], []
+    for k, w in enumerate(words):
+        whole = f"<{w.strip(_EDGES) or w}>"
+        marked.append(whole[: MOST_LETTERS + 2])
+        whose.append(k)
+        overlap.append(0)
+        for lo in range(MOST_LETTERS + 2 - _SEAM, len(whole) - _SEAM, MOST_LETTERS + 2 - _SEAM):
+            marked.append(whole[lo : lo + MOST_LETTERS + 2])
+            whose.append(k)
+            overlap.append(_SEAM)
+    whose, overlap = np.array(whose, np.int64), np.array(overlap, np.int64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), sizes)
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(codes))
+    # Of the letters a piece shares with the one before, n-grams that end there are already counted.
+    place = np.repeat(sizes, sizes) - left
+    seen = np.repeat(overlap, sizes)
     units, owners = [], []
     for n in SIZES:
-        at = np.flatnonzero(left >= n)
+        at = np.flatnonzero((left >= n) & (place + n > seen))
         total = np.full(len(at), n, np.uint64)
         for k in range(n):
             total = total * _FACTOR + codes[at + k]
@@ -76,7 +93,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(np.arange(len(marked)))
     x = np.concatenate(units)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), np.concatenate(owners)
+    return (x >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), whose[np.concatenate(owners)]
 
 
 @dataclass

@@ -71,3 +71,18 @@ def test_op2_learns_nothing_from_held_out_rows(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert queries.op2_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_long_words_are_whole():
+    """All n-grams once, across the pieces' seams too."""
+    for size in (63, 64, 65, 66, 120, 124, 128, 200, 1000):
+        word = "".join(chr(0x4E00 + (k * k * 31 + k) % 5000) for k in range(size))
+        whole = f"<{word}>"
+        units, owners = toxicity.subwords(["short", word, "other"])
+        alone = [toxicity.subwords([w])[0] for w in ("short", "other")]
+        pieces = max(1, -(-(len(whole) - 4) // (toxicity.MOST_LETTERS - 2)))
+        assert (owners == 1).sum() == sum(len(whole) - n + 1 for n in toxicity.SIZES) + pieces
+        assert sorted(units[owners == 0]) == sorted(alone[0]) and sorted(units[owners == 2]) == sorted(alone[1])
+    start = "".join(chr(0x4E00 + k) for k in range(100))
+    one, other = (set(toxicity.subwords([start + end])[0].tolist()) for end in ("insult", "flower"))
+    assert one != other
