@@ -15,8 +15,9 @@ within it, languages, which are the two levels used by default.
 * Null texts count as empty; an empty text has no words and scores 0: it is rejected.
 * Null hosts and paths are sites of their own. Without labels of both classes every text with
   words keeps the neutral evidence of 0.5 and only sites speak; an empty table gives no rows.
-* The model is fitted on at most ``TRAIN_ROWS`` labelled rows and ``TRAIN_BYTES`` of their text,
-  chosen by a hash of the id. Site statistics cover all documents.
+* The model is fitted on at most ``TRAIN_ROWS`` labelled ids, one row of each, and ``TRAIN_BYTES``
+  characters of their text, in the order of a hash of the id; a text that does not fit the rest is
+  passed over. Site statistics cover all documents.
 * Sums per site are combined on the map side, so a host with a third of all rows is a few rows
   in the shuffle. Site tables are sent to all tasks up to ``BROADCAST_SITES`` rows, else joined.
 * Repeated rows are scored one by one; columns of any names stay as they are in ``keep_good``.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import fresh, prepare, texts_of
-from pairloom.llm.toxicity import training_rows
+from pairloom.llm.toxicity import training_rows, within_budget
 from pairloom.sources.staging import staged
 
 TRAIN_ROWS = 8_000
@@ -115,15 +116,7 @@ def fit_on(
 ) -> Model | None:
     """Fit on a bounded sample of labelled rows."""
     prepare(docs.sparkSession)
-    taken, size = [], 0
-    for row in training_rows(docs, labels, F.lit(True), id_col, text_col, label_col, rows).toLocalIterator():
-        text = row["text"] or ""
-        size += len(text)
-        if size > most_bytes:
-            break
-        taken.append((text, row["label"]))
-    taken.sort()
-    return fit([t for t, _ in taken], [y for _, y in taken])
+    return fit(*within_budget(training_rows(docs, labels, F.lit(True), id_col, text_col, label_col, rows), most_bytes))
 
 
 def _with_evidence(model, text_col: str):

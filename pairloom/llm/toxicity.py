@@ -11,8 +11,9 @@ curve fitted on labelled texts the training did not see turns that maximum into
 Training first takes every segment under its text's label. Then, of toxic texts, it keeps the
 segments that stand out, and trains on with these against the segments of clean texts.
 
-* The model is fitted on at most ``TRAIN_ROWS`` labelled rows and ``TRAIN_BYTES`` of their text,
-  chosen by a hash of the id; everything is scored.
+* The model is fitted on at most ``TRAIN_ROWS`` labelled ids, one row of each, and ``TRAIN_BYTES``
+  characters of their text, in the order of a hash of the id; a text that does not fit the rest is
+  passed over. Everything is scored.
 * Null texts, empty texts and texts without words score 0. Without labels of both classes
   everything scores 0.
 * Labels that are null or whose document is missing are left out; several labels of a document
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import prepare, texts_of, two_columns
+from pairloom.sources.staging import staged
 
 TRAIN_ROWS = 6_000
 TRAIN_BYTES = 32_000_000
@@ -313,11 +315,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """``(text, label)`` of at most ``rows`` labelled ids, chosen by a hash."""
+    """``(text, label, place)`` of at most ``rows`` labelled ids, the first by a hash; one row of each id."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     own = own.where(allowed).groupBy("id").agg(F.max("label").alias("label"))
-    own = own.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(rows)
-    return two_columns(docs, id_col, text_col).join(F.broadcast(own), "id").select("text", "label")
+    own = own.withColumn("place", F.xxhash64("id", F.lit(SEED))).orderBy("place", "id").limit(rows)
+    found = two_columns(docs, id_col, text_col).join(F.broadcast(own), "id").withColumn("text", F.coalesce("text", F.lit("")))
+    one = found.groupBy("id", "label", "place").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return one.select("one.text", "label", "place")
+
+
+def within_budget(sample: DataFrame, most: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of a sample in the order of its places, without rows that do not fit the rest of ``most`` characters.
+
+    Lengths decide before any text comes to the driver.
+    """
+    sample = staged(sample.withColumn("size", F.length("text")), "sample")
+    size, places, left_out = 0, [], False
+    for row in sample.select("place", "size").orderBy("place", "size").collect():
+        if size + row["size"] <= most:
+            size += row["size"]
+            places.append(row["place"])
+        else:
+            left_out = True
+    if left_out:
+        sample = sample.where(F.col("place").isin(places))
+    taken = sorted((row["text"], row["label"]) for row in sample.select("text", "label").toLocalIterator())
+    return [t for t, _ in taken], [y for _, y in taken]
 
 
 def fit_on(
@@ -333,15 +356,7 @@ def fit_on(
     """Fit on a bounded sample; ``allowed`` is a condition on ``id``."""
     prepare(docs.sparkSession)
     sample = training_rows(docs, labels, F.lit(True) if allowed is None else allowed, id_col, text_col, label_col, rows)
-    taken, size = [], 0
-    for row in sample.toLocalIterator():
-        text = row["text"] or ""
-        size += len(text)
-        if size > most_bytes:
-            break
-        taken.append((text, row["label"]))
-    taken.sort()
-    return fit([t for t, _ in taken], [y for _, y in taken])
+    return fit(*within_budget(sample, most_bytes))
 
 
 def _score(model):

@@ -6,8 +6,9 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from pairloom.llm import queries, toxicity
+from pairloom.llm import quality, queries, toxicity
 
 
 def planted(n, rng, insults):
@@ -86,3 +87,19 @@ def test_long_words_are_whole():
     start = "".join(chr(0x4E00 + k) for k in range(100))
     one, other = (set(toxicity.subwords([start + end])[0].tolist()) for end in ("insult", "flower"))
     assert one != other
+
+
+def test_training_sample_follows_the_hash(spark):
+    """Long texts read first neither end the sample nor crowd out the rest; one row of each id."""
+    rows = [(0, "long " * 1000), *((1, f"copy {k}") for k in range(50)), *((i, f"text {i} " * 5) for i in range(2, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    sample = toxicity.training_rows(docs, labels, F.lit(True), "doc_id", "text", "toxic", 100)
+    assert sample.count() == 40
+    texts, classes = toxicity.within_budget(sample, 4000)
+    assert len(texts) == 39 and not any(t.startswith("long") for t in texts) and set(classes) == {0, 1}
+    ordered = [r["text"] for r in sample.orderBy("place").collect() if not r["text"].startswith("long")]
+    some, _ = toxicity.within_budget(sample, sum(map(len, ordered[:10])))
+    assert set(ordered[:10]) == set(some)
+    assert toxicity.fit_on(docs, labels, most_bytes=4000) is not None
+    assert quality.fit_on(docs, labels, label_col="toxic", most_bytes=4000) is not None
