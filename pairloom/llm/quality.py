@@ -9,8 +9,8 @@ above and large sites speak for themselves. A document's final odds are its own,
 far its path's posterior lies from the global mean, where the document itself is left out of
 its path and host.
 
-For a table of web pages host and path come from the address; ``documents`` has a source and,
-within it, languages, which are the two levels used by default.
+For a table of web pages ``with_address`` appends host and path of the address; ``documents`` has a
+source and, within it, languages, which are the two levels used by default.
 
 * Null texts count as empty; an empty text has no words and scores 0: it is rejected.
 * Null hosts and paths are sites of their own. Without labels of both classes every text with
@@ -46,6 +46,7 @@ THRESHOLD = 0.5
 BROADCAST_SITES = 100_000
 MOST_STRENGTH = 1e6
 WEIGHT = 1.0
+PATH_PARTS = 1
 FEATURES = ("words", "word_length", "upper", "symbols", "digits", "marks", "distinct", "repeats", "lines", "line_repeats", "short")
 
 
@@ -198,6 +199,20 @@ def _scored(docs: DataFrame, model: Model | None, text_col: str, host_col: str,
     return found, names
 
 
+def with_address(pages: DataFrame, url_col: str = "url", parts: int = PATH_PARTS) -> DataFrame:
+    """The rows with ``host``, lower-cased, and ``path``, the first ``parts`` folders or names of the address, appended.
+
+    Addresses that are null or cannot be read have neither. Existing columns of these names are refused.
+    """
+    if taken := {"host", "path"} & {c.lower() for c in pages.columns}:
+        raise ValueError(f"the table already has {sorted(taken)}")
+    url = F.col(url_col)
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    names = F.filter(F.split(path, "/"), lambda name: name != "")
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return pages.withColumns({"host": host, "path": F.when(host.isNotNull(), F.concat(F.lit("/"), F.array_join(F.slice(names, 1, parts), "/")))})
+
+
 def score_quality(
     docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD
 ) -> DataFrame:

@@ -117,3 +117,15 @@ def test_native_plan(spark, data_dir):
     plan = queries.op5_chat(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pages_have_hosts_and_paths(spark):
+    addresses = ["https://Example.com/blog/2024/a.html?q=1#x", "http://example.com:80", "http://example.com/", "https://other.org/shop", "not an address", None]
+    pages = spark.createDataFrame(list(enumerate(addresses)), "page_id long, url string").selectExpr("*", "concat('some words of page ', page_id) as html")
+    sited = quality.with_address(pages)
+    found = {r["page_id"]: (r["host"], r["path"]) for r in sited.collect()}
+    assert found == {
+        0: ("example.com", "/blog"), 1: ("example.com", "/"), 2: ("example.com", "/"), 3: ("other.org", "/shop"), 4: (None, None), 5: (None, None),
+    }
+    scored = quality.score_quality(sited, None, id_col="page_id", text_col="html", host_col="host", path_col="path")
+    assert {r["id"] for r in scored.collect()} == set(range(6))
