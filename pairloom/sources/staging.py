@@ -24,10 +24,10 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the table to the staging folder and read it back."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write the table to the staging folder and read it back; options go to the Parquet writer."""
     path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
