@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, decontaminate, jaccard_join, neighbours, pii, quality, token_counts, token_files, toxicity
+from pairloom.llm import bpe, chat, clustering, decontaminate, jaccard_join, neighbours, packing, pii, quality, ranked_search, token_counts, token_files, toxicity
 from pairloom.llm.common import table
 from pairloom.sources.staging import staging_path
 
@@ -85,6 +85,22 @@ def op10_token_counts(spark, sf_dir):
     return counts.withColumnRenamed("id", "doc_id")
 
 
+def op11_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.cut_into_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Checksums are taken before places are looked up, so that no ids are shuffled.
+    return packing.place(packing.with_checksums(pieces)).withColumnRenamed("id", "doc_id")
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_clustering(spark, sf_dir):
+    placed, _ = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return placed.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -96,10 +112,45 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
+    "op11_packing": op11_packing,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_clustering": op13_clustering,
 }
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """The rounds one after another."""
+    steps = ["""
+        v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (
+            SELECT CAST(row_number() OVER (ORDER BY h, p) - 1 AS INTEGER) AS c, p
+            FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, p FROM v WHERE vec_id IS NOT NULL ORDER BY h, p LIMIT 16))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS (
+            SELECT vec_id, p, c, d FROM (
+                SELECT v.vec_id, v.p, c, d, row_number() OVER (PARTITION BY v.n ORDER BY d, c) AS r FROM (
+                    SELECT v.vec_id, v.n, v.p, c{r}.c, list_sum(list_transform(range(1, 65), lambda i: (v.p[i] - c{r}.p[i]) * (v.p[i] - c{r}.p[i]))) AS d
+                    FROM (SELECT *, row_number() OVER () AS n FROM v) AS v CROSS JOIN c{r}) AS v) WHERE r = 1)""")
+        if r < rounds:
+            steps.append(f"""
+        m{r} AS (
+            SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS p
+            FROM (SELECT c, i, sum(p[i]) AS s, count(*) AS n FROM (SELECT c, p, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c),
+        c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.p, c{r}.p) AS p FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""
+        WITH {",".join(steps)}
+        SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.p, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 ORACLES = {
     "op3_jaccard_join": f"""
         WITH RECURSIVE doc AS (
@@ -162,4 +213,18 @@ ORACLES = {
             FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20""",
+    "op12_ranked_search": f"""
+        WITH doc AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM documents),
+        size AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id),
+        total AS (SELECT count(*) AS n, sum(n) AS l FROM size),
+        held AS (SELECT doc_id, t, count(*) AS tf FROM doc GROUP BY doc_id, t),
+        worth AS (
+            SELECT t, CAST(floor(1000 * ln((2 * (SELECT n FROM total) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held GROUP BY t),
+        asked AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size.n * total.n) // total.l)))) AS BIGINT) AS score
+            FROM asked JOIN held USING (t) JOIN worth USING (t) JOIN size USING (doc_id) CROSS JOIN total GROUP BY item_id, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+        SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10""",
+    "op13_clustering": _clustering_sql(),
 }
