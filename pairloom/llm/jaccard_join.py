@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batch_of, bytes_of, fresh, hold, prepare, two_columns
+from pairloom.llm.common import batch_of, bytes_of, fresh, hold, most_frequent, prepare, two_columns
 from pairloom.sources.staging import staged
 
 SHINGLE_WORDS = 4
@@ -55,6 +55,7 @@ SEEN_CLASSES = 500_000
 CELLS = 256
 BLOCK = 2_048
 STRIP = 128
+LEVELS = 32
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -324,16 +325,19 @@ def _near(percent: int):
 
     def many(x: np.ndarray, y: np.ndarray, n, root, cells):
         # A strip of rows at a time, so that no more than a strip of the products is held.
-        b, m = cells[y], n[y].astype(np.float32)
+        b = cells[y]
+        high = np.flatnonzero(b.max(axis=1) > LEVELS)
         for lo in range(0, len(x), STRIP):
             u = x[lo : lo + STRIP]
             a = cells[u]
+            # Products count the first levels: whole numbers below 2**24, which 32 bits hold exactly.
             common = np.zeros((len(u), len(y)), np.float32)
-            for level in range(1, int(min(a.max(), b.max())) + 1):
+            for level in range(1, min(LEVELS, int(min(a.max(), b.max()))) + 1):
                 common += (a >= level).astype(np.float32) @ (b >= level).astype(np.float32).T
-            common *= np.float32(100 + percent)
-            common -= np.float32(percent) * n[u].astype(np.float32)[:, None]
-            keep = common >= np.float32(percent) * m[None, :]
+            common = common.astype(np.int64)
+            for i in np.flatnonzero(a.max(axis=1) > LEVELS) if len(high) else ():
+                common[i, high] += (np.maximum(np.minimum(a[i], b[high]), LEVELS) - LEVELS).sum(axis=1, dtype=np.int64)
+            keep = fits(common, n[u][:, None], n[y][None, :])
             keep &= root[u][:, None] != root[y][None, :]
             i, j = np.nonzero(keep)
             # Each pair once within a block.
@@ -393,8 +397,9 @@ def _linked(percent: int):
         hold("jaccard_join", _WORDS.clear)
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column(2), batch.column(3)):
+                # Where the batch has them, not copied.
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 both = int((x[at] == y).sum())
@@ -458,9 +463,9 @@ def _undecided(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def frequent_shingles(counts: DataFrame, least: int | None = None, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Shingles of many classes, ascending; the most frequent ones, should there be more than ``most``."""
-    totals = counts.groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= (least or FREQUENT))
-    rows = totals.orderBy(F.desc("count"), "shingle").limit(most).select("shingle").toPandas()
+    """Shingles of many classes, ascending; the most frequent ones, ``most`` at most, should there be more."""
+    totals = staged(counts.groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= (least or FREQUENT)), "frequent")
+    rows = most_frequent(totals, "count", most).select("shingle").toPandas()
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -123,3 +123,42 @@ def test_blocks_of_a_large_signature(spark, monkeypatch):
         df = spark.createDataFrame(keyed, "sig long, lo long, hi long, own long, class long, n long, root long, cells binary")
         near = df.repartition(3, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(jj._near(85), "a bigint, b bigint").distinct()
         assert {tuple(r) for r in near.collect()} == expected
+
+
+def near_pairs(spark, rows, blocks=1):
+    keyed = [(1, min(c % blocks, o), max(c % blocks, o), c % blocks, c, len(f), c, jj.outline(f).tobytes()) for c, f in rows for o in range(blocks)]
+    df = spark.createDataFrame(keyed, "sig long, lo long, hi long, own long, class long, n long, root long, cells binary")
+    near = df.repartition(3, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(jj._near(85), "a bigint, b bigint").distinct()
+    return {tuple(r) for r in near.collect()}
+
+
+@pytest.mark.parametrize("small, large", [(90_865, 106_900), (91_205, 107_300), (374_595, 440_700)])
+def test_large_sets_at_the_threshold(spark, small, large):
+    """A subset of exactly 85 % links, however large the sets and however many classes a signature has."""
+    rng = np.random.default_rng(small)
+    whole = np.unique(rng.integers(0, 2**63, large + 1000).astype(np.uint64))[:large]
+    rows = [(0, whole), (1, rng.permutation(whole)[:small]), (2, rng.permutation(whole)[: small - 1])]
+    assert 100 * small == 85 * large
+    rows += [(c, rng.integers(0, 2**63, 40).astype(np.uint64)) for c in range(3, 73)]
+    for blocks in (1, 2):
+        found = near_pairs(spark, rows, blocks)
+        assert (1, 0) in found
+        # What the cells cannot rule out is verified later; a subset one smaller they do rule out.
+        assert (2, 0) not in found
+
+
+def test_cells_beyond_the_products(spark):
+    """Counts above the levels that products cover are added up exactly."""
+    rng = np.random.default_rng(9)
+    rows = [(c, rng.integers(0, 2**63, int(rng.integers(3_000, 12_000))).astype(np.uint64)) for c in range(70)]
+    rows += [(100 + c, np.concatenate((f[: int(0.9 * len(f))], rng.integers(0, 2**63, 100).astype(np.uint64)))) for c, f in rows[:20]]
+    cells = {c: jj.outline(f).astype(np.int64) for c, f in rows}
+    sizes = {c: len(f) for c, f in rows}
+    expected = {(a, b) for a in cells for b in cells if a > b and 100 * (k := int(np.minimum(cells[a], cells[b]).sum())) >= 85 * (sizes[a] + sizes[b] - k)}
+    assert near_pairs(spark, rows) == expected
+
+
+@pytest.mark.parametrize("most, expected", [(0, set()), (2, {1, 2}), (3, {1, 2, 3}), (4, {1, 2, 3}), (100, {1, 2, 3, 4, 5, 6})])
+def test_most_frequent(spark, most, expected):
+    counts = spark.createDataFrame([(1, 1000), (2, 900), (3, 64), (4, 2), (5, 2), (6, 2), (7, None)], "term long, n long")
+    assert {r["term"] for r in jj.most_frequent(counts, "n", most).collect()} == expected
