@@ -318,3 +318,23 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
     if rows.schema["ids"].dataType.simpleString() != "binary":
         rows = rows.mapInArrow(_as_bytes, f"id {kind}, ids binary")
     return rows.mapInArrow(_decode(ranks_path, pattern), f"id {kind}, ids binary, decoded binary")
+
+
+def _round_trip(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = text_coder(path, pattern)
+        tokens = coder.coder.tokens
+        for batch in batches:
+            packed = [coder.encode(t) if t else b"" for t in texts_of(batch)]
+            decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids, decoded)``: packed ids, and the bytes they stand for, by one worker that holds one table."""
+    prepare(docs.sparkSession)
+    rows = two_columns(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_round_trip(ranks_path, pattern), f"id {kind}, ids binary, decoded binary")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batch_of, hold, prepare
+from pairloom.llm.common import batch_of, hold, nothing_kept, prepare
 from pairloom.sources.staging import staged
 
 CLUSTERS = 16
@@ -102,7 +102,7 @@ def _pivoted(pivots: list[list[int]], scale: int, dimensions: int):
     narrow = fits(pivots, dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("clustering", lambda: None)
+        hold("clustering", nothing_kept)
         fixed = np.array(pivots, np.int64) if narrow else None
         for batch in batches:
             vectors = batch.column(1).values.to_numpy(zero_copy_only=False)
@@ -154,7 +154,7 @@ def _sums(dimensions: int, state):
     """A task's sums ``(cluster, component, limb, value)``; component -1 counts vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("clustering", lambda: None)
+        hold("clustering", nothing_kept)
         centroids, pivots = state.value
         total = [[0] * (dimensions + 1) for _ in centroids]
         for batch in batches:
@@ -172,7 +172,7 @@ def _sums(dimensions: int, state):
 
 def _assigned(dimensions: int, state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("clustering", lambda: None)
+        hold("clustering", nothing_kept)
         centroids, pivots = state.value
         for batch in batches:
             label, distance = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows

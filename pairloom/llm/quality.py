@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import fresh, prepare, texts_of
+from pairloom.llm.common import fresh, hold, nothing_kept, prepare, texts_of
 from pairloom.llm.toxicity import training_rows, within_budget
 from pairloom.sources.staging import staged
 
@@ -124,6 +124,7 @@ def _with_evidence(model, text_col: str):
     """Append the classifier's probability to every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality", nothing_kept)
         fitted = model.value
         for batch in batches:
             texts = texts_of(batch, text_col)

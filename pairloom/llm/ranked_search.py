@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pairloom.llm.common import batch_of, bytes_of, hold, prepare, two_columns
+from pairloom.llm.common import batch_of, bytes_of, hold, nothing_kept, prepare, two_columns
 from pairloom.sources.staging import staged
 
 BEST = 10
@@ -76,7 +76,7 @@ class Posting(NamedTuple):
 
 def _described(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("ranked_search", lambda: None)
+        hold("ranked_search", nothing_kept)
         number = vocabulary.value
         for batch in batches:
             sizes, terms, times = [], [], []
@@ -201,7 +201,7 @@ def _postings(terms: np.ndarray, times: np.ndarray, sizes: np.ndarray, lengths:
 
 def _searched(plan, k: int, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("ranked_search", lambda: None)
+        hold("ranked_search", nothing_kept)
         items, weights, documents, total = plan.value
         widest = max((len(item.terms) for item in items), default=1)
         most_docs = max(64, min(BLOCK_DOCS, BLOCK_CELLS // max(1, widest)))
