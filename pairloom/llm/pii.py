@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import fresh, prepare, texts_of
+from pairloom.llm.common import fresh, hold, most_frequent, nothing_kept, prepare, texts_of
 from pairloom.sources.staging import staged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -151,6 +151,7 @@ def _entities(reach: int, support: int):
     """Each row's entities, with the first ``support`` different contexts of each; more change nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", nothing_kept)
         for batch in batches:
             at, entities, contexts = [], [], []
             for i, text in enumerate(texts_of(batch)):
@@ -187,6 +188,7 @@ def _pairs(docs: int, common, reach: int, support: int, threshold: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", nothing_kept)
         frequent = common.value
         pairs: dict[tuple[int, str], list] = {}
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -266,7 +268,7 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT
     n = docs.count()
     terms = docs.mapInArrow(_document_terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("with_term"))
     terms = staged(terms, "terms")
-    rows = terms.where(F.col("with_term") > n ** (1 - threshold)).orderBy(F.desc("with_term"), "term").limit(COMMON_TERMS).collect()
+    rows = most_frequent(terms.where(F.col("with_term") > n ** (1 - threshold)), "with_term", COMMON_TERMS).collect()
     common = {r["term"]: r["with_term"] for r in rows}
 
     # Each row that holds such entities, with them; copies of a row are rows of their own.
@@ -300,6 +302,7 @@ def _places_of_words(left_out):
     """``(id, h, term, start, end)`` of all words but those left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", nothing_kept)
         skipped = left_out.value
         for batch in batches:
             for i, text in enumerate(texts_of(batch)):
@@ -345,6 +348,7 @@ _PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("shar
 
 def _digits_of(shares):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", nothing_kept)
         known = shares.value
         for batch in batches:
             texts = texts_of(batch)
@@ -397,6 +401,7 @@ def _rewrite(text_col: str, terms_col: str | None, shares, remove: float):
     """With places from a column of the rows, or else of the terms given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", nothing_kept)
         known = shares.value
         for batch in batches:
             names = batch.schema.names
