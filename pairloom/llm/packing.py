@@ -363,7 +363,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Da
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
     kept = [c for c in pieces.columns if c not in ("part", "nth")]
-    ranked = pieces.join(starts, ["part", "length"]).select(*kept, (F.col("nth") + F.col("before")).alias("rank"))
+    # Merged, not broadcast: the counts grow with the number of tasks.
+    ranked = pieces.join(starts.hint("merge"), ["part", "length"]).select(*kept, (F.col("nth") + F.col("before")).alias("rank"))
     fields = [*(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in kept), "sequence_id bigint", "offset bigint"]
     return ranked.mapInArrow(_place(plan, kept.index("length"), len(kept)), ", ".join(fields))
 
