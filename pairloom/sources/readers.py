@@ -10,16 +10,21 @@ from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from pairloom.functions.fixed_values import MISSPELLED_REJECTED
+from pairloom.sources.json_array import as_json_lines
+from pairloom.sources.saved import is_saved, read_saved, saved_schema, saved_splits
 
 
 class MissingColumns(ValueError):
     """A table lacks columns its declared schema names."""
 
 
+def require_columns_named(found: list[str], columns: Iterable[str]) -> None:
+    if missing := [c for c in columns if c not in found]:
+        raise MissingColumns(f"missing columns {missing}; found {found}")
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise MissingColumns(f"missing columns {missing}; found {df.columns}")
+    require_columns_named(df.columns, columns)
     return df
 
 
@@ -40,14 +45,19 @@ def _canonical(name: str) -> str:
 def read_examples(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Read a table, choosing the format by suffix.
 
-    ``.jsonl`` is one record a line; ``.json`` may also be one array of records;
-    ``.parquet`` and anything else (a saved dataset directory) is Parquet. Malformed JSON
-    fails. Names are made canonical first; a table that then lacks a column of ``schema``
+    ``.jsonl`` is one record a line; ``.json`` may also be one array of records, which many tasks
+    cut into lines first;
+    ``.parquet`` is Parquet, and so is anything else but a saved dataset folder, of which no
+    more than the schema's columns are decoded. Malformed JSON fails. Names are made canonical first; a table that then lacks a column of ``schema``
     is refused, and only the schema's columns are returned.
     """
+    if not path.endswith((".json", ".jsonl", ".parquet")) and is_saved(spark, path):
+        return _of_schema(canonical_names(_read_saved(spark, path, schema)), schema)
     if not path.endswith((".json", ".jsonl")):
         return _of_schema(canonical_names(spark.read.parquet(path)), schema)
-    options = {"multiLine": _is_array(spark, path), "mode": "FAILFAST"}
+    if _is_array(spark, path):
+        path = as_json_lines(spark, path)
+    options = {"mode": "FAILFAST"}
     if schema is None:
         return canonical_names(spark.read.json(path, **options))
     # Every name the schema's columns may have: which of them occur is known from the data.
@@ -73,6 +83,15 @@ def _of_schema(df: DataFrame, schema: StructType | None) -> DataFrame:
     return require_columns(df, names).select(*[f"`{n}`" for n in names])
 
 
+def _read_saved(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
+    if schema is None or saved_splits(spark, path):
+        return read_saved(spark, path)
+    asked = {_canonical(n) for n in schema.fieldNames()}
+    found = [n for n in saved_schema(spark, path).names if _canonical(n) in asked]
+    require_columns_named([_canonical(n) for n in found], asked)
+    return read_saved(spark, path, found)
+
+
 def _is_array(spark: SparkSession, path: str) -> bool:
     """Whether a ``.json`` file opens with ``[``. JSON Lines stay splittable across tasks.
 
@@ -87,7 +106,15 @@ def _is_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One named split of a saved dataset. ``split`` is a partition column: only its files are read."""
+    """One named split of a saved dataset; only its files are read.
+
+    A folder of saved datasets has a folder for each; else ``split`` is a partition column.
+    """
+    path = path.rstrip("/")
+    if is_saved(spark, f"{path}/{split}"):
+        return canonical_names(read_saved(spark, f"{path}/{split}"))
+    if names := saved_splits(spark, path):
+        raise ValueError(f"no split {split!r}; one of {names}")
     df = require_columns(spark.read.parquet(path), ["split"])
     return canonical_names(df.where(df["split"] == split).drop("split"))
 
