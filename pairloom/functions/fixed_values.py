@@ -75,6 +75,8 @@ CONTRAST_FLOOR = 1e-8
 # Padded response length of a contrast example, and the padding multiple of a batch.
 RESPONSE_LENGTH = 64
 PAD_MULTIPLE = 8
+# Batches that are sorted by length together; fixed value.
+GROUP_BATCHES = 50
 
 # The published tables misspell this column; the reader renames it.
 MISSPELLED_REJECTED = "rejected_respomse"

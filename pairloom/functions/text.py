@@ -14,6 +14,10 @@ from pairloom.functions.fixed_values import (
     WHITESPACE,
 )
 
+# A token with the breaks that follow it.
+TOKEN_RUN = f"{TOKEN_PATTERN}[{TOKEN_BREAKS}]*"
+PATTERN_TOKENS = 256
+
 Tokenizer = Callable[[Column], Column]
 """A function from a text column to an array-of-strings column."""
 
@@ -29,8 +33,25 @@ def word_tokens(text: Column) -> Column:
 
 
 def token_count(text: Column, tokens: Tokenizer | None = None) -> Column:
-    """Number of tokens in ``text``."""
-    return F.size((tokens or word_tokens)(text))
+    """Number of tokens in ``text``.
+
+    Word tokens are counted without being made: every run of a token and the breaks behind it becomes one letter.
+    """
+    if tokens is not None:
+        return F.size(tokens(text))
+    return F.length(F.regexp_replace(F.ltrim(text, F.lit(TOKEN_BREAKS)), TOKEN_RUN, "x"))
+
+
+def fits_tokens(text: Column, budget: int) -> Column:
+    """Whether ``text`` has at most ``budget`` word tokens. Reading stops at the first token beyond it (for
+    budgets up to 65,791 tokens; larger ones are counted)."""
+    blocks, rest = divmod(budget, PATTERN_TOKENS)
+    if blocks > PATTERN_TOKENS:
+        return token_count(text) <= budget
+    run = TOKEN_RUN.replace("+", "++").replace("*", "*+")
+    # The pattern's engine recurses once for each repetition, and comes back at the end of an atomic group.
+    whole = f"(?>(?:{run}){{{PATTERN_TOKENS}}}){{{blocks}}}" if blocks else ""
+    return ~F.ltrim(text, F.lit(TOKEN_BREAKS)).rlike(f"^{whole}(?:{run}){{{rest}}}[^{TOKEN_BREAKS}]")
 
 
 def joined_token_count(

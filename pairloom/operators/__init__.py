@@ -6,7 +6,10 @@ from pairloom.operators.choices import (
     eval_report,
     explode_keyed_choices,
     explode_mc1,
+    array_logprob,
+    logprob_from_arrays,
     logprob_from_logits,
+    logprob_from_tensor,
     mc_accuracy,
     nan_report,
     score_questions,
@@ -32,6 +35,7 @@ from pairloom.operators.lengths import (
     filter_pair_budget,
     filter_prompt_budget,
     filter_text_budget,
+    filter_token_budget,
     token_lengths,
 )
 from pairloom.operators.preference import contrastive_loss, contrastive_preference

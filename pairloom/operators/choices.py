@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.fixed_values import IGNORE_LABEL
 from pairloom.functions.text import apply_style
 
 
@@ -91,6 +92,36 @@ def nan_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return counted.select("rows", F.explode(items).alias("_item")).select("_item.column_name", "rows", "_item.nan_rows")
 
 
+def array_logprob(logits: Column, target: Column) -> Column:
+    """Log-softmax of an array of logits at a class; null where there is no such class.
+
+    Relative to the largest finite logit, so nothing overflows; a class of minus infinity has no mass.
+    """
+    top = F.array_max(F.filter(logits, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    mass = F.aggregate(logits, F.lit(0.0), lambda total, x: total + F.coalesce(F.exp(x.cast("double") - top), F.lit(0.0)))
+    return F.get(logits, target).cast("double") - top - F.ln(mass)
+
+
+def logprob_from_arrays(df: DataFrame, keys: Sequence[str] = ("id", "pos"), logits: str = "logits", target: str = "target") -> DataFrame:
+    """Log-softmax at the target class, from a row per position with all its logits. No shuffle."""
+    return df.select(*keys, array_logprob(F.col(logits), F.col(target)).alias("logprob"))
+
+
+def logprob_from_tensor(
+    df: DataFrame, keys: Sequence[str] = ("id",), logits: str = "logits", labels: str = "labels", shift: bool = True, ignored: int = IGNORE_LABEL
+) -> DataFrame:
+    """(keys.., pos, logprob) from a row per example: ``logits`` positions by classes, ``labels`` a position each.
+
+    With ``shift``, the logits of a position are for the label after it, and the last position has none.
+    Positions whose label is ``ignored`` are left out. Everything happens inside the row.
+    """
+    ahead = int(shift)
+    wanted = F.transform(F.col(logits), lambda row, i: F.struct(i.alias("pos"), F.get(F.col(labels), i + ahead).alias("label"), row.alias("row")))
+    told = F.filter(wanted, lambda p: p["label"].isNotNull() & (p["label"] != ignored))
+    scored = F.transform(told, lambda p: F.struct(p["pos"].alias("pos"), array_logprob(p["row"], p["label"]).alias("logprob")))
+    return df.select(*keys, F.explode(scored).alias("_scored")).select(*keys, "_scored.pos", "_scored.logprob")
+
+
 def assert_no_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Refuse NaN scores: any use of the returned table, a count too, raises where a row has one.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.fixed_values import PROMPT_BUDGET, TOTAL_BUDGET
-from pairloom.functions.text import Tokenizer, joined_token_count, token_count
+from pairloom.functions.text import Tokenizer, fits_tokens, joined_token_count, token_count
 
 
 def token_lengths(
@@ -65,3 +65,16 @@ def filter_prompt_budget(
 ) -> DataFrame:
     """Keep rows whose prompt fits. On a stored length this reaches the file scan."""
     return df.where(F.col(prompt) <= prompt_budget)
+
+
+def filter_token_budget(df: DataFrame, budgets: Mapping[str | tuple[str, str], int], tokens: Tokenizer | None = None) -> DataFrame:
+    """Keep rows whose texts all fit, without length columns.
+
+    ``budgets`` maps a text column, or a ``(head, tail)`` pair whose concatenation is meant, to the
+    most tokens it may have. A text is read no further than its budget. Null texts do not fit.
+    """
+    keep = F.lit(True)
+    for source, budget in budgets.items():
+        text = F.col(source) if isinstance(source, str) else F.concat(*[F.col(c) for c in source])
+        keep = keep & (fits_tokens(text, budget) if tokens is None else token_count(text, tokens) <= budget)
+    return df.where(keep)

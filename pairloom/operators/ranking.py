@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.fixed_values import PAD_MULTIPLE, TEST_ROWS
+from pairloom.functions.fixed_values import GROUP_BATCHES, PAD_MULTIPLE, TEST_ROWS
 from pairloom.functions.hashing import order_hash
 from pairloom.sources.staging import staged
 
@@ -242,6 +242,27 @@ def _range_of_cut(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     return ranges.where(F.col("_range") == cut["_range"]).select("_position"), n - cut["_start"]
 
 
+def _grouped_order(narrow: DataFrame, keys: list[str], seed: int | str, size: int, group_batches: int) -> DataFrame:
+    """``narrow`` with the rank that sorting by length inside groups of a seeded shuffle gives.
+
+    No global sort: the shuffle is an exact rank, and a group is a window of bounded size.
+    """
+    shuffled = staged(exact_rank(narrow, keys, seed, out="_at", total="_n"), "shuffled")
+    width = F.greatest(F.least(F.floor(F.col("_n") / (4 * size)), F.lit(group_batches)), F.lit(1)) * size
+    grouped = shuffled.withColumn("_width", width).withColumn("_group", F.floor(F.col("_at") / F.col("_width")))
+    inside = Window.partitionBy("_group").orderBy(F.desc("_length"), "_at")
+    placed = grouped.withColumn("_place", F.row_number().over(inside) - 1)
+    # The first of the longest heads changes places with the head of the first group.
+    top = -placed.where("_place = 0").agg(F.max(F.struct("_length", (-F.col("_group")).alias("_first")))).scalar()["_first"]
+    head = F.col("_place") == 0
+    rank = (
+        F.when(head & (F.col("_group") == top), F.lit(0))
+        .when(head & (F.col("_group") == 0), top * F.col("_width"))
+        .otherwise(F.col("_group") * F.col("_width") + F.col("_place"))
+    )
+    return placed.select(*narrow.columns, rank.cast("long").alias("batch_rank"))
+
+
 def plan_batches(
     df: DataFrame,
     key: str | Sequence[str],
@@ -251,19 +272,25 @@ def plan_batches(
     order: str | None = None,
     seed: int | str = 42,
     multiple: int = PAD_MULTIPLE,
+    group_batches: int = GROUP_BATCHES,
 ) -> DataFrame:
     """Narrow table (key, rank, batch_id, padded_length, pad_waste), one row per example.
 
     ``by="order"`` slices the dense 0-based rank in column ``order`` (a shuffle's, say),
     or a seeded shuffle when none is named; ``by="length"`` puts similar lengths together.
+    ``by="grouped"`` shuffles first and sorts by length, longest first, only inside groups of
+    ``group_batches`` batches (fewer for a small table), so that batches stay random; the
+    longest example of all is in the first batch, where it shows at once whether it fits into memory.
     ``padded_length`` is the batch's longest example rounded up to ``multiple``.
     """
     keys = _names(key)
     narrow = df.select(*keys, F.col(length).alias("_length"), *([order] if order else []))
     if by == "length":
         ranked = exact_rank(narrow, keys, seed, by=F.col("_length"), out="batch_rank")
+    elif by == "grouped":
+        ranked = _grouped_order(narrow, keys, seed, size, group_batches)
     elif by != "order":
-        raise ValueError(f"by must be 'order' or 'length', not {by!r}")
+        raise ValueError(f"by must be 'order', 'length' or 'grouped', not {by!r}")
     elif order is None:
         ranked = exact_rank(narrow, keys, seed, out="batch_rank")
     else:
@@ -288,6 +315,7 @@ def assign_batches(
     order: str | None = None,
     seed: int | str = 42,
     multiple: int = PAD_MULTIPLE,
+    group_batches: int = GROUP_BATCHES,
 ) -> DataFrame:
     """Add batch columns to every row. Wide rows move once, to meet their narrow plan."""
-    return df.join(plan_batches(df, key, length, size, by, order, seed, multiple), _names(key))
+    return df.join(plan_batches(df, key, length, size, by, order, seed, multiple, group_batches), _names(key))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,15 @@ from pyspark.sql.types import StructType
 
 from pairloom.functions.fixed_values import MISSPELLED_REJECTED
 from pairloom.sources.json_array import as_json_lines
-from pairloom.sources.saved import is_saved, read_saved, saved_schema, saved_splits
+from pairloom.sources.saved import exists, is_saved, read_saved, saved_schema, saved_splits
+
+
+# What a writer says of its splits, beside them; readers of the files pass over the name.
+MANIFEST = "_manifest"
+
+
+class WrongCount(ValueError):
+    """A split does not have the rows its writer counted."""
 
 
 class MissingColumns(ValueError):
@@ -108,7 +117,8 @@ def _is_array(spark: SparkSession, path: str) -> bool:
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One named split of a saved dataset; only its files are read.
 
-    A folder of saved datasets has a folder for each; else ``split`` is a partition column.
+    A folder of saved datasets has a folder for each; else ``split`` is a partition column. Where
+    the writer left its counts, a split with other rows is refused; file footers tell how many there are.
     """
     path = path.rstrip("/")
     if is_saved(spark, f"{path}/{split}"):
@@ -116,7 +126,12 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     if names := saved_splits(spark, path):
         raise ValueError(f"no split {split!r}; one of {names}")
     df = require_columns(spark.read.parquet(path), ["split"])
-    return canonical_names(df.where(df["split"] == split).drop("split"))
+    own = df.where(df["split"] == split).drop("split")
+    if exists(spark, f"{path}/{MANIFEST}"):
+        told = json.loads(spark.read.text(f"{path}/{MANIFEST}").first()["value"])["splits"].get(split, {}).get("num_examples", 0)
+        if (found := own.count()) != told:
+            raise WrongCount(f"split {split!r} of {path} has {found} rows; {told} were written")
+    return canonical_names(own)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

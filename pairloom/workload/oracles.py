@@ -256,12 +256,35 @@ SELECT pair_id, {_dialogue('prompt')} AS prompt, chosen_response, rejected_respo
 _DOC_ROWS = "(SELECT *, row_number() OVER ({order}) - 1 AS rk FROM documents)"
 
 
-def _batches(order: str) -> str:
+def _ranked(order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS rk FROM documents"
+
+
+_GROUPED = """
+WITH shuffled AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS spot, count(*) OVER () AS n FROM documents),
+  wide AS (SELECT *, greatest(least(n // 32, 50), 1) * 8 AS width FROM shuffled),
+  placed AS (
+    SELECT *, spot // width AS grp, row_number() OVER (PARTITION BY spot // width ORDER BY n_chars DESC, spot) - 1 AS place FROM wide),
+  longest AS (SELECT grp AS top FROM placed WHERE place = 0 ORDER BY n_chars DESC, grp LIMIT 1)
+SELECT doc_id, n_chars, source, CAST(CASE WHEN place = 0 AND grp = top THEN 0 WHEN place = 0 AND grp = 0 THEN top * width
+  ELSE grp * width + place END AS BIGINT) AS rk FROM placed CROSS JOIN longest"""
+
+
+def _batched(ranked: str) -> str:
     return f"""
 SELECT doc_id, n_chars, source, rk AS batch_rank, rk // 8 AS batch_id,
   ((max(n_chars) OVER (PARTITION BY rk // 8) + 7) // 8) * 8 AS padded_length,
   ((max(n_chars) OVER (PARTITION BY rk // 8) + 7) // 8) * 8 - n_chars AS pad_waste
-FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS rk FROM documents)"""
+FROM ({ranked})"""
+
+
+def _batches(order: str) -> str:
+    return _batched(_ranked(order))
+
+
+def _padding(by: str, ranked: str) -> str:
+    return f"""SELECT '{by}' AS by, count(DISTINCT batch_id) AS batches, count(*) AS examples, CAST(sum(pad_waste) AS BIGINT) AS padding
+FROM ({_batched(ranked)})"""
 
 
 def _manifest(source: str) -> str:
@@ -299,6 +322,15 @@ ORACLES: dict[str, str] = {
     "read_examples_json": _query(
         "SELECT pair_id, prompt, chosen AS chosen_response, rejected AS rejected_response FROM pairs"
     ),
+    "read_examples_json_array": _query(
+        "SELECT pair_id, prompt, chosen AS chosen_response, rejected AS rejected_response FROM pairs"
+    ),
+    "read_examples_saved": _query(
+        "SELECT pair_id, prompt, chosen AS chosen_response, rejected AS rejected_response FROM pairs"
+    ),
+    "read_split_saved": _query("SELECT pair_id, prompt FROM split_pairs WHERE split = 'ppo'"),
+    "read_split_sized": _query("SELECT pair_id, prompt FROM split_pairs WHERE split = 'ppo'"),
+    "write_sized_splits": _query(_manifest("split_pairs")),
     "read_split": _query("SELECT pair_id, prompt FROM split_pairs WHERE split = 'ppo'"),
     "write_splits": _query("SELECT pair_id, prompt, chosen_response, split FROM split_pairs"),
     "write_completions": _query("SELECT instruction, output, generator FROM cleaned"),
@@ -371,6 +403,10 @@ WHERE prompt_length <= 256 AND chosen_response_length <= 768"""
     "filter_prompt_budget": _query(
         f"""SELECT conv_id, len({_toks('prompt')}) AS prompt_length FROM transcripts WHERE len({_toks('prompt')}) <= 256"""
     ),
+    "filter_token_budget": _query(
+        """SELECT pair_id, prompt FROM doc_lengths
+WHERE prompt_length <= 256 AND chosen_response_length <= 768 AND rejected_response_length <= 768"""
+    ),
     "build_vocab": _query("SELECT token, count, id FROM document_vocab"),
     "encode": _query(
         f"""SELECT pair_id, {_joined('c')} AS input_ids, {_joined(_repeat(1, 'len(c)'))} AS attention_mask,
@@ -473,6 +509,14 @@ FROM responses"""
     "head_examples": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 150",
     "assign_batches_by_length": _batches("n_chars, md5('42:' || doc_id), doc_id"),
     "assign_batches_by_order": _batches("md5('42:' || doc_id), doc_id"),
+    "assign_batches_grouped": _batched(_GROUPED),
+    "batch_padding": "\nUNION ALL\n".join(
+        (
+            _padding("order", _ranked("md5('42:' || doc_id), doc_id")),
+            _padding("length", _ranked("n_chars, md5('42:' || doc_id), doc_id")),
+            _padding("grouped", _GROUPED),
+        )
+    ),
     "explode_mc1": _query(f"SELECT q, {_bare('question')} AS question, choice, answer, label FROM mc_long"),
     "explode_keyed_choices": _query(
         f"SELECT q, {BARE} || question || {TIGHT} AS question, choice, answer, label FROM mc_long"
@@ -481,6 +525,15 @@ FROM responses"""
     "logprob_from_logits": _query(
         """SELECT id, pos, round(max(logit) FILTER (token = target) - max(m) - ln(sum(exp(logit - m))), 6) AS logprob
 FROM (SELECT *, max(logit) OVER (PARTITION BY id, pos) AS m FROM logits) GROUP BY 1, 2"""
+    ),
+    "logprob_from_arrays": _query(
+        """SELECT id, pos, round(max(logit) FILTER (token = target) - max(m) - ln(sum(exp(logit - m))), 6) AS logprob
+FROM (SELECT *, max(logit) OVER (PARTITION BY id, pos) AS m FROM logits) GROUP BY 1, 2"""
+    ),
+    "logprob_from_tensor": _query(
+        """SELECT l.id, l.pos, round(max(logit) FILTER (token = t.target) - max(m) - ln(sum(exp(logit - m))), 6) AS logprob
+FROM (SELECT *, max(logit) OVER (PARTITION BY id, pos) AS m FROM logits) AS l
+JOIN (SELECT DISTINCT id, pos - 1 AS pos, target FROM logits) AS t ON t.id = l.id AND t.pos = l.pos GROUP BY 1, 2"""
     ),
     "nan_report": _query(
         f"""SELECT 'logprob' AS column_name, count(*) AS rows, 0::BIGINT AS nan_rows FROM token_scores

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom import operators as op
 from pairloom import plans, sources
 from pairloom.functions.arrays import as_text
-from pairloom.functions.fixed_values import PROMPT_STYLES
+from pairloom.functions.fixed_values import PROMPT_BUDGET, PROMPT_STYLES, TOTAL_BUDGET
 from pairloom.functions.hashing import unit_interval
 from pairloom.functions.text import apply_style
 from pairloom.sources import derived as inputs
@@ -28,6 +28,7 @@ SPLIT_TEST_ROWS = 10
 ENCODE_LENGTH = 96
 CONTRAST_PROMPT_LENGTH, CONTRAST_RESPONSE_LENGTH = 32, 64
 BATCH_SIZE = 8
+ARRAY_FILES = 4
 
 
 def _rounded(value: str | Column) -> Column:
@@ -54,6 +55,53 @@ def read_examples_json(spark, sf_dir):
     return op.extract_responses(read).select("pair_id", "prompt", "chosen_response", "rejected_response")
 
 
+def read_examples_json_array(spark, sf_dir):
+    """The pairs as a few JSON arrays."""
+    path = sources.staging_path(spark, "pairs") + ".json"
+    pairs = inputs.pairs(spark, sf_dir)
+    # Records on lines become an array as text: the first line of a file opens it, the last closes it.
+    record = F.to_json(F.struct(*pairs.columns), {"ignoreNullFields": "false"}).alias("record")
+    order = Window.partitionBy("bin").orderBy("pair_id")
+    lines = pairs.select("pair_id", (F.pmod("pair_id", F.lit(ARRAY_FILES))).alias("bin"), record)
+    opens = F.when(F.lag("pair_id").over(order).isNull(), "[").otherwise(",")
+    closes = F.when(F.lead("pair_id").over(order).isNull(), "]").otherwise("")
+    texts = lines.select("bin", "pair_id", F.concat(opens, "record", closes).alias("value"))
+    texts.repartition("bin").sortWithinPartitions("bin", "pair_id").select("value", "bin").write.partitionBy("bin").text(path)
+    read = sources.read_examples(spark, path, pairs.schema)
+    return op.extract_responses(read).select("pair_id", "prompt", "chosen_response", "rejected_response")
+
+
+def read_examples_saved(spark, sf_dir):
+    path = sources.staging_path(spark, "saved")
+    pairs = inputs.pairs(spark, sf_dir)
+    sources.write_saved(pairs, path)
+    read = sources.read_examples(spark, path, pairs.schema)
+    return op.extract_responses(read).select("pair_id", "prompt", "chosen_response", "rejected_response")
+
+
+def read_split_saved(spark, sf_dir):
+    path = sources.staging_path(spark, "saved_splits")
+    labelled = op.random_split(inputs.pair_responses(spark, sf_dir), "pair_id", test=SPLIT_TEST_ROWS)
+    sources.write_saved_splits(sources.staged(labelled, "labelled"), path)
+    return sources.read_split(spark, path, "ppo").select("pair_id", "prompt")
+
+
+def write_sized_splits(spark, sf_dir):
+    """What the writing tasks counted, as ``split_manifest`` counts it in a pass of its own."""
+    path = sources.staging_path(spark, "sized_splits")
+    labelled = op.random_split(inputs.pair_responses(spark, sf_dir), "pair_id", test=SPLIT_TEST_ROWS)
+    manifest = sources.write_sized_splits(labelled, path, ["prompt", "chosen_response", "rejected_response"])
+    rows = [(name, m["num_examples"], m["num_bytes"]) for name, m in manifest.items()]
+    return spark.createDataFrame(rows, "split string, num_examples long, num_bytes long")
+
+
+def read_split_sized(spark, sf_dir):
+    path = sources.staging_path(spark, "sized_splits")
+    labelled = op.random_split(inputs.pair_responses(spark, sf_dir), "pair_id", test=SPLIT_TEST_ROWS)
+    sources.write_sized_splits(labelled, path, ["prompt"])
+    return sources.read_split(spark, path, "ppo").select("pair_id", "prompt")
+
+
 def _saved_splits(spark, sf_dir) -> str:
     path = sources.staging_path(spark, "splits")
     labelled = op.random_split(inputs.pair_responses(spark, sf_dir), "pair_id", test=SPLIT_TEST_ROWS)
@@ -201,6 +249,12 @@ def filter_prompt_budget(spark, sf_dir):
     return op.filter_prompt_budget(measured).select("conv_id", "prompt_length")
 
 
+def filter_token_budget(spark, sf_dir):
+    """The pairs within the budgets, without any length."""
+    budgets = {"prompt": PROMPT_BUDGET, ("prompt", "chosen_response"): TOTAL_BUDGET, ("prompt", "rejected_response"): TOTAL_BUDGET}
+    return op.filter_token_budget(inputs.doc_pairs(spark, sf_dir), budgets).select("pair_id", "prompt")
+
+
 # --- vocabulary and encoding -------------------------------------------------------
 
 
@@ -355,6 +409,23 @@ def assign_batches_by_order(spark, sf_dir):
     return op.assign_batches(documents, "doc_id", "n_chars", BATCH_SIZE, by="order")
 
 
+def assign_batches_grouped(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "source")
+    return op.assign_batches(documents, "doc_id", "n_chars", BATCH_SIZE, by="grouped")
+
+
+def batch_padding(spark, sf_dir):
+    """Batches, examples and padding of the three ways to make batches."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    parts = [
+        op.plan_batches(documents, "doc_id", "n_chars", BATCH_SIZE, by=by)
+        .agg(F.count_distinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("examples"), F.sum("pad_waste").alias("padding"))
+        .select(F.lit(by).alias("by"), "batches", "examples", "padding")
+        for by in ("order", "length", "grouped")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- scores ------------------------------------------------------------------------
 
 
@@ -375,6 +446,25 @@ def logprob_from_logits(spark, sf_dir):
     return op.logprob_from_logits(inputs.logits(spark, sf_dir)).withColumn("logprob", _rounded("logprob"))
 
 
+def _logit_arrays(spark, sf_dir):
+    """A row per position with its logits in the order of the classes."""
+    logits = F.array_sort(F.collect_list(F.struct("token", "logit")))
+    return inputs.logits(spark, sf_dir).groupBy("id", "pos", "target").agg(F.transform(logits, lambda x: x["logit"]).alias("logits"))
+
+
+def logprob_from_arrays(spark, sf_dir):
+    scored = op.logprob_from_arrays(_logit_arrays(spark, sf_dir))
+    return scored.select("id", "pos", _rounded("logprob").alias("logprob"))
+
+
+def logprob_from_tensor(spark, sf_dir):
+    """A row per answer: logits by position and class, and labels, of which the logits before are for."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "logits", "target")))
+    whole = _logit_arrays(spark, sf_dir).groupBy("id").agg(rows.alias("rows"))
+    whole = whole.select("id", F.col("rows.logits").alias("logits"), F.col("rows.target").alias("labels"))
+    return op.logprob_from_tensor(whole).select("id", "pos", _rounded("logprob").alias("logprob"))
+
+
 def nan_report(spark, sf_dir):
     drawn = unit_interval(F.concat(F.lit("nan:"), F.col("q").cast("string"), F.lit(":"), F.col("pos").cast("string")))
     scores = inputs.token_scores(spark, sf_dir).withColumn(
@@ -516,18 +606,19 @@ def supervised_texts_transcript(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        read_examples_parquet, read_examples_json, read_split, write_splits, write_completions, split_manifest,
+        read_examples_parquet, read_examples_json, read_examples_json_array, read_examples_saved, read_split, read_split_saved,
+        read_split_sized, write_splits, write_sized_splits, write_completions, split_manifest,
         extract_responses, format_prompts, append_eos, mark_turn_boundaries,
         training_text_sft, training_text_preference, training_text_transcript, training_text_summary,
         select_by_preference, hindsight_examples, summary_preferences, contrast_prompts, random_preference_swap,
         split_turns, clean_completions, project_training_columns,
-        token_lengths, filter_pair_budget, filter_text_budget, filter_prompt_budget,
+        token_lengths, filter_pair_budget, filter_text_budget, filter_prompt_budget, filter_token_budget,
         build_vocab, encode, encode_documents, encode_large_vocab, mask_prompt_labels, encode_counter_condition,
         project_training_columns_encoded,
         encode_contrast, encode_contrast_single, position_ids, encode_qa_batch, decode,
         exact_rank, exact_rank_within, random_split, concat_examples, preference_branches, seeded_shuffle,
-        head_examples, assign_batches_by_length, assign_batches_by_order,
-        explode_mc1, explode_keyed_choices, sequence_logprob, logprob_from_logits, nan_report, assert_no_nan,
+        head_examples, assign_batches_by_length, assign_batches_by_order, assign_batches_grouped, batch_padding,
+        explode_mc1, explode_keyed_choices, sequence_logprob, logprob_from_logits, logprob_from_arrays, logprob_from_tensor, nan_report, assert_no_nan,
         score_questions, mc_accuracy, eval_report, contrastive_preference, contrastive_loss,
         steering_targets, alignment_distance, alignment_distance_by_layer,
         preparation_manifest, document_preparation, hindsight_batches, pad_batches, alignment_rows, alignment_rows_random,

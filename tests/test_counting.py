@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom import operators as op
+from pairloom.functions.text import fits_tokens, token_count, word_tokens
+
+
+def texts(seed=0):
+    rng = random.Random(seed)
+    some = ["".join(rng.choices(" \t\n\r\x0b  ab.é漢\\$", k=rng.randint(0, 40))) for _ in range(500)]
+    return [*some, None, "", " ", "\n\n", "a", " a ", "one two", "word " * 3000, "w" * 5000, "x\x0by z"]
+
+
+def test_counts_equal_the_tokens(spark):
+    df = spark.createDataFrame([(t,) for t in texts()], "t string")
+    rows = df.select("t", token_count(F.col("t")).alias("n"), F.when(F.col("t").isNotNull(), F.size(word_tokens(F.col("t")))).alias("m")).collect()
+    for r in rows:
+        assert r["n"] == r["m"] == (None if r["t"] is None else len(re.findall("[^ \t\n\r]+", r["t"]))), r["t"]
+    plan = df.select(token_count(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract_all" not in plan
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 5, 255, 256, 257, 768, 2999, 3000, 20_000, 65_700, 70_000])
+def test_fits(spark, budget):
+    df = spark.createDataFrame([(t,) for t in texts(budget)] + [("v " * 20_001,), ("v\n" * 20_000,), ("v " * 65_700,), ("v " * 65_701,), ("v " * 70_001,)], "t string")
+    rows = df.select((token_count(F.col("t")) <= budget).alias("counted"), fits_tokens(F.col("t"), budget).alias("tested")).collect()
+    assert all(r["counted"] == r["tested"] for r in rows)
+
+
+def test_filter_without_lengths(spark):
+    rows = [(1, "a b", "c d"), (2, "a b c", "d"), (3, "a", "b c d e"), (4, None, "x"), (5, "", ""), (6, "a b ", " c d e")]
+    df = spark.createDataFrame(rows, "id long, p string, r string")
+    budgets = {"p": 2, ("p", "r"): 4}
+    measured = op.token_lengths(df, {"np": "p", "nt": ("p", "r")})
+    expected = {r["id"] for r in measured.where("np <= 2 and nt <= 4").collect()}
+    assert {r["id"] for r in op.filter_token_budget(df, budgets).collect()} == expected
+    assert {r["id"] for r in op.filter_token_budget(df, budgets, lambda t: F.split(t, " ")).collect()} <= {1, 2, 3, 5, 6}

@@ -121,3 +121,23 @@ def test_head_by_ranges(spark, monkeypatch, n):
     df = spark.range(2000).select(((F.col("id") * 7919) % 2000).alias("k"), F.lit("x").alias("v"))
     assert sorted(r["k"] for r in op.head_examples(df, n, "k").collect()) == list(range(min(n, 2000)))
     assert op.head_examples(df.limit(0), n, "k").count() == 0
+
+
+@pytest.mark.parametrize("n, size, groups", [(1003, 8, 50), (1003, 8, 3), (17, 4, 50), (3, 8, 50), (640, 1, 2)])
+def test_grouped_batches(spark, n, size, groups):
+    """A shuffle, sorted by length inside groups of batches, the longest example first of all."""
+    df = keys(spark, n).withColumn("len", (F.col("k") * 37 % 50 + 1).cast("int"))
+    lengths = {r["k"]: r["len"] for r in df.collect()}
+    shuffled = sorted(lengths, key=lambda k: (md5(f"42:{k}"), k))
+    width = max(1, min(n // (4 * size), groups)) * size
+    parts = [sorted(shuffled[i : i + width], key=lambda k: -lengths[k]) for i in range(0, n, width)]
+    top = max(range(len(parts)), key=lambda g: (lengths[parts[g][0]], -g))
+    parts[0][0], parts[top][0] = parts[top][0], parts[0][0]
+    rows = op.plan_batches(df, "k", "len", size, by="grouped", group_batches=groups).collect()
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["batch_rank"])] == [k for part in parts for k in part]
+    assert sorted(r["batch_rank"] for r in rows) == list(range(n)) and all(r["batch_id"] == r["batch_rank"] // size for r in rows)
+
+
+def test_grouped_batches_of_no_rows(spark):
+    df = keys(spark, 5).withColumn("len", F.lit(1)).limit(0)
+    assert op.plan_batches(df, "k", "len", 8, by="grouped").count() == 0

@@ -153,3 +153,32 @@ def test_steering_and_distance(spark):
     assert by_layer[10]["distance"] == 2.0 and by_layer[10]["positions"] == 2  # the masked position counts as 0
     assert by_layer[12]["distance"] is None
     assert op.alignment_distance(acts, targets).first()["distance"] == 2.0  # NaN left out
+
+
+INF = float("inf")
+
+
+@pytest.mark.parametrize("logits, target, expected", [
+    ([1.0, 2.0, 3.0], 2, 3 - math.log(math.exp(1) + math.exp(2) + math.exp(3))),
+    ([5000.0, 4999.0], 1, 4999 - 5000 - math.log(1 + math.exp(-1))),
+    ([-5000.0, -5001.0], 0, -math.log(1 + math.exp(-1))),
+    ([0.5], 0, 0.0), ([1.0, -INF], 0, 0.0), ([1.0, -INF], 1, -INF), ([1.0, None], 0, 0.0),
+    ([1.0], 3, None), ([1.0], None, None), ([], 0, None), (None, 0, None),
+])
+def test_logprob_of_arrays(spark, logits, target, expected):
+    for kind in ("double", "float"):
+        df = spark.createDataFrame([(1, 0, logits, target)], f"id long, pos int, logits array<{kind}>, target int")
+        got = op.logprob_from_arrays(df).first()["logprob"]
+        assert got == expected if expected in (None, -INF) else got == pytest.approx(expected, abs=1e-6)
+
+
+def test_logprob_of_tensors(spark):
+    rows = [(1, [[1.0, 2.0], [0.0, 0.0], [3.0, 1.0]], [-100, 1, 0]), (2, [[1.0, 0.0]], [1]), (3, [], []), (4, None, None), (5, [[1.0, 0.0], [2.0, 2.0]], [0, -100])]
+    df = spark.createDataFrame(rows, "id long, logits array<array<float>>, labels array<int>")
+    half = -math.log(2)
+    shifted = {(r["id"], r["pos"]): r["logprob"] for r in op.logprob_from_tensor(df).collect()}
+    assert shifted == {(1, 0): pytest.approx(-math.log(1 + math.exp(-1))), (1, 1): pytest.approx(half)}
+    plain = {(r["id"], r["pos"]): r["logprob"] for r in op.logprob_from_tensor(df, shift=False).collect()}
+    assert plain == {(1, 1): pytest.approx(half), (1, 2): pytest.approx(-math.log(1 + math.exp(-2))), (2, 0): pytest.approx(-1 - math.log(1 + math.exp(-1))), (5, 0): pytest.approx(-math.log(1 + math.exp(-1)))}
+    plan = op.logprob_from_tensor(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
