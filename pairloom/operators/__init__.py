@@ -1,6 +1,6 @@
 """Operators: every function takes and returns DataFrames."""
 
-from pairloom.operators.activations import activation_distances, alignment_distance, steering_targets
+from pairloom.operators.activations import activation_distances, alignment_distance, steered_distance, steering_targets, write_placed
 from pairloom.operators.choices import (
     assert_no_nan,
     eval_report,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.arrays import filled, last, ones_like, pad_left, pad_right
@@ -59,9 +59,13 @@ def build_vocab(
     cols: Sequence[str],
     reserved: int = RESERVED_IDS,
     tokens: Tokenizer | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Table (token, count, id): ids follow falling frequency, after the reserved ones.
 
+    With ``size`` only the ids below it: the rows of the whole table that have them, but only tokens frequent
+    enough are ranked. How frequent that is comes from one row for each count that occurs.
+
     Special tokens found in the text keep their reserved id. Ties are ordered by the token's hash. Counting combines on the map side, so a token
     that makes up a third of the text costs one row per task. Write the result out (or
     stage it) before encoding with it.
@@ -74,10 +78,23 @@ def build_vocab(
     # Specials are ranked behind all others rather than filtered out: a filter would slip
     # below the count and give each reader of it a count of its own.
     special = _special_id(F.col("token"))
+    if size is not None:
+        counts = _most_frequent(staged(counts, "token_counts"), size - reserved)
     ranked = exact_rank(
         counts, "token", "vocab", by=F.when(special.isNull(), -F.col("count")).otherwise(1), out="_rank"
     )
-    return ranked.select("token", "count", F.coalesce(special, F.col("_rank") + reserved).alias("id"))
+    vocab = ranked.select("token", "count", F.coalesce(special, F.col("_rank") + reserved).alias("id"))
+    return vocab if size is None else vocab.where(F.col("id") < size)
+
+
+def _most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The tokens as frequent as the ``n``-th, with all its ties, and special tokens."""
+    plain = _special_id(F.col("token")).isNull()
+    falling = Window.orderBy(F.desc("count"))
+    # A count f is met by at most tokens / f entries, so there are few distinct counts.
+    levels = counts.where(plain).groupBy("count").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.sum("n").over(falling))
+    least = levels.where(F.col("n") >= n).agg(F.max("count")).scalar()
+    return counts.where(~plain | least.isNull() | (F.col("count") >= least))
 
 
 def _measured(vocab: DataFrame, most_rows: int, most_bytes: int) -> tuple[DataFrame, bool]:
@@ -111,6 +128,8 @@ def _look_up(
     in_head = (F.col("id") < head_rows + RESERVED_IDS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
     value = "id" if on == "token" else "token"
     hit = rows.join(F.broadcast(entries.where(in_head)), on, "left")
+    # Kept, so that the input and the first lookup are gone through once.
+    hit = staged(hit, "looked_up")
     settled = hit.where(F.col(value).isNotNull() | F.col(on).isNull())
     unsettled = hit.where(F.col(value).isNull() & F.col(on).isNotNull()).drop(value)
     return settled.unionByName(unsettled.join(entries.where(~in_head), on, "left"))
@@ -444,10 +463,9 @@ def encode_qa_batch(
     encoded = encode_texts(
         df, keys, {"_prompt": (F.col(prompt), None), "_target": (F.col(target), None)}, vocab, [batch], tokens, limits
     )
-    tokenize_size = lambda c: token_count(F.coalesce(F.col(c), F.lit("")), tokens)
-    longest = df.groupBy(batch).agg(
-        F.max(tokenize_size(prompt)).alias("_prompt_max"), F.max(tokenize_size(target)).alias("_target_max")
-    )
+    # Kept, so that no text is tokenized again for the maxima.
+    encoded = staged(encoded, "qa_rows")
+    longest = encoded.groupBy(batch).agg(F.max(F.size("_prompt")).alias("_prompt_max"), F.max(F.size("_target")).alias("_target_max"))
     columns = _prompt_and_response(F.col("_prompt"), F.col("_target"), F.col("_prompt_max"), F.col("_target_max"))
     columns["labels"] = F.concat(
         filled(0, F.col("_prompt_max")), pad_right(ones_like(F.col("_target")), F.col("_target_max"))

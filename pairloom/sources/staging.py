@@ -6,17 +6,29 @@ executor costs nothing but a re-read.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster whose session names no folder that all executors share."""
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; where it names none, one beside the session's warehouse tables."""
+    """The shared folder the session names; where it names none, one beside the session's warehouse tables.
+
+    A warehouse on a machine's own disk is refused on a cluster: executors would each write to theirs.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own_disk = warehouse.startswith("file:") or "://" not in warehouse
+    if own_disk and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_staging"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -408,6 +408,7 @@ WHERE prompt_length <= 256 AND chosen_response_length <= 768"""
 WHERE prompt_length <= 256 AND chosen_response_length <= 768 AND rejected_response_length <= 768"""
     ),
     "build_vocab": _query("SELECT token, count, id FROM document_vocab"),
+    "build_vocab_sized": _query("SELECT token, count, id FROM document_vocab WHERE id < 2000"),
     "encode": _query(
         f"""SELECT pair_id, {_joined('c')} AS input_ids, {_joined(_repeat(1, 'len(c)'))} AS attention_mask,
   {_joined('c')} AS labels
@@ -482,6 +483,12 @@ FROM (SELECT pair_id, pair_id % 10 AS batch_id, p.ids AS p, r.ids AS r,
         f"""SELECT pair_id, coalesce(string_agg(v.token, ' ' ORDER BY pos) FILTER (v.id > 2), '') AS decoded
 FROM (SELECT pair_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
       FROM (SELECT pair_id, {_toks('rejected_response')}[1:96] AS t FROM responses)) LEFT JOIN vocab v USING (token)
+GROUP BY 1"""
+    ),
+    "decode_large_vocab": _query(
+        f"""SELECT pair_id, coalesce(string_agg(v.token, ' ' ORDER BY pos) FILTER (v.id > 2), '') AS decoded
+FROM (SELECT pair_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
+      FROM (SELECT pair_id, {_toks('rejected_response')}[1:96] AS t FROM responses)) LEFT JOIN vocab v USING (token)
 GROUP BY 1"""
     ),
     "exact_rank": """SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS rank,
@@ -560,12 +567,19 @@ UNION ALL SELECT 'arc-e', 'arc-e_accuracy', round(avg(correct_norm), 6) FROM ver
     ),
     "steering_targets": _query(
         """SELECT example_id, layer, pos, mask, round(target[1], 6) AS target_0, round(target[32], 6) AS target_31,
+  round(target[64], 6) AS target_63, round(list_sum(target), 6) AS target_sum FROM targets WHERE layer IN (10, 12, 14)"""
+    ),
+    "steering_targets_placed": _query(
+        """SELECT example_id, layer, pos, mask, round(target[1], 6) AS target_0, round(target[32], 6) AS target_31,
   round(target[64], 6) AS target_63, round(list_sum(target), 6) AS target_sum FROM targets WHERE layer IN (10, 12, 14)"""
     ),
     "alignment_distance": _query("SELECT round(avg(distance), 6) AS distance, count(*) AS positions FROM distances"),
     "alignment_distance_by_layer": _query(
         "SELECT layer, round(avg(distance), 6) AS distance, count(*) AS positions FROM distances GROUP BY 1"
     ),
+    "steered_distance_by_layer": _query(
+        "SELECT layer, round(avg(distance), 6) AS distance, count(*) AS positions FROM distances GROUP BY 1"
+    ),
     "preparation_manifest": _query(_manifest("labelled"), budgeted=_BUDGETED, labelled=_labelled("budgeted")),
     "document_preparation": _query(
         _manifest("labelled"),

@@ -6,6 +6,7 @@ so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +30,8 @@ ENCODE_LENGTH = 96
 CONTRAST_PROMPT_LENGTH, CONTRAST_RESPONSE_LENGTH = 32, 64
 BATCH_SIZE = 8
 ARRAY_FILES = 4
+VOCAB_SIZE = 2_000
+ACTIVATION_BUCKETS = 8
 
 
 def _rounded(value: str | Column) -> Column:
@@ -262,6 +265,10 @@ def build_vocab(spark, sf_dir):
     return op.build_vocab(inputs.documents(spark, sf_dir), ["text"])
 
 
+def build_vocab_sized(spark, sf_dir):
+    return op.build_vocab(inputs.documents(spark, sf_dir), ["text"], size=VOCAB_SIZE)
+
+
 def encode(spark, sf_dir):
     return _arrays_as_text(
         op.encode(inputs.pair_text(spark, sf_dir), "pair_id", "text", inputs.pair_vocab(spark, sf_dir), ENCODE_LENGTH)
@@ -355,6 +362,14 @@ def decode(spark, sf_dir):
     return op.decode(encoded, "pair_id", "input_ids", vocab)
 
 
+def decode_large_vocab(spark, sf_dir):
+    """``decode`` the way a vocabulary too large to be sent whole is looked up."""
+    limits = op.Limits(broadcast_rows=100, head_rows=50)
+    vocab = inputs.pair_vocab(spark, sf_dir)
+    encoded = op.encode(inputs.pair_responses(spark, sf_dir), "pair_id", "rejected_response", vocab, ENCODE_LENGTH)
+    return op.decode(encoded, "pair_id", "input_ids", vocab, limits=limits)
+
+
 # --- order, splits, batches --------------------------------------------------------
 
 
@@ -531,6 +546,27 @@ def alignment_distance_by_layer(spark, sf_dir):
     return by_layer.withColumn("distance", _rounded("distance"))
 
 
+def _placed_activations(spark, sf_dir):
+    # A table of its own for each run; it lies in the session's warehouse.
+    return op.write_placed(inputs.activations(spark, sf_dir), f"activations_{uuid.uuid4().hex}", ACTIVATION_BUCKETS)
+
+
+def steering_targets_placed(spark, sf_dir):
+    targets = op.steering_targets(_placed_activations(spark, sf_dir), layers=(10, 12, 14), placed=True)
+    at = [F.get("target", F.lit(i)) for i in (0, 31, 63)]
+    total = F.aggregate("target", F.lit(0.0), lambda a, b: a + b)
+    return targets.select(
+        "example_id", "layer", "pos", "mask",
+        *[_rounded(a).alias(f"target_{i}") for a, i in zip(at, (0, 31, 63))],
+        _rounded(total).alias("target_sum"),
+    )
+
+
+def steered_distance_by_layer(spark, sf_dir):
+    by_layer = op.steered_distance(_placed_activations(spark, sf_dir), by=["layer"], placed=True)
+    return by_layer.withColumn("distance", _rounded("distance"))
+
+
 # --- end to end --------------------------------------------------------------------
 
 
@@ -613,14 +649,14 @@ QUERIES: dict[str, Query] = {
         select_by_preference, hindsight_examples, summary_preferences, contrast_prompts, random_preference_swap,
         split_turns, clean_completions, project_training_columns,
         token_lengths, filter_pair_budget, filter_text_budget, filter_prompt_budget, filter_token_budget,
-        build_vocab, encode, encode_documents, encode_large_vocab, mask_prompt_labels, encode_counter_condition,
+        build_vocab, build_vocab_sized, encode, encode_documents, encode_large_vocab, mask_prompt_labels, encode_counter_condition,
         project_training_columns_encoded,
-        encode_contrast, encode_contrast_single, position_ids, encode_qa_batch, decode,
+        encode_contrast, encode_contrast_single, position_ids, encode_qa_batch, decode, decode_large_vocab,
         exact_rank, exact_rank_within, random_split, concat_examples, preference_branches, seeded_shuffle,
         head_examples, assign_batches_by_length, assign_batches_by_order, assign_batches_grouped, batch_padding,
         explode_mc1, explode_keyed_choices, sequence_logprob, logprob_from_logits, logprob_from_arrays, logprob_from_tensor, nan_report, assert_no_nan,
         score_questions, mc_accuracy, eval_report, contrastive_preference, contrastive_loss,
-        steering_targets, alignment_distance, alignment_distance_by_layer,
+        steering_targets, alignment_distance, alignment_distance_by_layer, steering_targets_placed, steered_distance_by_layer,
         preparation_manifest, document_preparation, hindsight_batches, pad_batches, alignment_rows, alignment_rows_random,
         alignment_rows_transcript, alignment_rows_summary, supervised_texts_preference, supervised_texts_transcript,
     )

@@ -187,3 +187,14 @@ def test_round_trip(spark):
     table = op.build_vocab(df, ["text"])
     decoded = op.decode(op.encode(df, "k", "text", table), "k", "input_ids", table)
     assert ids(decoded, "decoded") == {0: "b a c a", 1: "", 2: "c"}
+
+
+@pytest.mark.parametrize("size", [0, 3, 4, 5, 7, 10, 14, 1000])
+def test_sized_vocab_is_the_start_of_the_whole(spark, size):
+    """Ties at the cut, special tokens, and fewer tokens than asked for."""
+    text = "a a a a b b b c c c d d d e f g h </s> </s> </s> </s> </s> <s> i"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    whole = op.build_vocab(df, ["text"]).where(F.col("id") < size)
+    sized = op.build_vocab(df, ["text"], size=size)
+    assert sorted(map(tuple, sized.collect())) == sorted(map(tuple, whole.collect()))
+    assert op.build_vocab(df.limit(0), ["text"], size=size).count() == 0

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import final_plan
 from pyspark.errors import PySparkException
 
 from pairloom import operators as op
@@ -182,3 +183,22 @@ def test_logprob_of_tensors(spark):
     assert plain == {(1, 1): pytest.approx(half), (1, 2): pytest.approx(-math.log(1 + math.exp(-2))), (2, 0): pytest.approx(-1 - math.log(1 + math.exp(-1))), (5, 0): pytest.approx(-math.log(1 + math.exp(-1)))}
     plan = op.logprob_from_tensor(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_placed_activations_are_not_shuffled(spark):
+    rng = np.random.default_rng(3)
+    rows = [(e, layer, 0, v, 1, rng.normal(size=4).tolist()) for e in range(30) for layer in (10, 12) for v in ("base", "pos", "neg", "model") if not (e == 7 and v == "neg")]
+    acts = spark.createDataFrame(rows, ACTS)
+    placed = op.write_placed(acts, "placed_acts", 4)
+    try:
+        targets = op.steering_targets(placed, placed=True)
+        assert "Exchange" not in final_plan(targets)
+        assert sorted(map(repr, targets.collect())) == sorted(map(repr, op.steering_targets(acts).collect()))
+        per_layer = op.steered_distance(placed, by=["layer"], placed=True)
+        # The one exchange is that of the layers' sums.
+        assert final_plan(per_layer).count("Exchange") == 1
+        expected = {r["layer"]: r for r in op.alignment_distance(acts, op.steering_targets(acts), by=["layer"]).collect()}
+        for r in per_layer.collect() + op.steered_distance(acts, by=["layer"]).collect():
+            assert r["positions"] == expected[r["layer"]]["positions"] and r["distance"] == pytest.approx(expected[r["layer"]]["distance"])
+    finally:
+        spark.sql("DROP TABLE placed_acts")

@@ -151,3 +151,20 @@ def test_streaming_preparation_equals_batch(spark, tmp_path):
     assert run() == want
     raw_pairs(spark).limit(1).write.mode("append").parquet(source)
     assert len(run()) == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from pairloom.sources import staging
+
+    def session(master, warehouse, shared=None):
+        settings = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": shared}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings[k]), sparkContext=SimpleNamespace(master=master))
+
+    assert staging.staging_dir(session("local[4]", "file:/w")) == "file:/w/_staging"
+    assert staging.staging_dir(session("yarn", "hdfs://n/w/")) == "hdfs://n/w/_staging"
+    assert staging.staging_dir(session("yarn", "file:/w", "hdfs://n/c/")) == "hdfs://n/c"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(staging.NoSharedFolder):
+            staging.staging_dir(session(master, "file:/w"))
