@@ -17,7 +17,7 @@ Which shingles count as frequent changes how many candidates there are, never th
 *Links.* A signature's classes are not paired with each other. Each has a representative there, the
 class of the fewest rare shingles; a class is compared with the representative it meets most often,
 and verified links are joined into components. Only signatures whose classes are still in different components are looked at again.
-There, pairs of classes of different components are held against a bound on what they share,
+Of signatures with the same classes one is. There, pairs of classes of different components are held against a bound on what they share,
 made from counts of their shingles in a few cells, within blocks of bounded size; pairs that the
 bound does not rule out are verified like the others. No pair is written that it rules out.
 
@@ -506,8 +506,16 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     # Signatures that still join different components.
     placed = shared.select("sig", "class", "n").join(roots, shared["class"] == roots["node"], "left")
     placed = placed.select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
-    apart = placed.distinct().withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same), "rows": F.count(F.lit(1)).over(same)})
-    apart = apart.where("low <> high").select("sig", "class", "n", "root", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    apart = placed.distinct().withColumns(
+        {
+            "low": F.min("root").over(same), "high": F.max("root").over(same), "rows": F.count(F.lit(1)).over(same), "first": F.min("class").over(same),
+            "x": F.bit_xor(F.xxhash64("class")).over(same), "y": F.bit_xor(F.xxhash64("class", F.lit(1))).over(same),
+        }
+    )
+    apart = apart.where("low <> high")
+    # Signatures of the same classes (those of a shared passage) say the same: one of them is looked at.
+    one = apart.where("class = first").groupBy("rows", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    apart = apart.join(one, "sig", "left_semi").select("sig", "class", "n", "root", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
     rest = staged(_undecided(staged(apart, "apart"), classes, percent), "rest")
     tried = first.union(first.selectExpr("b as a", "a as b"))
     more = staged(_verified(staged(rest.join(tried, ["a", "b"], "left_anti"), "rest"), texts, classes, n, percent), "links")
