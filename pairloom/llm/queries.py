@@ -172,20 +172,22 @@ ORACLES = {
                 replace(CASE WHEN trim(role) <> '' THEN role ELSE 'unknown' END, '<|im_', '<| im_') AS role,
                 replace(coalesce(text, ''), '<|im_', '<| im_') AS text
             FROM conversations),
+        dealt AS (
+            SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, md5(text)) - 1) // 128 AS sub FROM turns),
         seen AS (
             SELECT t.*, p.role AS participant, t.role = p.role AS own,
                 '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = p.role THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
                 t.text || '<|im_end|>' || chr(10) AS body
-            FROM turns AS t JOIN (SELECT DISTINCT conv_id, role FROM turns WHERE role <> 'system') AS p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+            FROM dealt AS t JOIN (SELECT DISTINCT conv_id, role FROM turns WHERE role <> 'system') AS p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
         placed AS (
             SELECT *, sum(length(head) + length(body)) OVER (
-                PARTITION BY conv_id, participant ORDER BY block, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop
+                PARTITION BY conv_id, participant ORDER BY block, turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING) AS stop
             FROM seen)
-        SELECT conv_id, participant, CAST(row_number() OVER (PARTITION BY conv_id, participant ORDER BY block) - 1 AS INTEGER) AS part,
+        SELECT conv_id, participant, CAST(row_number() OVER (PARTITION BY conv_id, participant ORDER BY block, sub) - 1 AS INTEGER) AS part,
             CAST(min(stop - length(body) - length(head)) AS BIGINT) AS "offset", count(*) AS n_turns,
             string_agg(head || body, '' ORDER BY stop) AS text,
             coalesce(string_agg(CAST(stop - length(body) AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY stop) FILTER (own), '') AS mask
-        FROM placed GROUP BY conv_id, participant, block""",
+        FROM placed GROUP BY conv_id, participant, block, sub""",
     "op6_decontamination": f"""
         WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
         item AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),

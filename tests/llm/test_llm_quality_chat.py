@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -113,6 +114,22 @@ def test_perspectives(spark, block):
     assert dict(got) == expected
 
 
+def test_turns_without_numbers_come_in_parts(spark):
+    """30,000 turns without a number and 3,000 of the same number, many of them equal, in parts of 128."""
+    turns = [(1, None, ("ann", "bob", "cy")[i % 3], f"text {i % 500}") for i in range(30_000)] + [(1, 7, "ann", "same")] * 3_000 + [(1, 8, "bob", "last"), (2, 0, "ann", "short")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(6)
+    rows = chat.rotate_perspectives(df).collect()
+    assert max(r["n_turns"] for r in rows) == 128
+    for who in ("ann", "bob", "cy"):
+        parts = sorted((r for r in rows if (r["conv_id"], r["participant"]) == (1, who)), key=lambda r: r["part"])
+        assert [r["part"] for r in parts] == list(range(-(-30_000 // 128) + -(-3_001 // 128)))
+        own = sorted((t for t in turns if t[0] == 1), key=lambda t: (-1 if t[1] is None else t[1], t[2], hashlib.md5(t[3].encode()).hexdigest()))
+        text, mask = rendered([t[1:] for t in own], who)
+        assert "".join(r["text"] for r in parts) == text
+        assert [(m["start"], m["end"]) for r in parts for m in r["mask"]] == mask
+        assert all(text[r["offset"] :].startswith(r["text"]) for r in parts)
+
+
 def test_native_plan(spark, data_dir):
     plan = queries.op5_chat(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
