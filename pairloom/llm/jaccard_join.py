@@ -441,8 +441,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
         # At most 8 MB.
         held = np.fromiter((r[0] for r in names.toLocalIterator()), np.int64, count)
         wanted = spark.sparkContext.broadcast(np.sort(held))
-    # The same text may come from several tasks; that repeats a pair, which distinct() mends.
-    sets = texts.mapInArrow(_sets(n, wanted), "class bigint, shingles binary")
+    # The same text may come from several tasks: one set of a class is enough, where the join wants it anyway.
+    sets = texts.mapInArrow(_sets(n, wanted), "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
     left = pairs.join(sets.selectExpr("class as a", "shingles as x"), "a")
     both = left.join(sets.selectExpr("class as b", "shingles as y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_linked(percent), "a bigint, b bigint").distinct()
