@@ -26,8 +26,11 @@ bound does not rule out are verified like the others. No pair is written that it
   words have no shingles and link with nothing.
 * Null ids take part; a component's id is the least id in it that is not null. Repeated rows are
   one class and appear one by one. Further columns are ignored.
-* Nothing is sampled, capped or cut. Sets of classes that are candidates are filtered by a
-  broadcast of their numbers up to ``BROADCAST_CLASSES``, else by a join.
+* Nothing is sampled, capped or cut. Texts of classes that are candidates are chosen by a semi-join
+  with their hashes, which is a broadcast up to ``BROADCAST_CLASSES`` of them.
+* Signatures of very many classes (those of a passage that a third of the texts hold) are known from
+  counts within tasks. What a signature's classes have in common is summed up before the shuffle for
+  these, and joined back to them where they are; other signatures are windows.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import batch_of, bytes_of, fresh, hold, most_frequent, prepare, two_columns
@@ -50,6 +53,8 @@ MOST_FREQUENT = 400_000
 CHUNK_SHINGLES = 1_500_000
 CHUNK_COUNT = 4
 BROADCAST_CLASSES = 1_000_000
+CROWD = 2_048
+MOST_CROWDED = 100_000
 CACHED_WORDS = 300_000
 SEEN_CLASSES = 500_000
 CELLS = 256
@@ -184,13 +189,12 @@ def _described(n: int):
         parts, held, id_type = [], 0, None
         for batch in batches:
             id_type = batch.column(0).type
-            sizes, prints, hashes, cells = [], [], [], []
+            sizes, prints, cells = [], [], []
             for text in bytes_of(batch):
                 found = shingles(text, n)
                 key = fingerprint(found) if len(found) else None
                 sizes.append(len(found))
                 prints.append(key)
-                hashes.append(text_hash(text))
                 cells.append(outline(found).tobytes() if len(found) else None)
                 if key is not None and _once(seen, key):
                     parts.append(found)
@@ -201,7 +205,7 @@ def _described(n: int):
                     "id": (batch.column(0), None),
                     "n": (sizes, pa.int64()),
                     "class": (prints, pa.int64()),
-                    "hash": (hashes, pa.int64()),
+                    "hash": (batch.column(2), None),
                     "cells": (cells, pa.binary()),
                 }
             )
@@ -215,9 +219,20 @@ def _described(n: int):
 
 
 def _signatures(n: int, percent: int, frequent):
+    """Signatures of each class; and, without a class, counts of those that several classes of one stretch of the task have."""
+
+    names = ["sig", "class", "n", "rare"]
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        keep = counts >= CHUNK_COUNT
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), none, pa.array(counts[keep].astype(np.int64)), none], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("jaccard_join", _WORDS.clear)
         seen: set[int] = set()
+        made, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
             parts, keys, sizes, rares, counts = [np.zeros(0, np.uint64)], [], [], [], []
             for text in bytes_of(batch):
@@ -232,16 +247,19 @@ def _signatures(n: int, percent: int, frequent):
                     sizes.append(len(found))
                     rares.append(rare)
                     counts.append(len(own))
-            columns = [np.concatenate(parts).view(np.int64), *(np.repeat(np.array(x, np.int64), counts) for x in (keys, sizes, rares))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "class", "n", "rare"])
+            own = np.concatenate(parts)
+            columns = [own.view(np.int64), *(np.repeat(np.array(x, np.int64), counts) for x in (keys, sizes, rares))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            made.append(own)
+            held += len(own)
+            if held >= CHUNK_SHINGLES:
+                yield counted(made)
+                made, held = [np.zeros(0, np.uint64)], 0
+        yield counted(made)
 
     return run
 
 
-def text_hash(text: bytes | None) -> int:
-    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
-
-
 def outline(found: np.ndarray) -> np.ndarray:
     """How many shingles fall into each of a fixed number of cells; in one byte each, if they fit."""
     counts = np.bincount((found >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
@@ -252,29 +270,16 @@ def outlines(column: list[bytes]) -> np.ndarray:
     return np.array([np.frombuffer(c, np.uint8 if len(c) == CELLS else "<u4") for c in column], np.uint32).reshape(len(column), CELLS)
 
 
-def _sets(n: int, wanted):
-    """``(class, shingles)`` of wanted texts; of all, where none are named.
-
-    A text's own hash tells whether it is wanted, before anything is made of it.
-    """
+def _sets(n: int):
+    """``(class, shingles)`` of texts, once a task as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("jaccard_join", _WORDS.clear)
         seen: set[int] = set()
-        names = wanted.value if wanted else None
         for batch in batches:
-            texts = bytes_of(batch)
-            chosen = range(len(texts))
-            if names is not None and len(names):
-                hashes = np.array([text_hash(t) for t in texts], np.int64)
-                at = np.searchsorted(names, hashes)
-                at[at == len(names)] = 0
-                chosen = np.flatnonzero(names[at] == hashes).tolist()
-            elif names is not None:
-                chosen = []
             keys, made = [], []
-            for i in chosen:
-                found = shingles(texts[i], n)
+            for text in bytes_of(batch):
+                found = shingles(text, n)
                 if len(found) and _once(seen, key := fingerprint(found)):
                     keys.append(key)
                     made.append(found.tobytes())
@@ -434,15 +439,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets link, by the sets of one text of each class."""
-    spark = pairs.sparkSession
-    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "hash"), "class").select("hash")
-    wanted = None
-    if (count := names.count()) <= BROADCAST_CLASSES:
-        # At most 8 MB.
-        held = np.fromiter((r[0] for r in names.toLocalIterator()), np.int64, count)
-        wanted = spark.sparkContext.broadcast(np.sort(held))
+    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "hash"), "class")
+    names = staged(names.select("hash").distinct(), "wanted")
+    # A text's own hash tells whether it is wanted, before anything is made of it; 8 MB of them are broadcast at most.
+    small = names.count() <= BROADCAST_CLASSES
+    texts = texts.join(F.broadcast(names) if small else names, "hash", "left_semi").select("id", "text")
     # The same text may come from several tasks: one set of a class is enough, where the join wants it anyway.
-    sets = texts.mapInArrow(_sets(n, wanted), "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    sets = texts.mapInArrow(_sets(n), "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
     left = pairs.join(sets.selectExpr("class as a", "shingles as x"), "a")
     both = left.join(sets.selectExpr("class as b", "shingles as y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_linked(percent), "a bigint, b bigint").distinct()
@@ -469,10 +472,25 @@ def frequent_shingles(counts: DataFrame, least: int | None = None, most: int = M
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
+def _crowded(signed: DataFrame) -> DataFrame:
+    """Signatures of very many classes, the ``MOST_CROWDED`` most frequent at most; which these are never changes the result."""
+    counts = signed.where("class is null").groupBy("sig").agg(F.sum("n").alias("count")).where(F.col("count") >= CROWD)
+    return staged(most_frequent(staged(counts, "crowded"), "count", MOST_CROWDED).select("sig"), "crowded")
+
+
+def _by_signature(rows: DataFrame, crowded: DataFrame, known: dict[str, Column]) -> DataFrame:
+    """``rows`` with aggregates over each one's signature; no task holds all rows of a crowded signature."""
+    same = Window.partitionBy("sig")
+    calm = rows.join(F.broadcast(crowded), "sig", "left_anti").withColumns({name: value.over(same) for name, value in known.items()})
+    busy = rows.join(F.broadcast(crowded), "sig", "left_semi")
+    totals = busy.groupBy("sig").agg(*(value.alias(name) for name, value in known.items()))
+    return calm.unionByName(busy.join(F.broadcast(totals), "sig"))
+
+
 def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, class, root)`` of every row; root: the component, as its least class."""
     spark: SparkSession = prepare(docs.sparkSession)
-    texts = two_columns(docs, id_col, text_col)
+    texts = two_columns(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     kind = texts.schema["id"].dataType.simpleString()
     fields = f"kind int, id {kind}, n bigint, class bigint, hash bigint, cells binary"
     described = staged(texts.mapInArrow(_described(n), fields), "described")
@@ -483,13 +501,11 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     classes = described.where((F.col("kind") == MEMBER) & F.col("class").isNotNull()).select("class", "hash", "cells").groupBy("class")
     classes = classes.agg(F.min(F.struct("hash", "cells")).alias("one")).select("class", "one.hash", "one.cells")
 
-    signed = texts.mapInArrow(_signatures(n, percent, frequent), "sig bigint, class bigint, n bigint, rare bigint")
-    same = Window.partitionBy("sig")
-    shared = (
-        signed.withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same), "rep": F.min(F.struct("rare", "class", "n")).over(same)})
-        .where("low <> high")
-        .select("sig", "class", "n", F.col("rep.class").alias("rep"), F.col("rep.n").alias("rep_n"))
-    )
+    signed = staged(texts.mapInArrow(_signatures(n, percent, frequent), "sig bigint, class bigint, n bigint, rare bigint"), "signed")
+    crowded = _crowded(signed)
+    known = {"low": F.min("class"), "high": F.max("class"), "rep": F.min(F.struct("rare", "class", "n"))}
+    shared = _by_signature(signed.where("class is not null"), crowded, known).where("low <> high")
+    shared = shared.select("sig", "class", "n", F.col("rep.class").alias("rep"), F.col("rep.n").alias("rep_n"))
     shared = staged(shared, "shared")
     fits = f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)"
     # Each class with the one it meets under most signatures, if their outlines allow a link.
@@ -506,12 +522,11 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     # Signatures that still join different components.
     placed = shared.select("sig", "class", "n").join(roots, shared["class"] == roots["node"], "left")
     placed = placed.select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
-    apart = placed.distinct().withColumns(
-        {
-            "low": F.min("root").over(same), "high": F.max("root").over(same), "rows": F.count(F.lit(1)).over(same), "first": F.min("class").over(same),
-            "x": F.bit_xor(F.xxhash64("class")).over(same), "y": F.bit_xor(F.xxhash64("class", F.lit(1))).over(same),
-        }
-    )
+    known = {
+        "low": F.min("root"), "high": F.max("root"), "rows": F.count(F.lit(1)), "first": F.min("class"),
+        "x": F.bit_xor(F.xxhash64("class")), "y": F.bit_xor(F.xxhash64("class", F.lit(1))),
+    }
+    apart = _by_signature(staged(placed.distinct(), "met"), crowded, known)
     apart = apart.where("low <> high")
     # Signatures of the same classes (those of a shared passage) say the same: one of them is looked at.
     one = apart.where("class = first").groupBy("rows", "x", "y").agg(F.min("sig").alias("sig")).select("sig")

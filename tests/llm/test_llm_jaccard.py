@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import jaccard_join as jj
 
@@ -59,10 +60,16 @@ def corpus(seed, groups=12, copies=12):
     return docs
 
 
-@pytest.mark.parametrize("seed,n,percent,frequent", [(1, 4, 85, 3), (2, 4, 85, 10_000), (3, 5, 80, 3), (4, 4, 85, 8)])
-def test_components_equal_all_pairs(spark, seed, n, percent, frequent, monkeypatch):
+@pytest.mark.parametrize(
+    "seed,n,percent,frequent,crowd,broadcast",
+    [(1, 4, 85, 3, 2_048, 10**6), (2, 4, 85, 10_000, 4, 10**6), (3, 5, 80, 3, 4, 0), (4, 4, 85, 8, 6, 0)],
+)
+def test_components_equal_all_pairs(spark, seed, n, percent, frequent, crowd, broadcast, monkeypatch):
+    """The same whatever counts as frequent or crowded, and whether wanted texts are chosen by a broadcast or a join."""
     monkeypatch.setattr(jj, "FREQUENT", frequent)
     monkeypatch.setattr(jj, "CHUNK_COUNT", 2)
+    monkeypatch.setattr(jj, "CROWD", crowd)
+    monkeypatch.setattr(jj, "BROADCAST_CLASSES", broadcast)
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, class string")
     found = [tuple(r) for r in jj.similar_components(df, n=n, percent=percent).collect()]
@@ -158,6 +165,19 @@ def test_cells_beyond_the_products(spark):
     assert near_pairs(spark, rows) == expected
 
 
+def test_crowded_signatures(spark, monkeypatch):
+    """Counts within tasks find them, and their rows get the same aggregates as in a window."""
+    monkeypatch.setattr(jj, "CROWD", 10)
+    rows = [(1, c, 5, 2) for c in range(40)] + [(2, c, 6, 1) for c in range(3)] + [(1, None, 8, None), (1, None, 4, None), (2, None, 9, None)]
+    signed = spark.createDataFrame(rows, "sig long, class long, n long, rare long")
+    crowded = jj._crowded(signed)
+    assert [r["sig"] for r in crowded.collect()] == [1]
+    known = {"low": F.min("class"), "high": F.max("class"), "rows": F.count(F.lit(1)), "rep": F.min(F.struct("rare", "class", "n"))}
+    found = jj._by_signature(signed.where("class is not null"), crowded, known)
+    assert {(r["sig"], r["low"], r["high"], r["rows"], r["rep"]["class"]) for r in found.collect()} == {(1, 0, 39, 40, 0), (2, 0, 2, 3, 0)}
+    assert found.count() == 43
+
+
 @pytest.mark.parametrize("most, expected", [(0, set()), (2, {1, 2}), (3, {1, 2, 3}), (4, {1, 2, 3}), (100, {1, 2, 3, 4, 5, 6})])
 def test_most_frequent(spark, most, expected):
     counts = spark.createDataFrame([(1, 1000), (2, 900), (3, 64), (4, 2), (5, 2), (6, 2), (7, None)], "term long, n long")
