@@ -191,21 +191,31 @@ def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def summary_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, ranked in hash order within their language (doc_id, lang, text, quality, rk, n)."""
+
+    def build() -> DataFrame:
+        labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+        labelled = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(labels, "doc_id")
+        return exact_rank(staged(labelled, "labelled"), "doc_id", "summary", within="lang", out="rk", total="n")
+
+    return spread(staged_once(spark, sf_dir, "summary_base", build), "doc_id")
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, info, summaries, choice): the first and last 20 words; quality is the choice."""
-    words = word_tokens(F.col("text"))
-    first = F.array_join(F.slice(words, 1, 20), " ")
-    last = F.array_join(F.slice(words, F.greatest(F.size(words) - 19, F.lit(1)), F.lit(20)), " ")
+    """(doc_id, info, summaries, choice): the next two documents of the language, whole; quality is the choice."""
+    base = summary_base(spark, sf_dir)
+
+    def after(offset: int) -> DataFrame:
+        # Joined on (language, rank): a language that holds a third of the rows spreads over its ranks.
+        at = F.struct("lang", ((F.col("rk") - offset + 2 * F.col("n")) % F.col("n")).alias("rk"))
+        return base.select(at.alias("_at"), F.struct("text").alias(f"_s{offset}"))
+
+    posts = base.withColumn("_at", F.struct("lang", "rk"))
     return (
-        _table(spark, sf_dir, "documents")
-        .select("doc_id", "text")
-        .join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-        .select(
-            "doc_id",
-            F.struct(F.col("text").alias("post")).alias("info"),
-            F.array(F.struct(first.alias("text")), F.struct(last.alias("text"))).alias("summaries"),
-            F.col("quality").alias("choice"),
-        )
+        posts.join(after(1), "_at")
+        .join(after(2), "_at")
+        .select("doc_id", F.struct(F.col("text").alias("post")).alias("info"), F.array("_s1", "_s2").alias("summaries"), F.col("quality").alias("choice"))
     )
 
 

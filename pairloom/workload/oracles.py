@@ -101,10 +101,14 @@ JOIN (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assista
 WHERE role <> 'system' AND turn <= last GROUP BY 1""",
     "transcript_pairs": f"""
 SELECT pair_id, {_dialogue('prompt')} AS prompt, chosen, rejected FROM pairs""",
-    "summaries": f"""
-SELECT doc_id, text AS post, array_to_string({_toks('text')}[1:20], ' ') AS s0,
-  array_to_string({_toks('text')}[-20:], ' ') AS s1, quality AS choice
+    "summary_base": """
+SELECT doc_id, lang, text, quality, row_number() OVER (PARTITION BY lang ORDER BY md5('summary:' || doc_id), doc_id) - 1 AS rk,
+  count(*) OVER (PARTITION BY lang) AS n
 FROM documents JOIN labels USING (doc_id)""",
+    "summaries": """
+SELECT a.doc_id, a.text AS post, b.text AS s0, c.text AS s1, a.quality AS choice
+FROM summary_base a JOIN summary_base b ON b.lang IS NOT DISTINCT FROM a.lang AND b.rk = (a.rk + 1) % a.n
+  JOIN summary_base c ON c.lang IS NOT DISTINCT FROM a.lang AND c.rk = (a.rk + 2) % a.n""",
     "mc_long": """
 SELECT a.pair_id AS q, a.prompt AS question, ((k.k + a.rk) % 4)::INT AS choice, b.good AS answer, (k.k = 0)::INT AS label
 FROM pair_base a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) k JOIN pair_base b ON b.rk = (a.rk + k.k) % a.n""",

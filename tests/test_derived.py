@@ -72,3 +72,23 @@ def test_good_documents_share_a_rare_bad_one(spark, skewed_dir):
     assert {r["rejected_response"] for r in rows if r["pair_id"] % 10 == 0} == {"word 10", "word 20"}
     # Every good text is the prompt of one pair of its language, and of no pair of its own.
     assert len({r["prompt"] for r in rows}) == 597 and all(r["prompt"] != r["chosen_response"] for r in rows)
+
+
+def test_summaries_are_whole_documents_of_the_language(spark, skewed_dir):
+    rows = derived.summaries(spark, skewed_dir).collect()
+    posts = {r["doc_id"]: r["info"]["post"] for r in rows}
+    texts = {r["doc_id"]: [s["text"] for s in r["summaries"]] for r in rows}
+    assert posts == {i: f"word {i}" for i in range(600)} and len(rows) == 600
+    for own in ({i for i in posts if i % 10}, {i for i in posts if i % 10 == 0}):
+        for k in (0, 1):
+            # Each document is the first summary of one other and the second of another.
+            assert sorted(texts[i][k] for i in own) == sorted(posts[i] for i in own)
+            assert all(texts[i][k] != posts[i] for i in own)
+
+
+def test_summaries_without_a_language(spark, tmp_path):
+    docs = [(1, "a", None), (2, "b", None), (3, "alone", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r["doc_id"]: [s["text"] for s in r["summaries"]] for r in derived.summaries(spark, str(tmp_path)).collect()}
+    assert rows == {1: ["b", "a"], 2: ["a", "b"], 3: ["alone", "alone"]}
