@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import prepare, texts_of, two_columns
+from pairloom.llm.common import least_hashed, prepare, texts_of, two_columns
 from pairloom.sources.staging import staged
 
 TRAIN_ROWS = 6_000
@@ -318,7 +318,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: s
     """``(text, label, place)`` of at most ``rows`` labelled ids, the first by a hash; one row of each id."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     own = own.where(allowed).groupBy("id").agg(F.max("label").alias("label"))
-    own = own.withColumn("place", F.xxhash64("id", F.lit(SEED))).orderBy("place", "id").limit(rows)
+    own = own.withColumn("place", F.xxhash64("id", F.lit(SEED)))
+    own = least_hashed(own, "place", rows).orderBy("place", "id").limit(rows)
     found = two_columns(docs, id_col, text_col).join(F.broadcast(own), "id").withColumn("text", F.coalesce("text", F.lit("")))
     one = found.groupBy("id", "label", "place").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
     return one.select("one.text", "label", "place")

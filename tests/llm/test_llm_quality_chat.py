@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import hashlib
 from collections import defaultdict
@@ -39,19 +40,35 @@ def test_op1(spark, tmp_path):
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r["keep"] for r in found)
 
-    # The same posteriors, site by site, in plain Python.
-    sums = defaultdict(lambda: [0, 0.0])
-    evidence = {}
-    for i, text, lang, source, _ in rows:
-        p = float(model.probabilities(np.array([quality.features(text)]))[0]) if text and text.strip() else 0.0
-        evidence[i] = min(max(p, 1e-6), 1 - 1e-6) if p else 0.0
-        for key in (("host", source), (source, lang)):
-            sums[key][0] += 1
-            sums[key][1] += evidence[i]
-    _, prior = quality.site_posteriors(docs.selectExpr("source as host", "lang as path").limit(0).selectExpr("*", "0D as evidence"))
-    assert prior["host"] == prior["path"] == quality.MOST_STRENGTH
-    big = [r for r in found if r["doc_id"] in labels][:50]
-    assert all(0 < r["host_posterior"] < 1 and 0 < r["path_posterior"] < 1 for r in big)
+    # The same posteriors and scores, site by site, in plain Python.
+    evidence, hosts, paths = [], defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for _, text, lang, source, _ in rows:
+        p = float(model.probabilities(np.array([quality.features(text)]))[0]) if text and text.strip() else None
+        evidence.append(min(max(p, 1e-6), 1 - 1e-6) if p is not None else 0.0)
+        for site in (hosts[source], paths[source, lang]):
+            site[0] += 1
+            site[1] += evidence[-1]
+    mean = min(max(sum(evidence) / len(evidence), 1e-4), 1 - 1e-4)
+
+    def strength(sites):
+        sites = [(n, s, m) for n, s, m in sites if n > 1]
+        between = max(sum(n * ((s / n - m) ** 2 - m * (1 - m) / n) for n, s, m in sites) / sum(n for n, _, _ in sites), 0.0)
+        within = sum(n * m * (1 - m) for n, _, m in sites) / sum(n for n, _, _ in sites)
+        return min(quality.MOST_STRENGTH, max(1.0, within / between - 1)) if between > 0 else quality.MOST_STRENGTH
+
+    of_hosts = strength((n, s, mean) for n, s in hosts.values())
+    above = {h: (s + of_hosts * mean) / (n + of_hosts) for h, (n, s) in hosts.items()}
+    of_paths = strength((n, s, above[h]) for (h, _), (n, s) in paths.items())
+    expected = []
+    for (i, _, lang, source, _), own in zip(rows, evidence):
+        (hn, hs), (pn, ps) = hosts[source], paths[source, lang]
+        host = (hs - own + of_hosts * mean) / (hn - 1 + of_hosts)
+        path = min(max((ps - own + of_paths * host) / (pn - 1 + of_paths), 1e-6), 1 - 1e-6)
+        odds = math.log(own / (1 - own)) + math.log(path / (1 - path)) - math.log(mean / (1 - mean)) if own else None
+        expected.append((own, host, path, 1 / (1 + math.exp(-odds)) if own else 0.0))
+    got = sorted((r["evidence"], r["host_posterior"], r["path_posterior"], r["score"]) for r in found)
+    np.testing.assert_allclose(got, sorted(expected), atol=1e-9)
+    assert len(hosts) > 1 and 1 < of_hosts
 
 
 def test_sparse_sites_shrink_and_large_ones_do_not(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import quality, queries, toxicity
+from pairloom.llm.common import least_hashed
 
 
 def planted(n, rng, insults):
@@ -44,6 +46,29 @@ def test_edges(model):
     assert toxicity.fit([], []) is None and toxicity.fit(["a", "b"], [1, 1]) is None and toxicity.fit(["", None], [0, 1]) is None
 
 
+def test_scores_word_by_word(model):
+    """A text's score from its words' subwords one at a time: the most toxic run of SEGMENT words."""
+    texts, _ = planted(60, random.Random(6), ["gribblewort", "Snorfheads!"])
+    texts += ["one", "x" * 300 + " gribblewort", "a.b,c d e", "Gribblewort " * 9]
+    for text, score in zip(texts, model.scorer().scores(texts)):
+        words = text.lower().replace(".", " ").replace(",", " ").split()
+        odds = []
+        for lo in range(0, len(words), toxicity.SEGMENT):
+            units = [u for w in words[lo : lo + toxicity.SEGMENT] for u in toxicity.subwords([w])[0].tolist()]
+            odds.append(sum(float(model.unit[u]) for u in units) / len(units) + model.bias)
+        assert abs(score - 1 / (1 + math.exp(-(model.slope * max(odds) + model.offset)))) < 1e-6
+
+
+def test_least_hashed(spark):
+    """At least as many rows as asked for, the least ones, and none between is left out."""
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("place"))
+    places = sorted(r["place"] for r in rows.collect())
+    for most in (1, 10, 777, 5000, 9000):
+        found = sorted(r["place"] for r in least_hashed(rows, "place", most).collect())
+        assert found == places[: len(found)] and min(most, 5000) <= len(found) <= most + 20
+    assert least_hashed(rows.limit(0), "place", 5).count() == 0
+
+
 def write(spark, folder, docs, labels):
     spark.createDataFrame(docs, "doc_id long, text string, score string, label long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
