@@ -17,7 +17,11 @@ Which shingles count as frequent changes how many candidates there are, never th
 *Links.* A signature's classes are not paired with each other. Each has a representative there, the
 class of the fewest rare shingles; a class is compared with the representative it meets most often,
 and verified links are joined into components. Only signatures whose classes are still in different components are looked at again.
-Of signatures with the same classes one is. There, pairs of classes of different components are held against a bound on what they share,
+Of signatures with the same classes one is. Classes of a signature with more than ``BLOCK`` of them are
+indexed once more, by prefixes for each band of partners' sizes: two sets of sizes n and m share
+``percent * (n + m) / (100 + percent)`` shingles at least, so sets of about the same size need little more than
+half the prefix, and texts that share a passage but are too different to link differ in rare shingles
+before they come to those of the passage. Then pairs of classes of different components are held against a bound on what they share,
 made from counts of their shingles in a few cells, within blocks of bounded size; pairs that the
 bound does not rule out are verified like the others. No pair is written that it rules out.
 
@@ -35,6 +39,7 @@ bound does not rule out are verified like the others. No pair is written that it
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +64,7 @@ CACHED_WORDS = 300_000
 SEEN_CLASSES = 500_000
 CELLS = 256
 BLOCK = 2_048
+FEW = 64
 STRIP = 128
 LEVELS = 32
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -108,48 +114,110 @@ def least_common(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def _sub_class_number(size: int) -> int:
+    return 1 << max(0, (max(size, 8) // 8).bit_length() - 1)
+
+
 def sub_classes(size: int, percent: int) -> list[int]:
     """The numbers of sub-classes for a set of this size and all sizes it may link with."""
-    def own(n: int) -> int:
-        return 1 << max(0, (max(n, 8) // 8).bit_length() - 1)
-
-    low, high = own(least_common(size, percent)), own(100 * size // percent)
+    low, high = _sub_class_number(least_common(size, percent)), _sub_class_number(100 * size // percent)
     found = [low]
     while found[-1] < high:
         found.append(found[-1] * 2)
     return found
 
 
+def _rare_and_frequent(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(frequent, found)
+    common = np.zeros(len(found), bool)
+    inside = at < len(frequent)
+    common[inside] = frequent[at[inside]] == found[inside]
+    return found[~common], found[common]
+
+
+def _pairs_of_frequent(often: np.ndarray, missing: int, number: int, key: int) -> list[np.ndarray]:
+    """Signatures of pairs within ``number`` sub-classes, of a prefix that proves ``missing`` differences without a common pair."""
+    sub = (often >> np.uint64(40)) & np.uint64(number - 1)
+    proves = np.ones(len(often), np.int64)
+    proves[np.unique(sub, return_index=True)[1]] = 0
+    length = int(np.searchsorted(np.cumsum(proves), missing)) + 1
+    order = np.argsort(sub[:length], kind="stable")
+    tokens, group = often[:length][order], sub[:length][order]
+    parts = []
+    for step in range(1, len(tokens)):
+        same = group[step:] == group[:-step]
+        if not same.any():
+            break
+        parts.append(mixed(tokens[:-step][same] * _ODD[0] + tokens[step:][same] * _ODD[1] + np.uint64(key)))
+    return parts
+
+
+def _links_with_itself_alone(size: int, percent: int) -> bool:
+    """A set that links with another must be able to lose or gain one shingle."""
+    return (size + 1) * percent > size * 100
+
+
 def signatures(found: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """Signatures of a set, and how many of its shingles are rare."""
     size = len(found)
-    if (size + 1) * percent > size * 100:
-        # A set that links with another must be able to lose or gain one shingle.
+    if _links_with_itself_alone(size, percent):
         return np.zeros(0, np.uint64), size
     need = size - least_common(size, percent) + 1
-    at = np.searchsorted(frequent, found)
-    common = np.zeros(size, bool)
-    inside = at < len(frequent)
-    common[inside] = frequent[at[inside]] == found[inside]
-    rare, often = found[~common], found[common]
+    rare, often = _rare_and_frequent(found, frequent)
     parts = [rare[:need]]
-    missing = need - len(rare)
-    if missing > 0:
+    if need > len(rare):
         for number in sub_classes(size, percent):
-            sub = (often >> np.uint64(40)) & np.uint64(number - 1)
-            proves = np.ones(len(often), np.int64)
-            proves[np.unique(sub, return_index=True)[1]] = 0
-            length = int(np.searchsorted(np.cumsum(proves), missing)) + 1
-            order = np.argsort(sub[:length], kind="stable")
-            tokens, group = often[:length][order], sub[:length][order]
-            for step in range(1, len(tokens)):
-                same = group[step:] == group[:-step]
-                if not same.any():
-                    break
-                parts.append(mixed(tokens[:-step][same] * _ODD[0] + tokens[step:][same] * _ODD[1] + np.uint64(number)))
+            parts += _pairs_of_frequent(often, need - len(rare), number, number)
     return np.concatenate(parts), len(rare)
 
 
+def _band_edges() -> list[int]:
+    """The least size of each band of sizes: every size below 32, then bands of about a 32nd."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] + max(1, edges[-1] // 32))
+    return edges
+
+
+_EDGES = _band_edges()
+
+
+def partner_bands(size: int, percent: int) -> list[tuple[int, int]]:
+    """``(band, least size in it)`` for all sizes that a set of this size may link with."""
+    least, most = least_common(size, percent), 100 * size // percent
+    band, found = bisect_right(_EDGES, least) - 1, []
+    while least <= most:
+        found.append((band, least))
+        band += 1
+        least = _EDGES[band]
+    return found
+
+
+def banded_signatures(found: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures with a prefix of its own for each band of partners' sizes, and the set's side in each.
+
+    Pairs are signed with both bands; a set of the lower one is on side 1, of the higher one on side 2,
+    and only sets of different sides need to meet. Where both are of one band, and under rare shingles,
+    which are signed once as far as any band needs them, the side is 0 and all meet.
+    """
+    size = len(found)
+    if _links_with_itself_alone(size, percent):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    own = bisect_right(_EDGES, size) - 1
+    rare, often = _rare_and_frequent(found, frequent)
+    parts, sides, most = [], [], 0
+    for band, least in partner_bands(size, percent):
+        need = size - -(-percent * (size + least) // (100 + percent)) + 1
+        most = max(most, need)
+        if need > len(rare):
+            low, high = min(own, band), max(own, band)
+            made = _pairs_of_frequent(often, need - len(rare), _sub_class_number(_EDGES[low]), (1 << 41) + low * len(_EDGES) + high)
+            parts += made
+            sides += [0 if low == high else 1 if own == low else 2] * sum(map(len, made))
+    parts.insert(0, rare[:most])
+    return np.concatenate(parts), np.array([0] * len(parts[0]) + sides, np.int64)
+
+
 def _once(seen: set[int], key: int) -> bool:
     if key in seen:
         return False
@@ -218,10 +286,10 @@ def _described(n: int):
     return run
 
 
-def _signatures(n: int, percent: int, frequent):
+def _signatures(n: int, percent: int, frequent, sign=signatures, last="rare"):
     """Signatures of each class; and, without a class, counts of those that several classes of one stretch of the task have."""
 
-    names = ["sig", "class", "n", "rare"]
+    names = ["sig", "class", "n", last]
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -234,21 +302,21 @@ def _signatures(n: int, percent: int, frequent):
         seen: set[int] = set()
         made, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            parts, keys, sizes, rares, counts = [np.zeros(0, np.uint64)], [], [], [], []
+            parts, keys, sizes, lasts, counts = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)], []
             for text in bytes_of(batch):
                 found = shingles(text, n)
                 if not len(found):
                     continue
                 key = fingerprint(found)
                 if _once(seen, key):
-                    own, rare = signatures(found, frequent.value, percent)
+                    own, more = sign(found, frequent.value, percent)
                     parts.append(own)
                     keys.append(key)
                     sizes.append(len(found))
-                    rares.append(rare)
+                    lasts.append(np.broadcast_to(more, len(own)))
                     counts.append(len(own))
             own = np.concatenate(parts)
-            columns = [own.view(np.int64), *(np.repeat(np.array(x, np.int64), counts) for x in (keys, sizes, rares))]
+            columns = [own.view(np.int64), *(np.repeat(np.array(x, np.int64), counts) for x in (keys, sizes)), np.concatenate(lasts).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             made.append(own)
             held += len(own)
@@ -353,7 +421,7 @@ def _near(percent: int):
         change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         starts = np.concatenate(([0], change))
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        small = (sizes <= 64) & (keys[starts, 1] == keys[starts, 2])
+        small = (sizes <= FEW) & (keys[starts, 1] == keys[starts, 2])
         yield from few(starts[small], sizes[small], n, root, cells)
         for start, size in zip(starts[~small].tolist(), sizes[~small].tolist()):
             at = np.arange(start, start + size)
@@ -437,13 +505,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets link, by the sets of one text of each class."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "hash"), "class")
+def _texts_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts of the distinct classes ``wanted``, as often as they occur."""
+    names = wanted.join(classes.select("class", "hash"), "class")
     names = staged(names.select("hash").distinct(), "wanted")
     # A text's own hash tells whether it is wanted, before anything is made of it; 8 MB of them are broadcast at most.
     small = names.count() <= BROADCAST_CLASSES
-    texts = texts.join(F.broadcast(names) if small else names, "hash", "left_semi").select("id", "text")
+    return texts.join(F.broadcast(names) if small else names, "hash", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets link, by the sets of one text of each class."""
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), texts, classes).select("id", "text")
     # The same text may come from several tasks: one set of a class is enough, where the join wants it anyway.
     sets = texts.mapInArrow(_sets(n), "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
     left = pairs.join(sets.selectExpr("class as a", "shingles as x"), "a")
@@ -455,12 +528,18 @@ def _undecided(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of classes of different components under one signature that may still link.
 
     A signature of more than BLOCK classes is dealt into blocks; each pair of blocks is a group of
-    its own, so no task holds all classes of a signature.
+    its own, so no task holds all classes of a signature. Where a signature has two sides, blocks of
+    one side meet blocks of the other (numbered from -1 down) and none of their own.
     """
     apart = apart.join(classes.select("class", "cells"), "class")
-    apart = apart.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    sided, low = (F.col("side") > 0) & (F.col("rows") > FEW), F.col("side") == 1
+    mine = F.when(~sided, F.col("rows")).when(low, F.col("lows")).otherwise(F.col("rows") - F.col("lows"))
+    theirs = F.when(~sided, F.col("rows")).when(low, F.col("rows") - F.col("lows")).otherwise(F.col("lows"))
+    apart = apart.withColumns({"sided": sided, "own": F.pmod(F.xxhash64("class"), F.ceil(mine / BLOCK)), "blocks": F.ceil(theirs / BLOCK)})
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    apart = apart.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    lo = F.when(~F.col("sided"), F.least("own", "other")).when(low, F.col("own")).otherwise(F.col("other"))
+    hi = F.when(~F.col("sided"), F.greatest("own", "other")).when(low, -1 - F.col("other")).otherwise(-1 - F.col("own"))
+    apart = apart.withColumns({"lo": lo, "hi": hi}).withColumn("own", F.when(F.col("sided") & ~low, F.col("hi")).otherwise(F.col("own")))
     groups = apart.select("sig", "lo", "hi", "own", "class", "n", "root", "cells").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
     return groups.mapInArrow(_near(percent), "a bigint, b bigint").distinct()
 
@@ -487,6 +566,34 @@ def _by_signature(rows: DataFrame, crowded: DataFrame, known: dict[str, Column])
     return calm.unionByName(busy.join(F.broadcast(totals), "sig"))
 
 
+def _apart(placed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows ``(sig, class, n, root, side)`` of signatures that may still join components, with how many each has, and on side 1.
+
+    Signatures of the same classes (those of a shared passage) say the same: one of them is looked at.
+    """
+    known = {
+        "low": F.min("root"), "high": F.max("root"), "rows": F.count(F.lit(1)), "first": F.min("class"),
+        "x": F.bit_xor(F.xxhash64("class")), "y": F.bit_xor(F.xxhash64("class", F.lit(1))),
+        "lows": F.count_if(F.col("side") == 1), "highs": F.count_if(F.col("side") == 2),
+    }
+    apart = _by_signature(placed, crowded, known).where("low <> high and (lows > 0) = (highs > 0)")
+    one = apart.where("class = first").groupBy("rows", "x", "y", F.col("lows") > 0).agg(F.min("sig").alias("sig")).select("sig")
+    return staged(apart.join(one, "sig", "left_semi").select("sig", "class", "n", "root", "side", "rows", "lows"), "apart")
+
+
+def _refined(busy: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int, frequent) -> DataFrame:
+    """As ``_apart``, for the classes of ``busy`` under their banded signatures.
+
+    Any two of them that link share a banded signature, whatever they share besides.
+    """
+    roots = staged(busy.select("class", "root").distinct(), "busy")
+    texts = _texts_of(roots.select("class"), texts, classes)
+    signed = texts.mapInArrow(_signatures(n, percent, frequent, banded_signatures, "side"), "sig bigint, class bigint, n bigint, side bigint")
+    signed = staged(signed, "signed")
+    rows = signed.where("class is not null").distinct()
+    return _apart(staged(rows.join(roots, "class"), "met"), _crowded(signed))
+
+
 def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, class, root)`` of every row; root: the component, as its least class."""
     spark: SparkSession = prepare(docs.sparkSession)
@@ -522,16 +629,11 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     # Signatures that still join different components.
     placed = shared.select("sig", "class", "n").join(roots, shared["class"] == roots["node"], "left")
     placed = placed.select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
-    known = {
-        "low": F.min("root"), "high": F.max("root"), "rows": F.count(F.lit(1)), "first": F.min("class"),
-        "x": F.bit_xor(F.xxhash64("class")), "y": F.bit_xor(F.xxhash64("class", F.lit(1))),
-    }
-    apart = _by_signature(staged(placed.distinct(), "met"), crowded, known)
-    apart = apart.where("low <> high")
-    # Signatures of the same classes (those of a shared passage) say the same: one of them is looked at.
-    one = apart.where("class = first").groupBy("rows", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    apart = apart.join(one, "sig", "left_semi").select("sig", "class", "n", "root", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
-    rest = staged(_undecided(staged(apart, "apart"), classes, percent), "rest")
+    apart = _apart(staged(placed.distinct(), "met").withColumn("side", F.lit(0)), crowded)
+    busy = apart.where(F.col("rows") > BLOCK)
+    if not busy.isEmpty():
+        apart = apart.where(F.col("rows") <= BLOCK).unionByName(_refined(busy, texts, classes, n, percent, frequent))
+    rest = staged(_undecided(apart, classes, percent), "rest")
     tried = first.union(first.selectExpr("b as a", "a as b"))
     more = staged(_verified(staged(rest.join(tried, ["a", "b"], "left_anti"), "rest"), texts, classes, n, percent), "links")
     joins = more.join(roots.selectExpr("node as a", "root as ra"), "a", "left").join(roots.selectExpr("node as b", "root as rb"), "b", "left")

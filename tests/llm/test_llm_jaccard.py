@@ -80,6 +80,12 @@ def test_empty_table(spark):
     assert jj.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def meetings(x, y, frequent, percent=85):
+    """Banded signatures under which two sets are compared."""
+    a, b = (dict(zip(*(v.tolist() for v in jj.banded_signatures(s, frequent, percent)))) for s in (x, y))
+    return {sig for sig in a.keys() & b.keys() if a[sig] == b[sig] == 0 or a[sig] + b[sig] == 3}
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
@@ -96,6 +102,7 @@ def test_linked_sets_share_a_signature(percent):
         frequent = np.sort(rng.choice(x, int(rng.integers(0, len(x) + 1)), replace=False))
         a, b = jj.signatures(x, frequent, percent)[0], jj.signatures(y, frequent, percent)[0]
         assert len(np.intersect1d(a, b)), (size, len(x), len(y), both, len(frequent))
+        assert meetings(x, y, frequent, percent), (size, len(x), len(y), both, len(frequent))
         common = np.minimum(jj.outline(x), jj.outline(y)).sum()
         assert common >= both
 
@@ -165,6 +172,54 @@ def test_cells_beyond_the_products(spark):
     assert near_pairs(spark, rows) == expected
 
 
+def test_partner_bands():
+    """Every size a set may link with lies in one of its bands, and each sees the other."""
+    for size in [*range(6, 400), 5_000, 90_865, 1_000_003]:
+        bands = jj.partner_bands(size, 85)
+        least, most = jj.least_common(size, 85), 100 * size // 85
+        assert bands[0][1] == least and all(low <= most for _, low in bands)
+        edges = [*(low for _, low in bands), most + 1]
+        assert edges == sorted(set(edges))
+        for low, high in zip(edges, edges[1:]):
+            for other in {low, high - 1}:
+                assert size in range(jj.least_common(other, 85), 100 * other // 85 + 1)
+
+
+def test_sets_of_a_shared_passage_meet_only_where_they_may_link():
+    """Sets of one size that share too little to link have no pairs of the passage's shingles as signatures."""
+    rng = np.random.default_rng(4)
+    passage = np.unique(rng.integers(0, 2**63, 180).astype(np.uint64))
+
+    def with_own(k):
+        return np.unique(np.concatenate((passage, rng.integers(0, 2**63, k).astype(np.uint64))))
+
+    far, near = [with_own(22) for _ in range(2)], [with_own(12) for _ in range(2)]
+    assert len(np.intersect1d(*(jj.signatures(x, passage)[0] for x in far)))
+    assert not meetings(*far, passage) and meetings(*near, passage)
+
+
+@pytest.mark.parametrize("block, crowd, few", [(3, 1_000_000, 64), (3, 4, 2), (40, 1_000_000, 64)])
+def test_components_of_a_shared_passage(spark, block, crowd, few, monkeypatch):
+    """Signatures of more classes than a block are indexed again; the components stay those of all pairs."""
+    monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "FEW", few)
+    monkeypatch.setattr(jj, "CROWD", crowd)
+    monkeypatch.setattr(jj, "FREQUENT", 4)
+    monkeypatch.setattr(jj, "CHUNK_COUNT", 2)
+    rng = np.random.default_rng(block)
+    passage = " ".join(f"p{k}" for k in range(120))
+    docs = []
+    for group in range(30):
+        own = [f"w{group}x{k}" for k in range(int(rng.integers(4, 40)))]
+        for copy in range(int(rng.integers(1, 4))):
+            words = [w if rng.random() > 0.02 else f"c{group}x{copy}x{k}" for k, w in enumerate(own)]
+            docs.append((len(docs), passage + " " + " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = [tuple(r) for r in jj.similar_components(df).collect()]
+    assert sorted(found) == sorted(brute(docs, 4, 85))
+    assert 1 < len({c for _, _, c in found}) < len(docs)
+
+
 def test_crowded_signatures(spark, monkeypatch):
     """Counts within tasks find them, and their rows get the same aggregates as in a window."""
     monkeypatch.setattr(jj, "CROWD", 10)
