@@ -17,7 +17,7 @@ Which shingles count as frequent changes how many candidates there are, never th
 *Links.* A signature's classes are not paired with each other. Each has a representative there, the
 class of the fewest rare shingles; a class is compared with the representative it meets most often,
 and verified links are joined into components. Only signatures whose classes are still in different components are looked at again.
-Of signatures with the same classes one is. Classes of a signature with more than ``BLOCK`` of them are
+Of signatures with the same classes one is. Classes of a signature with more than ``REFINE`` of them are
 indexed once more, by prefixes for each band of partners' sizes: two sets of sizes n and m share
 ``percent * (n + m) / (100 + percent)`` shingles at least, so sets of about the same size need little more than
 half the prefix, and texts that share a passage but are too different to link differ in rare shingles
@@ -64,6 +64,7 @@ CACHED_WORDS = 300_000
 SEEN_CLASSES = 500_000
 CELLS = 256
 BLOCK = 2_048
+REFINE = 256
 FEW = 64
 STRIP = 128
 LEVELS = 32
@@ -630,9 +631,9 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     placed = shared.select("sig", "class", "n").join(roots, shared["class"] == roots["node"], "left")
     placed = placed.select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
     apart = _apart(staged(placed.distinct(), "met").withColumn("side", F.lit(0)), crowded)
-    busy = apart.where(F.col("rows") > BLOCK)
+    busy = apart.where(F.col("rows") > REFINE)
     if not busy.isEmpty():
-        apart = apart.where(F.col("rows") <= BLOCK).unionByName(_refined(busy, texts, classes, n, percent, frequent))
+        apart = apart.where(F.col("rows") <= REFINE).unionByName(_refined(busy, texts, classes, n, percent, frequent))
     rest = staged(_undecided(apart, classes, percent), "rest")
     tried = first.union(first.selectExpr("b as a", "a as b"))
     more = staged(_verified(staged(rest.join(tried, ["a", "b"], "left_anti"), "rest"), texts, classes, n, percent), "links")

@@ -200,8 +200,9 @@ def test_sets_of_a_shared_passage_meet_only_where_they_may_link():
 
 @pytest.mark.parametrize("block, crowd, few", [(3, 1_000_000, 64), (3, 4, 2), (40, 1_000_000, 64)])
 def test_components_of_a_shared_passage(spark, block, crowd, few, monkeypatch):
-    """Signatures of more classes than a block are indexed again; the components stay those of all pairs."""
+    """Classes of crowded signatures are indexed again; the components stay those of all pairs."""
     monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "REFINE", block)
     monkeypatch.setattr(jj, "FEW", few)
     monkeypatch.setattr(jj, "CROWD", crowd)
     monkeypatch.setattr(jj, "FREQUENT", 4)
