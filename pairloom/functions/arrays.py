@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,8 @@ def as_text(items: Column, separator: str = " ") -> Column:
 
 def euclidean_norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often and in whatever lambda ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

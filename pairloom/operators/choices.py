@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.arrays import bound
 from pairloom.functions.fixed_values import IGNORE_LABEL
 from pairloom.functions.text import apply_style
 
@@ -98,8 +99,13 @@ def array_logprob(logits: Column, target: Column) -> Column:
     Relative to the largest finite logit, so nothing overflows; a class of minus infinity has no mass.
     """
     top = F.array_max(F.filter(logits, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
-    mass = F.aggregate(logits, F.lit(0.0), lambda total, x: total + F.coalesce(F.exp(x.cast("double") - top), F.lit(0.0)))
-    return F.get(logits, target).cast("double") - top - F.ln(mass)
+
+    def scored(top: Column) -> Column:
+        mass = F.aggregate(logits, F.lit(0.0), lambda total, x: total + F.coalesce(F.exp(x.cast("double") - top), F.lit(0.0)))
+        return F.get(logits, target).cast("double") - top - F.ln(mass)
+
+    # Bound, the largest is found once, not once for each class.
+    return bound(top, scored)
 
 
 def logprob_from_arrays(df: DataFrame, keys: Sequence[str] = ("id", "pos"), logits: str = "logits", target: str = "target") -> DataFrame:
@@ -115,11 +121,15 @@ def logprob_from_tensor(
     With ``shift``, the logits of a position are for the label after it, and the last position has none.
     Positions whose label is ``ignored`` are left out. Everything happens inside the row.
     """
-    ahead = int(shift)
-    wanted = F.transform(F.col(logits), lambda row, i: F.struct(i.alias("pos"), F.get(F.col(labels), i + ahead).alias("label"), row.alias("row")))
+    # Zipped rather than looked up by position, which would make the labels again for each position.
+    ahead = F.slice(F.col(labels), 1 + int(shift), F.array_size(F.col(logits)))
+    both = F.zip_with(F.col(logits), ahead, lambda row, label: F.struct(row.alias("row"), label.alias("label")))
+    wanted = F.transform(both, lambda p, i: F.struct(i.alias("pos"), p["label"].alias("label"), p["row"].alias("row")))
     told = F.filter(wanted, lambda p: p["label"].isNotNull() & (p["label"] != ignored))
     scored = F.transform(told, lambda p: F.struct(p["pos"].alias("pos"), array_logprob(p["row"], p["label"]).alias("logprob")))
-    return df.select(*keys, F.explode(scored).alias("_scored")).select(*keys, "_scored.pos", "_scored.logprob")
+    # An outer explode: a plain one would have every score made once more, to see if there are any.
+    rows = df.select(*keys, F.explode_outer(scored).alias("_scored")).where(F.col("_scored").isNotNull())
+    return rows.select(*keys, "_scored.pos", "_scored.logprob")
 
 
 def assert_no_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:

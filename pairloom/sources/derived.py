@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.fixed_values import ASSISTANT, HUMAN
+from pairloom.functions.arrays import bound
+from pairloom.functions.fixed_values import ASSISTANT, HUMAN, TOKEN_PATTERN
 from pairloom.functions.hashing import unit_interval
 from pairloom.functions.text import token_count, word_tokens
 from pairloom.operators.encoding import build_vocab
@@ -297,18 +298,78 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def logits(spark: SparkSession, sf_dir: str, classes: int = 16) -> DataFrame:
+LOGIT_CLASSES = 16
+
+
+def _target(word: Column, classes: int) -> Column:
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % classes).cast("int")
+
+
+def _logit(pos: Column | str, token: Column | str) -> Column:
+    return 10 * _keyed("lg", "id", pos, token)
+
+
+def logits(spark: SparkSession, sf_dir: str, classes: int = LOGIT_CLASSES) -> DataFrame:
     """(id, pos, token, logit, target): each token of the response is a position, its hash the target class."""
-    word = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
     return (
         pair_base(spark, sf_dir)
         .select(F.col("pair_id").alias("id"), F.posexplode(word_tokens(F.col("good"))).alias("pos", "word"))
-        .select("id", "pos", (word % classes).cast("int").alias("target"))
+        .select("id", "pos", _target(F.col("word"), classes).alias("target"))
         .select("id", "pos", "target", F.explode(F.array(*[F.lit(i) for i in range(classes)])).alias("token"))
-        .select("id", "pos", "token", (10 * _keyed("lg", "id", "pos", "token")).alias("logit"), "target")
+        .select("id", "pos", "token", _logit("pos", "token").alias("logit"), "target")
     )
 
 
+def _logit_places(spark: SparkSession, sf_dir: str, classes: int) -> DataFrame:
+    """(id, places): per id the (pos, target, n) that its responses have, in order; ``n`` counts responses of an id that repeats.
+
+    Only the responses meet per id, never their positions or logits.
+    """
+    texts = pair_base(spark, sf_dir).groupBy(F.col("pair_id").alias("id")).agg(F.collect_list("good").alias("texts"))
+
+    def packed(text: Column) -> Column:
+        return F.transform(word_tokens(text), lambda w, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(_target(w, classes).cast("long")))
+
+    def firsts(at: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1)))
+
+    def place(at: Column, first: Column, i: Column, j: Column) -> Column:
+        return F.struct(
+            F.shiftright(F.get(at, i), 32).cast("int").alias("pos"),
+            F.get(at, i).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("target"),
+            (F.coalesce(F.get(first, j + 1), F.size(at)) - i).alias("n"),
+        )
+
+    def places(at: Column) -> Column:
+        return bound(firsts(at), lambda first: F.transform(first, lambda i, j: place(at, first, i, j)))
+
+    told = texts.where(F.exists("texts", lambda text: text.rlike(TOKEN_PATTERN)))
+    return told.select("id", bound(F.sort_array(F.flatten(F.transform("texts", packed))), places).alias("places"))
+
+
+def _logit_row(place: Column, classes: int) -> Column:
+    """The logits of a place in the order of the classes, each as often as ``logits`` has it."""
+    tokens = F.array(*[F.lit(i) for i in range(classes)])
+    return F.flatten(F.transform(tokens, lambda token: F.array_repeat(_logit(place["pos"], token), place["n"])))
+
+
+def logit_arrays(spark: SparkSession, sf_dir: str, classes: int = LOGIT_CLASSES) -> DataFrame:
+    """(id, pos, target, logits): ``logits`` with all classes of a position and target in one row."""
+    # An outer explode: a plain one would have the places made once more, to see if there are any.
+    places = _logit_places(spark, sf_dir, classes).select("id", F.explode_outer("places").alias("place"))
+    return places.select("id", "place.pos", "place.target", _logit_row(F.col("place"), classes).alias("logits"))
+
+
+def logit_tensors(spark: SparkSession, sf_dir: str, classes: int = LOGIT_CLASSES) -> DataFrame:
+    """(id, logits, labels): the rows of ``logit_arrays`` of an id as one, in the order of positions."""
+
+    def row(place: Column) -> Column:
+        return F.struct(place["pos"].alias("pos"), _logit_row(place, classes).alias("logits"), place["target"].alias("target"))
+
+    rows = _logit_places(spark, sf_dir, classes).select("id", F.sort_array(F.transform("places", row)).alias("rows"))
+    return rows.select("id", F.col("rows.logits").alias("logits"), F.col("rows.target").alias("labels"))
+
+
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long activation table: four consecutive vectors are base, pos, neg and model; six layers an example."""
     vectors = _table(spark, sf_dir, "embeddings")

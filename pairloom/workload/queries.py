@@ -461,22 +461,14 @@ def logprob_from_logits(spark, sf_dir):
     return op.logprob_from_logits(inputs.logits(spark, sf_dir)).withColumn("logprob", _rounded("logprob"))
 
 
-def _logit_arrays(spark, sf_dir):
-    """A row per position with its logits in the order of the classes."""
-    logits = F.array_sort(F.collect_list(F.struct("token", "logit")))
-    return inputs.logits(spark, sf_dir).groupBy("id", "pos", "target").agg(F.transform(logits, lambda x: x["logit"]).alias("logits"))
-
-
 def logprob_from_arrays(spark, sf_dir):
-    scored = op.logprob_from_arrays(_logit_arrays(spark, sf_dir))
+    scored = op.logprob_from_arrays(inputs.logit_arrays(spark, sf_dir))
     return scored.select("id", "pos", _rounded("logprob").alias("logprob"))
 
 
 def logprob_from_tensor(spark, sf_dir):
     """A row per answer: logits by position and class, and labels, of which the logits before are for."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "logits", "target")))
-    whole = _logit_arrays(spark, sf_dir).groupBy("id").agg(rows.alias("rows"))
-    whole = whole.select("id", F.col("rows.logits").alias("logits"), F.col("rows.target").alias("labels"))
+    whole = inputs.logit_tensors(spark, sf_dir)
     return op.logprob_from_tensor(whole).select("id", "pos", _rounded("logprob").alias("logprob"))
 
 

@@ -92,3 +92,24 @@ def test_summaries_without_a_language(spark, tmp_path):
     spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = {r["doc_id"]: [s["text"] for s in r["summaries"]] for r in derived.summaries(spark, str(tmp_path)).collect()}
     assert rows == {1: ["b", "a"], 2: ["a", "b"], 3: ["alone", "alone"]}
+
+
+def test_logits_meet_per_position_without_a_shuffle_of_each(spark, tmp_path):
+    """Repeated turns with equal and other replies, a null one and one without tokens, against the long table."""
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a b a"), (1, 1, "assistant", "a b a"), (1, 1, "assistant", "a c"), (2, 0, "user", "q"), (2, 1, "assistant", None)]
+    turns += [(3, 0, "user", "q"), (3, 1, "assistant", ""), (4, 0, "user", "q"), (4, 1, "assistant", " ".join(f"w{i}" for i in range(50)))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    at = str(tmp_path)
+    by_place = F.array_sort(F.collect_list(F.struct("token", "logit")))
+    plain = derived.logits(spark, at).groupBy("id", "pos", "target").agg(F.transform(by_place, lambda x: x["logit"]).alias("logits"))
+    arrays = derived.logit_arrays(spark, at)
+    assert arrays.columns == plain.columns and sorted(map(tuple, arrays.collect())) == sorted(map(tuple, plain.collect()))
+    assert max(len(r["logits"]) for r in plain.collect()) == 48
+    rows = F.array_sort(F.collect_list(F.struct("pos", "logits", "target")))
+    whole = plain.groupBy("id").agg(rows.alias("rows")).select("id", F.col("rows.logits").alias("logits"), F.col("rows.target").alias("labels"))
+    tensors = derived.logit_tensors(spark, at)
+    assert tensors.columns == whole.columns and sorted(map(tuple, tensors.collect())) == sorted(map(tuple, whole.collect()))
+    # Responses are gathered, once, and nothing longer than they are.
+    for made in (arrays, tensors):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == 1 and "collect_list(good" in plan
