@@ -165,22 +165,26 @@ def _looked_up_rows(occurrences: DataFrame, kept: list[str], keys: list[str], vo
     if small:
         found = occurrences.join(F.broadcast(entries), "token", "left")
         number = F.coalesce(special, F.col("id").cast("long"), unknown)
-        one = F.when(F.col("_pos").isNotNull(), packed(place, number))
-        return found.groupBy(*kept).agg(F.sort_array(F.collect_list(one)).alias("_packed"))
+        # What gathers the rows of many keys sorts, and spills, whatever its input holds: no more than the one number.
+        one = found.select(*kept, F.when(F.col("_pos").isNotNull(), packed(place, number)).alias("_one"))
+        return one.groupBy(*kept).agg(F.sort_array(F.collect_list("_one")).alias("_packed"))
 
     in_head = (F.col("id") < limits.head_rows + RESERVED_IDS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
     hit = occurrences.join(F.broadcast(entries.where(in_head)), "token", "left")
     number = F.coalesce(special, F.col("id").cast("long"))
     settled = F.col("_pos").isNotNull() & number.isNotNull()
     missing = F.col("_pos").isNotNull() & number.isNull()
-    rows = hit.groupBy(*kept).agg(
-        F.collect_list(F.when(settled, packed(place, number))).alias("_settled"),
-        F.collect_list(F.when(missing, F.struct(place.alias("place"), "token"))).alias("_missing"),
+    one = hit.select(
+        *kept,
+        F.when(settled, packed(place, number)).alias("_one"),
+        F.when(missing, F.struct(place.alias("place"), "token")).alias("_left"),
     )
+    rows = one.groupBy(*kept).agg(F.collect_list("_one").alias("_settled"), F.collect_list("_left").alias("_missing"))
     rows = staged(rows, "head_ids")
     rest = rows.select(*keys, F.explode("_missing").alias("_m")).select(*keys, "_m.place", "_m.token")
     rest = rest.join(entries.where(~in_head), "token", "left")
-    late = rest.groupBy(*keys).agg(F.collect_list(packed(F.col("place"), F.coalesce(F.col("id").cast("long"), unknown))).alias("_late"))
+    added = rest.select(*keys, packed(F.col("place"), F.coalesce(F.col("id").cast("long"), unknown)).alias("_one"))
+    late = added.groupBy(*keys).agg(F.collect_list("_one").alias("_late"))
     both = F.concat("_settled", F.coalesce("_late", F.array().cast("array<bigint>")))
     return rows.join(late, keys, "left").select(*kept, F.sort_array(both).alias("_packed"))
 

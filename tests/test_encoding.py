@@ -198,3 +198,18 @@ def test_sized_vocab_is_the_start_of_the_whole(spark, size):
     sized = op.build_vocab(df, ["text"], size=size)
     assert sorted(map(tuple, sized.collect())) == sorted(map(tuple, whole.collect()))
     assert op.build_vocab(df.limit(0), ["text"], size=size).count() == 0
+
+
+@pytest.mark.parametrize("limits, gathered", [(Limits(), {"k", "_one"}), (SMALL, {"k", "_one", "_left"})])
+def test_no_more_than_numbers_is_gathered(spark, limits, gathered, monkeypatch):
+    """What goes into the gathering of a text's ids: not its words, nor slot, position and id apart."""
+    seen = []
+    monkeypatch.setattr("pairloom.operators.encoding.staged", lambda df, name: seen.append(df) or df)
+    df = texts(spark, "a b zz a", "c", "")
+    encoded = op.encode(df, "k", "text", vocab(spark, "a b c d e f"), 9, False, limits=limits)
+    plan = (seen or [encoded])[0]._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Aggregate":
+        plan = plan.children().head()
+    output = plan.child().output()
+    assert {output.apply(i).name() for i in range(output.size())} == gathered
+    assert ids(encoded) == {0: [3, 4, 0, 3], 1: [5], 2: []}
