@@ -54,8 +54,10 @@ def logprob_from_logits(logits: DataFrame, keys: Sequence[str] = ("id", "pos"))
     """Log-softmax over the class column at the target class, from (keys.., token, logit, target).
 
     One pass instead of max-then-sum: exponentials are summed relative to the floor of a
-    coarse logit bin, so partial sums combine on the map side and nothing overflows; the
-    few bins of a position are then merged relative to the highest.
+    coarse logit bin, so partial sums combine on the map side and nothing overflows. Of the
+    bins of a position only the highest and the one below it can be seen in a double, and these
+    are an even and an odd one: each position keeps the highest of either kind, in fields of fixed
+    width that are hashed, not sorted.
     """
     finite = F.when(F.col("logit") > F.lit(float("-inf")), F.col("logit"))
     binned = (
@@ -71,13 +73,20 @@ def logprob_from_logits(logits: DataFrame, keys: Sequence[str] = ("id", "pos"))
             F.max("_at_target").alias("_at_target"),
         )
     )
-    bins = F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_mass")))
+    kinds = [F.when(F.col("_bin").bitwiseAND(F.lit(1)) == i, F.col("_bin")) for i in (0, 1)]
+    # NaN counts as highest, so the highest mass tells of one in any bin.
     merged = binned.groupBy(*keys).agg(
-        bins.alias("_bins"), F.max("_bin").alias("_top"), F.max("_at_target").alias("_at_target")
-    )
-    mass = F.aggregate(
-        "_bins", F.lit(0.0), lambda total, b: total + b["_mass"] * F.exp((b["_bin"] - F.col("_top")) * F.lit(_LOGIT_BIN))
+        *[F.max(kind).alias(f"_bin{i}") for i, kind in enumerate(kinds)],
+        *[F.max_by("_mass", kind).alias(f"_mass{i}") for i, kind in enumerate(kinds)],
+        F.max("_bin").alias("_top"),
+        F.max("_mass").alias("_most"),
+        F.max("_at_target").alias("_at_target"),
     )
+
+    def part(i: int) -> Column:
+        return F.coalesce(F.col(f"_mass{i}") * F.exp((F.col(f"_bin{i}") - F.col("_top")) * F.lit(_LOGIT_BIN)), F.lit(0.0))
+
+    mass = F.when(F.isnan("_most"), F.col("_most")).otherwise(part(0) + part(1))
     return merged.select(
         *keys, (F.col("_at_target") - F.col("_top") * F.lit(_LOGIT_BIN) - F.ln(mass)).alias("logprob")
     )

@@ -314,9 +314,10 @@ def logits(spark: SparkSession, sf_dir: str, classes: int = LOGIT_CLASSES) -> Da
     return (
         pair_base(spark, sf_dir)
         .select(F.col("pair_id").alias("id"), F.posexplode(word_tokens(F.col("good"))).alias("pos", "word"))
-        .select("id", "pos", _target(F.col("word"), classes).alias("target"))
-        .select("id", "pos", "target", F.explode(F.array(*[F.lit(i) for i in range(classes)])).alias("token"))
-        .select("id", "pos", "token", _logit("pos", "token").alias("logit"), "target")
+        # What the classes of a position share of the hashed text is made once.
+        .select("id", "pos", _target(F.col("word"), classes).alias("target"), F.concat_ws(":", F.lit("lg"), "id", "pos").alias("_at"))
+        .select("id", "pos", "target", "_at", F.explode(F.array(*[F.lit(i) for i in range(classes)])).alias("token"))
+        .select("id", "pos", "token", (10 * unit_interval(F.concat_ws(":", "_at", "token"))).alias("logit"), "target")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pytest
@@ -113,3 +114,16 @@ def test_logits_meet_per_position_without_a_shuffle_of_each(spark, tmp_path):
     for made in (arrays, tensors):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Aggregate") == 1 and "collect_list(good" in plan
+
+
+def test_hashed_text_of_a_position_is_made_before_its_classes(spark, tmp_path):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a b"), (None, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "c")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = derived.logits(spark, str(tmp_path))
+    for r in made.collect():
+        digest = hashlib.md5(f"lg:{r['id']}:{r['pos']}:{r['token']}".encode()).hexdigest()
+        assert r["logit"] == 10 * (int(digest[:8], 16) / 2**32)
+    assert made.count() == 3 * derived.LOGIT_CLASSES
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("explode(") :]
+    assert "concat_ws(:, lg" in below and "concat_ws(:, lg" not in plan[: plan.index("explode(")]

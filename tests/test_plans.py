@@ -163,3 +163,11 @@ def test_scores_combine_before_the_shuffle(spark, tmp_path):
     ).write.parquet(path)
     plan = final_plan(op.logprob_from_logits(spark.read.parquet(path)))
     assert "partial_sum" in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_scores_are_neither_listed_nor_sorted(spark, tmp_path):
+    path = str(tmp_path / "logits")
+    rows = spark.range(1000).select(F.floor(F.col("id") / 50).alias("id"), F.lit(0).alias("pos"), (F.col("id") % 50).cast("int").alias("token"))
+    rows.select("*", (F.col("token") * 100.0).alias("logit"), F.lit(3).alias("target")).write.parquet(path)
+    plan = final_plan(op.logprob_from_logits(spark.read.parquet(path)))
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "Sort" not in plan

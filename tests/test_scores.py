@@ -94,6 +94,25 @@ def test_logits_against_numpy(spark):
     assert got == pytest.approx(want, rel=1e-12)
 
 
+def test_logits_in_many_bins(spark):
+    """Far apart, at a bin's edge, negative, NaN below the highest, nothing finite, the target missing; null is no class."""
+    inf = float("inf")
+    cases = [[0.0, 700.0, -900.0, 5e3], [255.9, 256.1, -1e9], [-0.1, 0.1, -256.0, -513.0], [511.9, 512.0, 256.0, 0.0], [-1e9, -1e9 - 1, -5e9]]
+    rows, want = [], {}
+    for i, values in enumerate(cases):
+        top = max(values)
+        for target in range(len(values)):
+            want[i, target] = values[target] - top - math.log(sum(math.exp(v - top) for v in values))
+            rows += [(i, target, t, v, target) for t, v in enumerate(values)]
+    rows += [(7, 0, 0, NAN, 1), (7, 0, 1, 600.0, 1), (8, 0, 0, -inf, 0), (8, 0, 1, None, 0), (9, 0, 0, 1.0, 5), (10, 0, 0, -inf, 0), (10, 0, 1, 3.0, 0)]
+    rows += [(11, 0, 0, None, 1), (11, 0, 1, 300.0, 1)]
+    df = spark.createDataFrame(rows, "id long, pos int, token int, logit double, target int")
+    got = {(r["id"], r["pos"]): r["logprob"] for r in op.logprob_from_logits(df).collect()}
+    assert math.isnan(got.pop((7, 0))) and got.pop((8, 0)) is None and got.pop((9, 0)) is None
+    assert got.pop((10, 0)) == -inf and got.pop((11, 0)) == 0.0
+    assert got == pytest.approx(want, rel=1e-12)
+
+
 def test_nan_scores(spark):
     df = spark.createDataFrame([(1.0, 2.0), (NAN, 1.0), (None, 1.0)], "a double, b double")
     report = {r["column_name"]: (r["rows"], r["nan_rows"]) for r in op.nan_report(df, ["a", "b"]).collect()}
