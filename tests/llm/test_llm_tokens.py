@@ -178,6 +178,42 @@ def test_pieces_equal_library_anywhere(text):
     assert unpack(encoder.encode_all([text])[0]) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_columns_equal_library(spark):
+    """Null and empty texts, other spaces, special strings, line feeds, marks, other scripts, in a slice of a longer column."""
+    import pyarrow as pa
+
+    encoder = token_files.piece_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["left out", None, "", " ", "a b", " a b ", "a  b", "a\u00a0 b", "a \nb c", "a\n b", "\tb c", f"x {encoder.special[0]} y", f"{encoder.special[0]}"]
+    texts += ["It's the end, a.\nWas it?", "Été déjà vu!", "日本 語 text", "don't 'll a.b 12,5 (x)", "w" * 70 + " " + "w" * 70 + ".", "a b", "b a b"]
+    ids, counts = encoder.encode_array(pa.array(texts, pa.string()).slice(1))
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert [unpack(e) for e in encoder.encode_all(texts[1:])] == want and encoder.encode_all([]) == []
+    assert [unpack(encoder.encode(t)) for t in texts[1:]] == want
+
+
+def test_pieces_in_use_outlive_others(monkeypatch):
+    """Where many pieces occur once, those that recur reach the library once; the number kept is bounded."""
+    monkeypatch.setattr(token_files, "CACHED_PIECES", 20)
+    encoder = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    told, word = [], encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda piece, space: told.append(piece) or word(piece, space))
+    for i in range(40):
+        rare = " ".join("q" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] + c for c in "abcdefghij")
+        assert unpack(encoder.encode(f"A often {rare}")) == encoder.tokenizer.encode(f"A often {rare}", add_special_tokens=False).ids
+        assert len(encoder.after_space.young) <= 20 and len(encoder.after_space.old) <= 20
+    assert told.count("often") == 1 and len(told) == 40 * 10 + 2
+
+
+def test_slices_keep_rows_in_order():
+    import pyarrow as pa
+
+    texts = ["aaaa", None, "bb", "", "c" * 30, "dd", "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    slices = list(token_files._slices(batch, 5))
+    assert [i for s in slices for i in s.column(0).to_pylist()] == list(range(7)) and len(slices) > 2
+
+
 def test_limit_is_a_parameter(spark):
     found = token_counts.count_tokens(as_table(spark, ["one two three"]), public_tokenizers.path("word_bpe_49k.json"), limit=2)
     assert found.where(F.col("over_limit")).count() == 1
