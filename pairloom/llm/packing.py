@@ -37,13 +37,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batch_of, hold, prepare, texts_of, two_columns
-from pairloom.llm.token_files import PieceEncoder, byte_letters
+from pairloom.llm.common import batch_of, hold, prepare, two_columns
+from pairloom.llm.token_files import SLICE_BYTES, PieceEncoder, _slices, byte_letters
 from pairloom.sources.staging import staged
 
 CAPACITY = 2048
@@ -55,6 +56,9 @@ _RANK_BITS = 40
 #: What the library splits texts by, as long as letters are of a kind every engine knows.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+_SPACES = r"\t-\r\x1c- \x{85}\x{A0}"
+#: Texts that stay whole: beyond Latin letters, or with a space that has white space or nothing after it, or white space before it.
+_WHOLE = rf"[^\x00-\x{{24F}}]|[{_SPACES}] | [{_SPACES}]| $"
 _ENCODERS: dict[str, TextEncoder] = {}
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -68,6 +72,10 @@ class TextEncoder:
     borders no merge has crossed, so it has come to be as it does in the token alone. Both are
     checked once for the file. Texts beyond Latin letters, or with a special string in them,
     go to the library.
+
+    A space between two characters that are not white space starts a pre-token, and no other token
+    holds a space. So the texts of a batch are taken apart at spaces, and the distinct pieces are merged
+    in one go: where a token begins with a space, the next piece's ids begin.
     """
 
     def __init__(self, path: str):
@@ -83,6 +91,9 @@ class TextEncoder:
         tokenize = self.library.tokenize
         proven = plain and made == sorted(made) and all(len(t := tokenize(token)) == 1 and t[0].id == i for token, i in model["vocab"].items() if token not in special)
         self.ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if proven else None
+        self.whole = "|".join((_WHOLE, *(rf"\Q{s}\E" for s in self.library.special)))
+        self.opens = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -91,6 +102,40 @@ class TextEncoder:
             return np.frombuffer(self.library.encode(text), "<u4")
         return self.ranked.encode_to_numpy(text, disallowed_special=())
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one row, and the number of each text's ids; a null text has none."""
+        if self.ranked is None or not len(texts):
+            return self.library.encode_array(texts)
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring_regex(texts, self.whole), pc.greater(pc.binary_length(texts), SLICE_BYTES))
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        firsts = np.cumsum(counts) - counts
+        after_space = np.ones(len(split.values), bool)
+        after_space[firsts] = False
+        coded = split.values.filter(pa.array(after_space)).dictionary_encode()
+        pieces, n = coded.dictionary, len(coded.dictionary)
+        ids, starts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if n:
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pieces), pa.scalar(" ", pieces.type))[0].as_py()
+            ids = self.ranked.encode_to_numpy(" " + joined, disallowed_special=())
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != n:
+                raise ValueError(f"{n} pieces, but {len(starts)} of their tokens begin with a space")
+        # After the pieces, what stands before the first space of each text, or the whole text.
+        own = [self.encode(t) for t in pc.if_else(whole, texts, split.values.take(pa.array(firsts))).to_pylist()]
+        sizes = np.concatenate((np.diff(starts, append=len(ids)), np.fromiter(map(len, own), np.int64, len(own))))
+        ids = np.concatenate((ids, *own))
+        starts = np.cumsum(sizes) - sizes
+        index = np.empty(len(after_space), np.int64)
+        index[after_space] = coded.indices.to_numpy()
+        index[firsts] = n + np.arange(len(own))
+        lengths = sizes[index]
+        ends = np.cumsum(lengths)
+        at = np.repeat((starts[index] - (ends - lengths)).astype(np.int32), lengths)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return ids[at], np.add.reduceat(lengths, firsts)
+
 
 def text_encoder(path: str) -> TextEncoder:
     """One per Python worker."""
@@ -107,15 +152,15 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
         part, before = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (s for whole in batches if whole.num_rows for s in _slices(whole)):
             row, piece, starts, lengths, nth, ids = [], [], [], [], [], []
-            for i, text in enumerate(texts_of(batch)):
-                found = np.concatenate((encoder.encode(text), end)).astype("<u4")
+            coded, counts = encoder.encode_array(batch.column(1))
+            ends = np.cumsum(counts)
+            closed = np.insert(coded.astype("<u4", copy=False), ends, end_id)
+            for i, found in enumerate(np.split(closed, (ends + np.arange(1, len(ends) + 1))[:-1])):
                 for k, (start, length) in enumerate(cuts(len(found), capacity)):
                     row.append(i)
                     piece.append(k)
@@ -353,11 +398,14 @@ def _place(plan, at_length: int, at_rank: int):
     return run
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """Pieces without ``part`` and ``nth``, but with ``sequence_id`` and ``offset``; other columns go along."""
+def place(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, counted: DataFrame | None = None) -> DataFrame:
+    """Pieces without ``part`` and ``nth``, but with ``sequence_id`` and ``offset``; other columns go along.
+
+    ``counted`` are the same pieces where their ``part`` and ``length`` alone are read with less work.
+    """
     spark = pieces.sparkSession
     # One row for each task and length; what a task numbers starts where the tasks before it end.
-    counts = staged(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = staged((pieces if counted is None else counted).groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(places(complete(histogram, capacity, nodes)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
